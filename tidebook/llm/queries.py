@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, token_counts, toxicity, url_filter
+from . import bpe, decontamination, quality, token_counts, toxicity, url_filter
 from .common import shared_path
 
 
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a cache of its own for each run, so that no run counts less because of an earlier one
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), shared_path(spark, "token-counts"))
@@ -90,5 +94,5 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_counts, op7_toxicity, op9_quality, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op7_toxicity, op9_quality, op10_url_filter)}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL}
