@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, quality, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontamination, minhash, quality, simhash, token_counts, toxicity, url_filter
 from .common import shared_path
 
 
@@ -33,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), shared_path(spark, "token-counts"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("fingerprint", simhash.hexed(F.col("fingerprint")))
 
@@ -98,5 +102,5 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op6_simhash, op7_toxicity, op9_quality, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op6_simhash, op7_toxicity, op9_quality, op10_url_filter)}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL}
