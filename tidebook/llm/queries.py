@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, minhash, quality, simhash, token_counts, toxicity, url_filter
+from . import bpe, decontamination, minhash, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import shared_path
 
 
@@ -37,6 +37,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("fingerprint", simhash.hexed(F.col("fingerprint")))
 
@@ -80,6 +84,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hit USING (d) LEFT JOIN names USING (d)
 """
 
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+ranked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_page,
+    row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC) AS place FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes < 1000 OR place = 1 THEN NULL ELSE first_page END AS refers_to
+FROM ranked
+"""
+
 OP10_SQL = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
@@ -102,5 +117,5 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op6_simhash, op7_toxicity, op9_quality, op10_url_filter)}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op9_quality, op10_url_filter)}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
