@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, minhash, quality, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontamination, minhash, quality, secrets, simhash, token_counts, toxicity, url_filter, warc
 from .common import shared_path
 
 
@@ -49,6 +49,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit_forest(dictionary_path=tokenizer_path("byte_bpe_50k.tiktoken"))
+    return secrets.scan(table(spark, sf_dir, "documents"), forest, path_column="source")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -117,5 +122,5 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op9_quality, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op8_secret_scan, op9_quality, op10_url_filter)}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL}
