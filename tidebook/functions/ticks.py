@@ -28,12 +28,22 @@ def to_ticks(text: Column, decimals: int, strict: bool = False) -> Column:
     dropped = F.when(kept <= 0, digits).otherwise(F.substring(digits, kept + 1, F.length(digits)))
     exact = F.when(shift >= 0, whole).when(F.regexp_replace(dropped, "0", "") == "", cut)
     plain = F.regexp_replace(exact, "^0+(?=[0-9])", "").try_cast("bigint")
-    ticks = F.when(trimmed.rlike(shape), F.when(F.startswith(trimmed, F.lit("-")), -plain).otherwise(plain))
+    general = F.when(trimmed.rlike(shape), F.when(F.startswith(trimmed, F.lit("-")), -plain).otherwise(plain))
+    ticks = F.when(text.rlike(r"\A[+-]?[0-9]+(\.[0-9]*)?\z"), _plain_ticks(text, decimals)).otherwise(general)
     if not strict:
         return ticks
     return F.when(ticks.isNotNull(), ticks).otherwise(F.raise_error(F.concat(F.lit("not a price: "), F.coalesce(text, F.lit("null")))).cast("bigint"))
 
 
+def _plain_ticks(text: Column, decimals: int) -> Column:
+    """Of a text of digits with at most a sign and a point: the common case, in few steps."""
+    point = F.instr(text, ".")
+    fraction = F.when(point > 0, F.substring(text, point + 1, F.length(text))).otherwise("")
+    kept = F.rpad(F.substring(fraction, F.lit(1), F.lit(decimals)), decimals, "0") if decimals else F.lit("")
+    exact = ~F.substring(fraction, F.lit(decimals + 1), F.length(text)).rlike("[1-9]")
+    return F.when(exact, F.concat(F.substring_index(text, ".", 1), kept).try_cast("bigint"))
+
+
 def to_price(ticks: Column, decimals: int) -> Column:
     """Ticks as an exact decimal."""
     return (ticks.cast("decimal(38,0)") / F.lit(10**decimals).cast("decimal(20,0)")).cast(f"decimal(38,{decimals})")

@@ -16,8 +16,10 @@ from ..functions.ticks import to_ticks
 #: The channels of the first venue that carry books.
 OKX_CHANNELS = ("books", "books-l2-tbt", "books50-l2-tbt", "books5")
 ROWS = "array<array<string>>"
-OKX = f"struct<arg:struct<channel:string,instId:string>,action:string,data:array<struct<bids:{ROWS},asks:{ROWS},ts:string,seqId:string,prevSeqId:string>>>"
-BYBIT = f"struct<topic:string,type:string,ts:string,data:struct<s:string,b:{ROWS},a:{ROWS},u:string,seq:string>>"
+OKX = f"struct<arg:struct<channel:string,instId:string>,action:string,data:array<struct<bids:{ROWS},asks:{ROWS},ts:string,seqId:string,prevSeqId:string>>,_odd:string>"
+#: Where a frame's text goes that doesn't have the shape.
+ODD = "_odd"
+BYBIT = f"struct<topic:string,type:string,ts:string,data:struct<s:string,b:{ROWS},a:{ROWS},u:string,seq:string>,_odd:string>"
 
 
 def levels(rows: Column, decimals: int) -> Column:
@@ -34,16 +36,28 @@ def whole(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
+def _parsed(shape: str) -> Column:
+    return F.from_json("raw", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ODD})
+
+
+def _is_object() -> Column:
+    """Whether the text is a JSON object; only one that lacks the shape is parsed a second time."""
+    sound = F.col(f"_m.{ODD}").isNull() | F.try_parse_json("raw").isNotNull()
+    return F.coalesce(F.startswith(F.ltrim("raw"), F.lit("{")), F.lit(False)) & sound
+
+
+def has(name: str) -> Column:
+    return F.col(f"_m.{name}").isNotNull() | F.get_json_object("raw", f"$.{name}").isNotNull()
+
+
 def okx(frames: DataFrame, decimals: int = 1, symbol: str = "BTC-USDT") -> DataFrame:
     """Adds outcome (parsed, ignored or parse_error) and updates, an array, to frames with recv_ns and raw.
 
     A frame without an action is a snapshot. All elements of its data share its kind. Times are milliseconds.
     """
-    m = F.from_json("raw", OKX)
-    is_object = F.coalesce(F.substring(F.ltrim("raw"), 1, 1) == "{", F.lit(False)) & F.try_parse_json("raw").isNotNull()
-    has_data = F.coalesce(F.get_json_object("raw", "$.data"), F.lit("")).rlike(r"^\[.*\S.*\]$") & ~F.get_json_object("raw", "$.data").rlike(r"^\[\s*\]$")
-    wanted = is_object & has_data & F.col("_m.arg.channel").isin(*OKX_CHANNELS)
-    bad = F.exists(F.coalesce("_m.data", F.array(F.lit(None).cast(OKX.split("data:array<")[1][:-2]))), lambda d: d.isNull() | (F.coalesce(d["ts"], F.lit("0")) != "") & F.coalesce(d["ts"], F.lit("0")).try_cast("bigint").isNull())
+    wanted = _is_object() & has("data") & F.col("_m.arg.channel").isin(*OKX_CHANNELS)
+    no_time = lambda d: d.isNull() | ((d["ts"] != "") & d["ts"].try_cast("bigint").isNull())
+    bad = F.col("_m.data").isNull() | F.exists("_m.data", lambda d: F.coalesce(no_time(d), F.lit(False)))
     ts = lambda d: F.nullif(F.nullif(d["ts"], F.lit("")).try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
     is_snapshot = F.coalesce("_m.action", F.lit("snapshot")) == "snapshot"
     made = F.transform(
@@ -54,7 +68,7 @@ def okx(frames: DataFrame, decimals: int = 1, symbol: str = "BTC-USDT") -> DataF
         ),
     )
     outcome = F.when(~F.coalesce(wanted, F.lit(False)), "ignored").when(bad, "parse_error").otherwise("parsed")
-    return frames.withColumn("_m", m).withColumn("outcome", outcome).withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m")
+    return frames.withColumn("_m", _parsed(OKX)).withColumn("outcome", outcome).withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m")
 
 
 def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contiguous: bool = True, order: str = "msg_idx") -> DataFrame:
@@ -63,12 +77,10 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
     The number before is null for a snapshot and ``u - 1`` for a delta; with ``contiguous`` left out it is the
     last one seen in order of ``order``, snapshots included.
     """
-    m = F.from_json("raw", BYBIT)
-    is_object = F.coalesce(F.substring(F.ltrim("raw"), 1, 1) == "{", F.lit(False)) & F.try_parse_json("raw").isNotNull()
-    wanted = is_object & F.startswith(F.coalesce("_m.topic", F.lit("")), F.lit("orderbook.")) & F.get_json_object("raw", "$.data").isNotNull()
+    wanted = _is_object() & F.startswith(F.coalesce("_m.topic", F.lit("")), F.lit("orderbook.")) & has("data")
     bad = F.col("_m.data").isNull() | (F.col("_m.ts").isNotNull() & F.col("_m.ts").try_cast("bigint").isNull())
     outcome = F.when(~F.coalesce(wanted, F.lit(False)), "ignored").when(bad, "parse_error").otherwise("parsed")
-    rows = frames.withColumn("_m", m).withColumn("outcome", outcome)
+    rows = frames.withColumn("_m", _parsed(BYBIT)).withColumn("outcome", outcome)
     u, is_snapshot = whole(F.col("_m.data.u")), F.coalesce(F.col("_m.type") == "snapshot", F.lit(False))
     before = u - 1
     if not contiguous:
