@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import TOP
 from .epochs import KEYS
+from .rows import framed
 
 
 class Side:
@@ -101,9 +102,7 @@ def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels:
                 bid, ask = book.bids.best(), book.asks.best()
                 out.append((r.symbol, r.epoch, r.idx, r.recv_ts_ns, r.exchange_ts_ns, *bid, *ask, book.average_depth(depth_levels)))
             if out:
-                names = ["symbol", "epoch", "idx", "recv_ts_ns", "exchange_ts_ns", "bid_px", "bid_sz", "ask_px", "ask_sz", "depth"]
-                got = pd.DataFrame(out, columns=names)
-                yield got.astype({c: "Int64" for c in ("exchange_ts_ns", "bid_px", "ask_px")})
+                yield framed(out, TOP)
 
     rows = audited.where("applied").select(*KEYS, "epoch", "idx", "is_snapshot", "recv_ts_ns", "exchange_ts_ns", "bids", "asks")
     return rows.repartition(*KEYS, "epoch").sortWithinPartitions(*KEYS, "epoch", "idx").mapInPandas(fold, TOP)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixmsg import ADMIN_TYPES, BEGIN, SOH
+from .rows import framed
 
 
 def split_stream(buffer: str) -> tuple[list[str], str]:
@@ -64,8 +65,8 @@ def split_streams(chunks: DataFrame) -> DataFrame:
                 messages, held = split_stream(held + (r.raw or ""))
                 out += [(r.conn, r.idx, n, m, None) for n, m in enumerate(messages)]
                 last = r.idx
-            yield pd.DataFrame(out, columns=["conn", "idx", "n", "message", "remainder"])
-        yield pd.DataFrame(rest(), columns=["conn", "idx", "n", "message", "remainder"])
+            yield framed(out, SPLIT)
+        yield framed(rest(), SPLIT)
 
     return chunks.select("conn", "idx", "raw").repartition("conn").sortWithinPartitions("conn", "idx").mapInPandas(fold, SPLIT)
 
@@ -189,8 +190,6 @@ SESSION = "conn string, idx bigint, n bigint, state string, in_seq bigint, out_s
 def run_sessions(events: DataFrame) -> DataFrame:
     """Sessions driven by events (conn, idx, op, t_s, msg_type, seq, body), op being logon, logout, poll, send or
     message: a row for each message that goes out, or one with a null out_type where none does."""
-    names = [c.split()[0] for c in SESSION.split(", ")]
-
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conn, session = object(), None
         for frame in frames:
@@ -201,7 +200,7 @@ def run_sessions(events: DataFrame) -> DataFrame:
                 out, deliver = session_step(session, r)
                 for n, (kind, seq, body) in enumerate(out or [(None, None, None)]):
                     rows.append((r.conn, r.idx, n, session.state, session.in_seq, session.out_seq, deliver, kind, seq, body))
-            yield pd.DataFrame(rows, columns=names).astype({"out_msg_seq": "Int64"})
+            yield framed(rows, SESSION)
 
     return events.repartition("conn").sortWithinPartitions("conn", "idx").mapInPandas(fold, SESSION)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import sign
+from .rows import framed
 
 #: The statuses that may follow each status of an order.
 ALLOWED = {
@@ -106,8 +107,7 @@ def apply_reports(orders: DataFrame, reports: DataFrame) -> DataFrame:
                 s = state or OrderState(0.0, None)
                 out.append((r.idx, r.cl_ord_id, r.symbol, r.side, r.exec_type, r.last_qty, r.last_px, s.status, s.order_id, s.cum_qty, s.avg_px, s.reject_reason, error))
             if out:
-                got = pd.DataFrame(out, columns=[c.split()[0] for c in REPORTED.split(", ")])
-                yield got.astype({"last_px": "Int64"})
+                yield framed(out, REPORTED)
 
     return rows.repartition("cl_ord_id").sortWithinPartitions("cl_ord_id", "idx").mapInPandas(fold, REPORTED)
 

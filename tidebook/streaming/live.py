@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.book import Book
+from ..operators.book import Book, latest
 from ..operators.fixsession import SESSION, Session, session_step
+from ..operators.rows import framed
 
 LIVE = "symbol string, idx bigint, recv_ts_ns bigint, applied boolean, bid_px bigint, bid_sz double, ask_px bigint, ask_sz double, e double, ofi double, events bigint, resyncs bigint, updates bigint"
 
@@ -64,6 +65,8 @@ def flow(p: tuple, c: tuple) -> float:
 class _Folded(StatefulProcessor):
     """A processor whose state is one pickled object, advanced row by row in order of idx."""
 
+    schema: str
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value binary")
 
@@ -76,20 +79,18 @@ class _Folded(StatefulProcessor):
     def rows(self, state, r) -> list[tuple]:
         raise NotImplementedError
 
-    def names(self) -> list[str]:
-        raise NotImplementedError
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.new()
         # one key's rows of a micro-batch, which the trigger bounds, come in no order
         batch = pd.concat(list(rows)).sort_values("idx", kind="stable")
         out = [x for r in batch.itertuples(index=False) for x in self.rows(state, r)]
         self.state.update((pickle.dumps(state),))
-        frame = pd.DataFrame(out, columns=self.names())
-        yield frame.astype({c: "Int64" for c in ("bid_px", "ask_px", "out_msg_seq") if c in frame})
+        yield framed(out, self.schema)
 
 
 class BookProcessor(_Folded):
+    schema = LIVE
+
     def __init__(self, max_depth: int | None = None, strict: bool = True):
         self.max_depth, self.strict = max_depth, strict
 
@@ -99,11 +100,10 @@ class BookProcessor(_Folded):
     def rows(self, state: LiveBook, r) -> list[tuple]:
         return [state.step(r)]
 
-    def names(self) -> list[str]:
-        return [c.split()[0] for c in LIVE.split(", ")]
-
 
 class SessionProcessor(_Folded):
+    schema = SESSION
+
     def new(self) -> Session:
         return Session()
 
@@ -111,9 +111,6 @@ class SessionProcessor(_Folded):
         out, deliver = session_step(state, r)
         return [(r.conn, r.idx, n, state.state, state.in_seq, state.out_seq, deliver, kind, seq, body) for n, (kind, seq, body) in enumerate(out or [(None, None, None)])]
 
-    def names(self) -> list[str]:
-        return [c.split()[0] for c in SESSION.split(", ")]
-
 
 def live_books(updates: DataFrame, max_depth: int | None = None, strict: bool = True) -> DataFrame:
     """A streaming frame of updates to a row for each: the top of book, its flow contribution and running sums."""
@@ -127,8 +124,6 @@ def live_sessions(events: DataFrame) -> DataFrame:
 
 def latest_sink(live: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Gives ``write`` the newest row for each symbol of every micro-batch: what came between is conflated away."""
-    from ..operators.book import latest
-
     def each(batch: DataFrame, epoch: int) -> None:
         write(latest(batch, ["symbol"], "idx", [c for c in batch.columns if c != "symbol"]), epoch)
 
