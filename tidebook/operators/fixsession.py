@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixmsg import ADMIN_TYPES, BEGIN, SOH
+from .ordered import Running, running, sliced
 from .rows import framed
 
 
@@ -219,19 +220,18 @@ def session_step(session: Session, r) -> tuple[list, bool]:
     return session.on_message(r.msg_type, None if pd.isna(r.seq) else int(r.seq), body, r.t_s)
 
 
-def sequence_gaps(messages: DataFrame, conn: str = "conn", order: str = "idx", seq: str = "seq") -> DataFrame:
+def sequence_gaps(messages: DataFrame, conn: str = "conn", order: str = "idx", seq: str = "seq", width: int = 1_000_000) -> DataFrame:
     """The rows before which sequence numbers are missing: expected and missing (how many)."""
-    w = Window.partitionBy(conn).orderBy(order)
-    rows = messages.withColumn("expected", F.lag(seq).over(w) + 1)
+    rows = running(sliced(messages, order, width), [conn], order, {"_last": Running("lag", F.col(seq))})
+    rows = rows.withColumn("expected", F.col("_last") + 1).drop("_last", "_slice")
     return rows.where(F.col(seq) > F.col("expected")).withColumn("missing", F.col(seq) - F.col("expected"))
 
 
-def resend_plan(sent: DataFrame, conn: str = "conn", seq: str = "seq", kind: str = "msg_type") -> DataFrame:
+def resend_plan(sent: DataFrame, conn: str = "conn", seq: str = "seq", kind: str = "msg_type", width: int = 1_000_000) -> DataFrame:
     """How a log of sent messages is sent again: each application message by itself, each run of others as one
     gap fill. conn, begin_seq, new_seq (the number after it) and action (resend or gap_fill)."""
-    w = Window.partitionBy(conn).orderBy(seq)
     admin = F.col(kind).isin(*ADMIN_TYPES)
-    rows = sent.withColumn("_admin", admin).withColumn("_run", F.sum((~admin).cast("bigint")).over(w))
+    rows = running(sliced(sent, seq, width), [conn], seq, {"_run": Running("sum", (~admin).cast("bigint"))}).withColumn("_admin", admin)
     rows = rows.withColumn("_group", F.when(F.col("_admin"), F.struct(F.lit(0).alias("a"), F.col("_run").alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.col(seq).alias("b"))))
     out = rows.groupBy(conn, "_group").agg(F.min(seq).alias("begin_seq"), (F.max(seq) + 1).alias("new_seq"), F.first("_admin").alias("_admin"))
     return out.select(conn, "begin_seq", "new_seq", F.when(F.col("_admin"), "gap_fill").otherwise("resend").alias("action"))

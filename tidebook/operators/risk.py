@@ -7,9 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Running, running, sliced
+
 #: The checks in their order.
 CHECKS = (
     "kill_switch", "qty_sign", "market_disabled", "missing_price", "lot_size", "tick_size", "max_order_qty", "max_order_value",
@@ -91,16 +93,16 @@ class Throttle:
         return True
 
 
-def throttled(messages: DataFrame, limit: int, key: str = "symbol", window: float = 1.0) -> DataFrame:
-    """Adds ``accepted``: whether a message is within the limit, in order of t_s and idx for each key.
+def throttled(messages: DataFrame, limit: int, key: str = "symbol", window: float = 1.0, width: int = 1_000_000) -> DataFrame:
+    """Adds ``accepted``: whether a message is within the limit, in order of arrival (idx) for each key.
 
     What is accepted depends on what was, so this is a fold. A stretch in which no window's count of arrivals
     exceeds the limit is accepted whole, and messages further apart than the window don't depend on each other:
     each such stretch is folded by itself, so one key's stream is folded by many tasks.
     """
-    w = Window.partitionBy(key).orderBy("t_s", "idx")
-    quiet = F.coalesce(F.col("t_s") - F.lag("t_s").over(w) > window, F.lit(True))
-    rows = messages.withColumn("_stretch", F.sum(quiet.cast("bigint")).over(w))
+    timed = running(sliced(messages, "idx", width), [key], "idx", {"_t": Running("lag", F.col("t_s"))})
+    quiet = F.coalesce(F.col("t_s") - F.col("_t") > window, F.lit(True))
+    rows = running(timed, [key], "idx", {"_stretch": Running("sum", quiet.cast("bigint"))})
     names = [*messages.columns, "accepted"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in messages.schema) + ", accepted boolean"
 
@@ -114,7 +116,7 @@ def throttled(messages: DataFrame, limit: int, key: str = "symbol", window: floa
                 accepted.append(throttle.accept(t))
             yield frame.assign(accepted=accepted)[names]
 
-    return rows.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "t_s", "idx").mapInPandas(fold, kinds)
+    return rows.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", "idx").mapInPandas(fold, kinds)
 
 
 def decisions(checked: DataFrame, check: Column) -> DataFrame:

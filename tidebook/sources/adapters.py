@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ticks import to_ticks
+from ..operators.ordered import Running, running, sliced
 
 #: The channels of the first venue that carry books.
 OKX_CHANNELS = ("books", "books-l2-tbt", "books50-l2-tbt", "books5")
@@ -71,7 +72,7 @@ def okx(frames: DataFrame, decimals: int = 1, symbol: str = "BTC-USDT") -> DataF
     return frames.withColumn("_m", _parsed(OKX)).withColumn("outcome", outcome).withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m")
 
 
-def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contiguous: bool = True, order: str = "msg_idx") -> DataFrame:
+def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contiguous: bool = True, order: str = "msg_idx", width: int = 1_000_000) -> DataFrame:
     """As :func:`okx`, for the second venue: one update in each frame, whose ``u`` is the sequence number.
 
     The number before is null for a snapshot and ``u - 1`` for a delta; with ``contiguous`` left out it is the
@@ -84,8 +85,8 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
     u, is_snapshot = whole(F.col("_m.data.u")), F.coalesce(F.col("_m.type") == "snapshot", F.lit(False))
     before = u - 1
     if not contiguous:
-        seen = F.last(F.when(F.col("outcome") == "parsed", u), ignorenulls=True)
-        rows = rows.withColumn("_seen", seen.over(Window.partitionBy("_m.data.s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+        seen = Running("last", F.when(F.col("outcome") == "parsed", u))
+        rows = running(sliced(rows.withColumn("_symbol", F.col("_m.data.s")), order, width), ["_symbol"], order, {"_seen": seen})
         before = F.col("_seen")
     ts = F.nullif(F.col("_m.ts").try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
     made = F.array(
@@ -94,7 +95,7 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
             ts.alias("exchange_ts_ns"), F.col("recv_ns").alias("recv_ts_ns"), levels(F.col("_m.data.b"), decimals).alias("bids"), levels(F.col("_m.data.a"), decimals).alias("asks"),
         ),
     )
-    return rows.withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m", "_seen")
+    return rows.withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m", "_seen", "_symbol", "_slice")
 
 
 def exploded(parsed: DataFrame, order: str = "msg_idx") -> DataFrame:
