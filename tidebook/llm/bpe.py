@@ -1,38 +1,43 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
-Encoding is one stage without a shuffle. Texts are taken in blocks of bounded size. A block's words that are not
-tokens themselves are told apart once, and Spark's higher-order functions fold the ranked merges over their bytes
-with a literal map from pairs of tokens to ranks. The block's texts then take the ids of their words. Decoding
-joins the pieces of the ids.
-
-Rows of words and rows of texts follow each other in one partition: first all words of a block, then its texts.
+Texts are taken in blocks of bounded size, and a block's texts are coded by its distinct words: a word that is a
+token has its id, any other a number in the block. The other words of up to a thousand blocks meet by the words'
+hash, where each distinct one is encoded once: Spark's higher-order functions fold the ranked merges over its
+bytes with a literal map from pairs of tokens to ranks. The ids go back to the blocks by their numbers, packed,
+and the texts take the ids of their words. Decoding joins the pieces of the ids.
+
+Texts are shuffled once, in coded form. Groups are bounded: by the characters of a block, and by the blocks that
+share a hash's words. A word that is in every text occurs once in each block.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from random import Random
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import texts_of
+from .common import batches_of, materialise, release
 
 #: Fixed value: the pattern by which the rank files' texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: The rank of a pair that is no token, and the number that stands beside a word's first and last token.
-NONE, EDGE = 1 << 30, (1 << 16) - 1
+#: The rank of a pair that is no token, and the id that stands beside a word's first and last token.
+NONE, EDGE = 1 << 20, (1 << 16) - 1
 
 
 @lru_cache(maxsize=4)
@@ -72,89 +77,82 @@ def split_words(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def _pair_map(path: str) -> tuple[str, int, int]:
-    """The literal map from pairs of ids to the rank of their joined bytes, as JSON, with its two sizes.
+def _pair_map(path: str) -> str:
+    """The literal map from pairs of ids to the rank of their joined bytes, as JSON.
 
-    A pair's key is ``left << 16 | right``. The map is a table without collisions: a key's first hash finds a
-    shift, and its second hash plus the shift finds its only possible slot.
+    The pairs of a left id are a row of the table whose columns are right ids. All rows lie over each other in
+    one array, each moved so far that no two entries meet: the entry of a pair is at ``moved[left] + right`` and
+    holds ``left << 16 | rank``, so that an entry of another row is told apart.
     """
     ranks = read_ranks(path)
-    pairs = [(ranks[t[:i]] << 16 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    shifts = 1 << max(4, (len(pairs) // 3).bit_length())
-    size = 1 << max(5, (len(pairs) * 3 // 2).bit_length())
-    groups: dict[int, list[tuple[int, int]]] = {}
-    for pair in pairs:
-        groups.setdefault(_first_hash(pair[0], shifts), []).append(pair)
-    shift, slot_key, slot_value = [0] * shifts, [-1] * size, [0] * size
-    random, free = Random(5), 0
-    for first, group in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-        second = [_second_hash(key, size) for key, _ in group]
-        if len(group) == 1:  # any free slot will do
-            while slot_key[free] >= 0:
-                free += 1
-            at = (free - second[0]) & (size - 1)
-        else:
-            at = 0
-            while len(taken := {(x + at) & (size - 1) for x in second}) < len(group) or any(slot_key[x] >= 0 for x in taken):
-                at = random.randrange(size)
-        shift[first] = at
-        for x, (key, rank) in zip(second, group):
-            slot_key[(x + at) & (size - 1)], slot_value[(x + at) & (size - 1)] = key, rank
-    return json.dumps({"s": shift, "k": slot_key, "v": slot_value}, separators=(",", ":")), shifts, size
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if token[:i] in ranks and token[i:] in ranks:
+                rows.setdefault(ranks[token[:i]], []).append((ranks[token[i:]], rank))
+    moved, taken = [0] * (EDGE + 1), np.zeros(sum(map(len, rows.values())) * 2 + 2 * EDGE, bool)
+    entries: list[tuple[int, int]] = []
+    low = at = size = 0  # below low all is taken; a row begins where the last one of its size was laid
+    for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        rights = np.array(sorted(r for r, _ in row))
+        while taken[low]:
+            low += 1
+        fits, at, size = [], at if len(row) == size > 1 else low, len(row)
+        while not len(fits):
+            starts = at + np.flatnonzero(~taken[at : at + 1024]) - rights[0]
+            fits = starts[~taken[starts[:, None] + rights].any(axis=1)]
+            at += 0 if len(fits) else 1024
+        moved[left] = int(fits[0])
+        taken[moved[left] + rights] = True
+        entries += [(moved[left] + right, left << 16 | rank) for right, rank in row]
+    table = [-1] * (max((x for x, _ in entries), default=0) + 1)
+    for x, entry in entries:
+        table[x] = entry
+    return json.dumps({"moved": moved, "table": table}, separators=(",", ":"))
+
 
+def merged(word: Column, path: str) -> Column:
+    """The ids of a word of up to 255 bytes: the pair of the lowest rank is merged, the leftmost of equal ones first, again and again.
 
-#: Multipliers of the two hashes; keys have 32 bits, so the products have less than 63.
-FIRST, SECOND = 1_640_531_527, 1_540_483_477
+    The fold's state is an array with a number for each token, ``rank << 24 | place << 16 | id``: the rank of the
+    token joined with the one after it, the place of its first byte, and its id. So the least number is the pair
+    that comes next. Before the first token and after the last stands an edge that joins with nothing.
+    """
+    tables = F.from_json(F.lit(_pair_map(path)), "struct<moved:array<int>,table:array<bigint>>")
+    single = read_ranks(path)
+    by_byte = F.from_json(F.lit(json.dumps([single[bytes([b])] for b in range(256)])), "array<bigint>")
+    id_of = lambda number: number.bitwiseAND(0xFFFF)
 
+    def folded(table: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            entry = F.get(table["table"], (F.get(table["moved"], left.cast("int")) + right).cast("int"))
+            known = lambda e: F.when(F.shiftright(e, 16) == left, e.bitwiseAND(0xFFFF)).otherwise(F.lit(NONE).cast("bigint"))
+            return named(entry, known)
 
-def _first_hash(key, size: int):
-    return key * FIRST >> 21 & (size - 1)
+        def number(rank_: Column, rest: Column) -> Column:
+            return F.shiftleft(rank_, 24).bitwiseOR(rest)
 
+        def merge(numbers: Column, least: Column, at: Column) -> Column:
+            """``at``: the place in the array, from 1, of the left token."""
 
-def _second_hash(key, size: int):
-    return key * SECOND >> 17 & (size - 1)
+            def joined(new: Column) -> Column:
+                before, after = F.get(numbers, at - 2), F.get(numbers, at + 1)
+                left = named(before, lambda b: number(rank(id_of(b), new), b.bitwiseAND(0xFFFFFF)))
+                own = number(rank(new, id_of(after)), least.bitwiseAND(0xFF0000).bitwiseOR(new))
+                return F.flatten(F.array(F.slice(numbers, F.lit(1), at - 2), F.array(left, own), F.slice(numbers, at + 2, F.lit(256))))
 
+            return named(F.shiftright(least, 24), joined)
 
-def merged(word: Column, path: str) -> Column:
-    """The ids of a word's bytes: the pair of the lowest rank is merged, the leftmost of equal ones first, again and again."""
-    text, shifts, size = _pair_map(path)
-    tables = F.from_json(F.lit(text), "struct<s:array<int>,k:array<bigint>,v:array<int>>")
-    single = read_ranks(path)
-    by_byte = F.from_json(F.lit(json.dumps([single[bytes([b])] for b in range(256)])), "array<int>")
+        def step(numbers: Column, _: Column) -> Column:
+            merge_at = lambda least: named(F.array_position(numbers, least).cast("int"), lambda at: merge(numbers, least, at))
+            return named(F.array_min(numbers), lambda least: F.when(least < NONE << 24, merge_at(least)).otherwise(numbers))
 
-    def folded(table: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            def found(key: Column) -> Column:
-                shift = F.get(table["s"], F.shiftright(key * FIRST, 21).bitwiseAND(shifts - 1).cast("int"))
-                slot = (F.shiftright(key * SECOND, 17) + shift).bitwiseAND(size - 1).cast("int")
-                return named(slot, lambda at: F.when(F.get(table["k"], at) == key, F.get(table["v"], at)).otherwise(F.lit(NONE)))
-
-            return named(left.cast("bigint") * (1 << 16) + right, found)
-
-        def merge(ids: Column, ranks: Column, lowest: Column, at: Column) -> Column:
-            """``at``: the place, from 1, of the left token; tokens stand between two edges."""
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(lowest), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                F.concat(
-                    F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), lowest), rank(lowest, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ranks))
-                ).alias("ranks"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
-            merge_at = lambda lowest: named(F.array_position(ranks, lowest).cast("int"), lambda at: merge(ids, ranks, lowest, at))
-            return named(F.array_min(ranks), lambda lowest: F.when(lowest < NONE, merge_at(lowest)).otherwise(state))
-
-        def start(hexed: Column) -> Column:
-            digit = lambda i: F.instr(F.lit("0123456789ABCDEF"), F.substring(hexed, i, F.lit(1))) - 1
-            tokens = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(by_byte, digit(i * 2 - 1) * 16 + digit(i * 2)))
-            return F.concat(F.array(F.lit(EDGE)), tokens, F.array(F.lit(EDGE)))
-
-        def ranked(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), F.length(word) + 1), F.slice(ids, F.lit(2), F.length(word) + 1), rank).alias("ranks"))
-
-        end = F.aggregate(F.sequence(F.lit(1), F.length(word)), named(named(F.hex(word), start), ranked), step)["ids"]
-        return named(end, lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))
+        code = lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))
+        edge = F.array(F.lit(EDGE).cast("bigint"))
+        ids = F.concat(edge, F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(by_byte, code(i))), edge)
+        start = named(ids, lambda x: F.transform(x, lambda id_, i: number(rank(id_, F.get(x, i + 1)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(id_))))
+        end = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step)
+        return named(end, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda n: id_of(n).cast("int")))
 
     return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(named(tables, folded))
 
@@ -188,6 +186,13 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 # --- encoding ---------------------------------------------------------------------------------------------------
 
+BLOCK, PART, ROW, COUNT, DATA = "_bpe_block", "_bpe_part", "_bpe_row", "_bpe_count", "_bpe_data"
+LIST = pa.list_(pa.int32())
+#: Parts that a block's words are dealt into by hash.
+PARTS = 128
+#: Codes that are packed together.
+PACKED = 500_000
+
 
 class _Codes(dict):
     """From words to codes: below ``first`` a code is an id, from there on it is the place of a word in ``new``."""
@@ -202,12 +207,29 @@ class _Codes(dict):
         return code
 
 
-WORDS, GIVEN, CODES = "_bpe_words", "_bpe_given", "_bpe_codes"
-LIST = pa.list_(pa.int32())
+def pack(items: list[bytes]) -> bytes:
+    """Byte strings as one compressed byte string."""
+    lengths = np.fromiter(map(len, items), "<u4", len(items))
+    return zstandard.compress(np.uint32(len(items)).tobytes() + lengths.tobytes() + b"".join(items), 3)
+
+
+def unpack(data: bytes) -> list[bytes]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
+    starts = np.r_[4 + 4 * n, ends[:-1]] if n else ends
+    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
 
+def _rows(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def _numbered(path: str, text_column: str, kept: list[str], schema: pa.Schema, block_chars: int, fold_bytes: int):
-    """Texts to rows of words, then rows of texts with codes, block by block."""
+
+def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, block_chars: int):
+    """Texts to a row for each text, without a part, and a row for each part of a block's words.
+
+    The codes of some texts are packed together in the row of the first of them; every row has its text's count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
@@ -218,18 +240,41 @@ def _numbered(path: str, text_column: str, kept: list[str], schema: pa.Schema, b
                 known[token.decode()] = rank
             except UnicodeDecodeError:
                 pass
+        block = TaskContext.get().partitionId() << 20
 
-        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(f.name, None) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-        def block(codes: _Codes, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(codes: _Codes, held: list[tuple[dict, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
             words = [w.encode() for w in codes.new]
-            for at in range(0, len(words), 2048):
-                some = words[at : at + 2048]
-                given = [merged_long(w, ranks) if len(w) > fold_bytes else None for w in some]
-                short = [w if g is None else b"" for w, g in zip(some, given)]
-                yield rows(1, **{WORDS: pa.array([short], pa.list_(pa.binary())), GIVEN: pa.array([given], pa.list_(LIST))})
-            yield from held
+            used = [c[c >= first] - first for _, texts in held for c in texts]
+            counts = np.bincount(np.concatenate([*used, np.zeros(0, np.int32)]), minlength=len(words))
+            del used
+            part = np.fromiter((xxhash.xxh32_intdigest(w) % PARTS for w in words), np.int64, len(words))
+            # frequent words first, so that most codes are small
+            order = np.lexsort((np.argsort(np.argsort(np.array(words, object))) if words else part, -counts, part))
+            edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+            place = np.empty(len(words), np.int64)
+            place[order] = first + (np.arange(len(words)) - edges[part[order]]) * PARTS + part[order]
+            edges = edges.tolist()
+            filled = [(p, [words[i] for i in order[a:b].tolist()]) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            if filled:
+                n = len(filled)
+                yield _rows(schema, n, **{BLOCK: pa.array([block] * n, pa.int64()), PART: pa.array([p for p, _ in filled], pa.int32()), DATA: pa.array([pack(w) for _, w in filled], pa.binary())})
+            row = 0
+            for columns, texts in held:
+                sizes, data, at = [len(c) for c in texts], [None] * len(texts), 0
+                while at < len(texts):
+                    start, size = at, 0
+                    while at < len(texts) and (size < PACKED or at == start):
+                        size += sizes[at]
+                        at += 1
+                    c = np.concatenate(texts[start:at])
+                    new = c >= first
+                    c[new] = place[c[new] - first]
+                    # the low bytes of all codes, then the next ones: alike bytes compress better
+                    data[start] = zstandard.compress(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+                n = len(texts)
+                numbers = pa.array(range(row, row + n), pa.int32())
+                row += n
+                yield _rows(schema, n, **columns, **{BLOCK: pa.array([block] * n, pa.int64()), ROW: numbers, COUNT: pa.array(sizes, pa.int32()), DATA: pa.array(data, pa.binary())})
 
         codes, held, chars = _Codes(known, first), [], 0
         for batch in batches:
@@ -239,97 +284,186 @@ def _numbered(path: str, text_column: str, kept: list[str], schema: pa.Schema, b
                 start, coded = at, []
                 while at < len(batch) and (chars < block_chars or not coded):
                     text = texts[at].as_py() or ""
-                    coded.append(np.array(list(map(codes.__getitem__, split_words(text))), np.uint32).tobytes())
+                    coded.append(np.array(list(map(codes.__getitem__, split_words(text))), np.int32))
                     chars += len(text)
                     at += 1
-                columns = {c: batch.column(batch.schema.get_field_index(c)).slice(start, at - start) for c in kept}
-                held.append(rows(at - start, **columns, **{CODES: pa.array(coded, pa.binary())}))
+                held.append(({c: batch.column(batch.schema.get_field_index(c)).slice(start, at - start) for c in kept}, coded))
                 if chars >= block_chars:
-                    yield from block(codes, held)
-                    codes, held, chars = _Codes(known, first), [], 0
-        yield from block(codes, held)
+                    yield from whole(codes, held)
+                    codes, held, chars, block = _Codes(known, first), [], 0, block + 1
+                    release()
+        if held:
+            yield from whole(codes, held)
+        del codes, held
+        release()
 
     return run
 
 
-def _assembled(first: int, kept: list[str], schema: pa.Schema):
-    """Rows of merged words, then of coded texts, to texts with ids."""
+WORDS = "words array<binary>, given array<array<int>>, block bigint, part int, numbers binary"
+
+
+def _distinct(path: str, fold_bytes: int):
+    """Packed words of many blocks to rows of distinct words, then a row of numbers for each block; group by group."""
+    kind = pa.schema([("words", pa.list_(pa.binary())), ("given", pa.list_(LIST)), ("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Array] = []
-        sizes = starts = flat = None
+        ranks, group, numbers, members = read_ranks(path), None, {}, []
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for at in range(0, len(words), 1024):
+                some = words[at : at + 1024]
+                given = [merged_long(w, ranks) if len(w) > fold_bytes else None for w in some]
+                short = [w if g is None else b"" for w, g in zip(some, given)]
+                yield _rows(kind, 1, words=pa.array([short], pa.list_(pa.binary())), given=pa.array([given], pa.list_(LIST)))
+            for block, part, own in members:
+                yield _rows(kind, 1, block=pa.array([block]), part=pa.array([part], pa.int32()), numbers=pa.array([own], pa.binary()))
+
         for batch in batches:
-            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            is_text = np.asarray(column[CODES].is_valid())
-            for at, run_of in _runs(is_text):
-                if not is_text[at]:
-                    if sizes is not None:  # a new block begins
-                        parts, sizes = [], None
-                    parts += [x.values for x in column["_bpe_ids"].slice(at, run_of)]
-                    continue
-                if sizes is None:
-                    words = pa.concat_arrays(parts) if parts else pa.array([], LIST)
-                    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    flat = words.flatten().to_numpy(zero_copy_only=False)
-                    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-                ids, ends = [], [0]
-                for value in column[CODES].slice(at, run_of):
-                    codes = np.frombuffer(value.as_py(), np.uint32).astype(np.int64)
-                    new = codes >= first
-                    lengths = np.ones(len(codes), np.int64)
-                    lengths[new] = sizes[codes[new] - first]
-                    ends.append(ends[-1] + int(lengths.sum()))
-                    place = np.zeros(len(codes), np.int64)
-                    place[new] = starts[codes[new] - first]
-                    begins = np.cumsum(lengths) - lengths
-                    where = np.arange(int(lengths.sum())) + np.repeat(place - begins, lengths)
-                    old = np.repeat(~new, lengths)
-                    out = np.empty(len(where), np.int32)
-                    out[~old] = flat[where[~old]]
-                    out[old] = codes[~new]
-                    ids.append(out)
-                    if ends[-1] > 20_000_000:
-                        yield _texts(column, kept, schema, at, len(ids), ids, ends)
-                        at, ids, ends = at + len(ids), [], [0]
-                if ids:
-                    yield _texts(column, kept, schema, at, len(ids), ids, ends)
+            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if group != (key := (block >> 26, (block & 0xFFFFF) >> 4, part)):
+                    yield from whole()
+                    group, numbers, members = key, {}, []
+                members.append((block, part, np.array([numbers.setdefault(w, len(numbers)) for w in unpack(data.as_py())], "<u4").tobytes()))
+        yield from whole()
+        numbers, members = {}, []
+        release()
 
     return run
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(flags.view(np.int8))) + 1
-    starts = [0, *edges.tolist()] if len(flags) else []
-    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(flags)])]
+class _Lists:
+    """Lists of ids that come in parts, and the joined ids of any choice of them."""
+
+    def __init__(self, parts: list[pa.Array]):
+        lists = pa.concat_arrays(parts) if parts else pa.array([], LIST)
+        self.sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flat = lists.flatten().to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, places: np.ndarray) -> np.ndarray:
+        lengths = self.sizes[places]
+        begins = np.cumsum(lengths) - lengths
+        shifts = (self.starts[places] - begins).astype(np.int32)  # a block's ids are fewer than 2**31
+        return self.flat[np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(shifts, lengths)]
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of merged words, then of numbers, to a packed row of ids for each block and part."""
+    kind = pa.schema([(BLOCK, pa.int64()), (PART, pa.int32()), (DATA, pa.binary())])
+    parts, lists = [], None
+    for batch in batches:
+        for i, block in enumerate(batch.column(1).to_pylist()):
+            if block is None:  # words
+                if lists is not None:
+                    parts, lists = [], None
+                parts.append(batch.column(0)[i].values)
+                continue
+            lists = lists or _Lists(parts)
+            places = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.int64)
+            sizes, ids = lists.sizes[places].astype("<u4"), lists.joined(places).astype("<u2")
+            data = zstandard.compress(np.uint32(len(places)).tobytes() + sizes.tobytes() + ids.tobytes(), 3)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), batch.column(2).slice(i, 1), pa.array([data], pa.binary())], schema=kind)
+    parts, lists = [], None
+    release()
+
+
+def _assembled(first: int, finish: Callable[[pa.Table, pa.ListArray], pa.Table]):
+    """A block's texts, as coded, and its ids, part by part, to what ``finish`` makes of the rows and their ids."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        release()  # what the group before has left
+        parts, starts = [], np.zeros(PARTS, np.int64)
+        for part, data in zip(answers[PART].to_pylist(), answers[DATA]):
+            raw = zstandard.decompress(data.as_py())
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            starts[part] = sum(map(len, parts))
+            flat = np.frombuffer(raw, "<u2", -1, 4 + 4 * n).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.frombuffer(raw, "<u4", n, 4))], pa.int32()), pa.array(flat)))
+        lists = _Lists(parts)
+        texts = texts.sort_by(ROW).combine_chunks()
+        counts, packed = texts[COUNT].to_numpy(), texts[DATA].drop_null()
+        # a row with codes begins a group of texts
+        begins = [*np.flatnonzero(texts[DATA].is_valid()).tolist(), len(texts)]
+        ids, ends = [], [np.zeros(1, np.int64)]
+        for data, a, b in zip(packed, begins, begins[1:]):
+            raw = np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
+            codes = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+            new = codes >= first
+            number = codes[new] - first
+            places = starts[number % PARTS] + number // PARTS
+            lengths = np.ones(len(codes), np.int64)
+            lengths[new] = lists.sizes[places]
+            is_new = np.repeat(new, lengths)
+            out = np.empty(len(is_new), np.int32)
+            out[is_new] = lists.joined(places)
+            out[~is_new] = codes[~new]
+            ids.append(out)
+            upto = np.r_[0, np.cumsum(lengths)]
+            ends.append(ends[-1][-1] + upto[np.cumsum(counts[a:b])])
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        return finish(texts, pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(flat, pa.int32())))
+
+    return run
 
 
-def _texts(column: dict, kept: list[str], schema: pa.Schema, at: int, n: int, ids: list[np.ndarray], ends: list[int]) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-    return pa.RecordBatch.from_arrays([*(column[c].slice(at, n) for c in kept), lists], schema=schema)
+def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], finish: Callable[[pa.Table, pa.ListArray], pa.Table], result: T.StructType, block_chars: int, fold_bytes: int) -> DataFrame:
+    fields = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
+    own = [T.StructField(BLOCK, T.LongType()), T.StructField(PART, T.IntegerType()), T.StructField(ROW, T.IntegerType()), T.StructField(COUNT, T.IntegerType()), T.StructField(DATA, T.BinaryType())]
+    kind = T.StructType([*fields, *own])
+    source = docs.select(*kept, F.col(text_column).cast("string").alias(text_column))
+    # filed by block, so the texts needn't be shuffled again to meet their ids
+    with batches_of(docs.sparkSession, 1000):
+        coded = materialise(source.mapInArrow(_coded(path, text_column, kept, to_arrow_schema(kind), block_chars), kind), "bpe-coded", bucket=BLOCK)
+
+    # up to 64 partitions of 16 blocks share the words of a part
+    group = [F.shiftright(BLOCK, 26).alias("_g"), F.shiftright(F.col(BLOCK).bitwiseAND(0xFFFFF), 4).alias("_h")]
+    words = coded.where(F.col(PART).isNotNull()).select(BLOCK, PART, DATA, *group).repartition("_g", "_h", PART).sortWithinPartitions("_g", "_h", PART, BLOCK)
+    distinct = words.select(BLOCK, PART, DATA).mapInArrow(_distinct(path, fold_bytes), WORDS)
+    ids = F.zip_with("words", "given", lambda w, g: F.when(g.isNull(), merged(w, path)).otherwise(g))
+    folded = distinct.select(F.when(F.col("block").isNull(), ids).alias("ids"), "block", "part", "numbers")
+    answered = folded.mapInArrow(_answered, f"{BLOCK} bigint, {PART} int, {DATA} binary")
+
+    texts = coded.where(F.col(PART).isNull()).drop(PART)
+    first = max(read_ranks(path).values()) + 1
+    return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(first, finish), result)
 
 
-def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 40_000_000, fold_bytes: int = 64) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 8_000_000, fold_bytes: int = 64) -> DataFrame:
     """``docs`` without the text, with ``out``, the text's ids as array<int>.
 
     One row for each row, with all other columns as they are (a column of the name ``out`` gives way). Null and
-    empty texts have no ids. Texts are whole; no special token is known. ``block_chars`` bounds the texts held
-    at once, ``fold_bytes`` the words that are folded in Spark; longer words are merged by a heap, with equal
-    results.
+    empty texts have no ids. Texts are whole; no special token is known. ``block_chars`` bounds the texts that a
+    task holds at once (one text at least), ``fold_bytes`` (at most 250) the words that are folded in Spark;
+    longer words are merged by a heap, with equal results.
     """
     kept = [c for c in docs.columns if c not in (text_column, out)]
-    spark_fields = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
-    coded = T.StructType([
-        *spark_fields, T.StructField(CODES, T.BinaryType()), T.StructField(WORDS, T.ArrayType(T.BinaryType())),
-        T.StructField(GIVEN, T.ArrayType(T.ArrayType(T.IntegerType()))),
-    ])
-    arrow = to_arrow_schema(coded)
-    source = docs.select(*kept, F.col(text_column).cast("string").alias(text_column))
-    numbered = source.mapInArrow(_numbered(path, text_column, kept, arrow, block_chars, fold_bytes), coded)
-    ids = F.zip_with(WORDS, GIVEN, lambda w, g: F.when(g.isNull(), merged(w, path)).otherwise(g))
-    folded = numbered.select(*kept, CODES, F.when(F.col(CODES).isNull(), ids).alias("_bpe_ids"))
-    result = T.StructType([*spark_fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    first = max(read_ranks(path).values()) + 1
-    return folded.mapInArrow(_assembled(first, kept, to_arrow_schema(result)), result)
+    result = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    arrow = to_arrow_schema(result)
+
+    def finish(texts: pa.Table, ids: pa.ListArray) -> pa.Table:
+        return pa.Table.from_arrays([*(texts[c] for c in kept), ids], schema=arrow)
+
+    return _encoded(docs, path, text_column, kept, finish, result, block_chars, fold_bytes)
+
+
+def decode_lists(lists: pa.ListArray, path: str) -> Iterator[memoryview]:
+    """The joined pieces of each list's ids (of a null list nothing)."""
+    ranks = read_ranks(path)
+    pieces = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    ids = lists.flatten()
+    joined = pa.array(pieces, pa.large_binary()).take(ids)  # the pieces lie one after the other in one buffer
+    if joined.null_count:
+        raise ValueError("an id has no piece")
+    _, offsets, data = joined.buffers()
+    at = np.frombuffer(offsets, np.int64, len(ids) + 1, joined.offset * 8) if len(ids) else np.zeros(1, np.int64)
+    view, end = memoryview(data or b""), 0
+    for size in lists.value_lengths().fill_null(0).to_pylist():
+        end += size
+        yield view[at[end - size] : at[end]]
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -337,28 +471,27 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        piece = {rank: token for token, rank in read_ranks(path).items()}
-        rows = (None if not x.is_valid else b"".join(map(piece.__getitem__, x.values.to_pylist())) for x in lists)
-        return pa.array(rows, pa.binary())
+        return pa.array((bytes(text) if known else None for text, known in zip(decode_lists(lists, path), lists.is_valid().to_pylist())), pa.binary())
 
     return joined(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """Lower-case hex SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("binary")
-    def packed(lists: pa.Array) -> pa.Array:
-        return pa.array((None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in lists), pa.binary())
-
-    return F.sha2(packed(ids), 256)
+def round_trip(docs: DataFrame, path: str, block_chars: int = 8_000_000, fold_bytes: int = 64) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of
+    the bytes that the ids decode to), both lower-case hex, for each row of ``docs``.
 
+    Texts are encoded as by :func:`encode`; the digests are made where the ids are. Null and empty texts have 0
+    tokens and the digests of nothing; repeated rows and null ids stay. Other columns are neither read nor
+    returned.
+    """
+    result = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of ``docs``.
+    def finish(texts: pa.Table, ids: pa.ListArray) -> pa.Table:
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
+        packed = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+        decoded = []
+        for at in range(0, len(ids), 512):  # so that little decoded text is held at once
+            decoded += [hashlib.sha256(text).hexdigest() for text in decode_lists(ids.slice(at, 512), path)]
+        return pa.table({"doc_id": texts["doc_id"], "n_tokens": ids.value_lengths().cast(pa.int64()), "ids_sha256": pa.array(packed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
-    Null and empty texts have 0 tokens and the digests of nothing; repeated rows and null ids stay. Other
-    columns are neither read nor returned.
-    """
-    coded = encode(docs.select("doc_id", "text"), path, out="ids")
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return _encoded(docs.select("doc_id", "text"), path, "text", ["doc_id"], finish, result, block_chars, fold_bytes)

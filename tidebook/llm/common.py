@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +48,41 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back, which cuts its lineage for good."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run within hand at most so many rows at once to Python; texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Gives the memory of freed objects back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def materialise(frame: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back, which cuts its lineage for good.
+
+    With ``bucket`` the rows are filed by that column, so that grouping by it needs no shuffle.
+    """
     spark = frame.sparkSession
     path = shared_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    if bucket is None:
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    table = path.rpartition("/")[2].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.write.bucketBy(n, bucket).format("parquet").option("path", path).saveAsTable(table)
+    held = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # only its name: the files lie in the shared folder
+    return held
 
 
 def held_out(id_column: str) -> Column:
