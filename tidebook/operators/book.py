@@ -10,13 +10,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import TOP
+from ..schemas import LEVELS, TOP
 from .epochs import KEYS
-from .rows import framed
+from .rows import names_of
 
 
 class Side:
@@ -69,11 +69,11 @@ class Book:
         self.bids, self.asks, self.max_depth, self.no_op_deletes = Side(True), Side(False), max_depth, 0
 
     def apply(self, is_snapshot: bool, bids, asks) -> None:
+        """Takes an update in; ``bids`` and ``asks`` are pairs of price and size."""
         if is_snapshot:
             self.bids, self.asks = Side(True), Side(False)
         for side, levels in ((self.bids, bids), (self.asks, asks)):
-            for level in levels if levels is not None else ():
-                price, size = level["price"], level["size"]
+            for price, size in levels:
                 if not side.put(price, size) and not size > 0:
                     self.no_op_deletes += 1
             if self.max_depth is not None:
@@ -91,21 +91,27 @@ def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels:
     streamed through the fold, which holds one book at a time.
     """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, book = None, None
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if (r.venue, r.symbol, r.epoch) != key:
-                    key, book = (r.venue, r.symbol, r.epoch), Book(max_depth)
-                book.apply(r.is_snapshot, r.bids, r.asks)
-                bid, ask = book.bids.best(), book.asks.best()
-                out.append((r.symbol, r.epoch, r.idx, r.recv_ts_ns, r.exchange_ts_ns, *bid, *ask, book.average_depth(depth_levels)))
-            if out:
-                yield framed(out, TOP)
-
-    rows = audited.where("applied").select(*KEYS, "epoch", "idx", "is_snapshot", "recv_ts_ns", "exchange_ts_ns", "bids", "asks")
-    return rows.repartition(*KEYS, "epoch").sortWithinPartitions(*KEYS, "epoch", "idx").mapInPandas(fold, TOP)
+        for batch in batches:
+            venue, symbol, epoch, _, is_snapshot, _, _, bid_px, bid_sz, ask_px, ask_sz = (c.to_pylist() for c in batch.columns)
+            tops, depths = [], []
+            for k, new, bp, bs, ap, az in zip(zip(venue, symbol, epoch), is_snapshot, bid_px, bid_sz, ask_px, ask_sz):
+                if k != key:
+                    key, book = k, Book(max_depth)
+                book.apply(new, zip(bp, bs), zip(ap, az))
+                tops.append((*book.bids.best(), *book.asks.best()))
+                depths.append(book.average_depth(depth_levels))
+            if tops:
+                made = [pa.array(c, kind) for c, kind in zip(zip(*tops), (pa.int64(), pa.float64()) * 2)]
+                held = [batch.column(i) for i in (1, 2, 3, 5, 6)]
+                yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64())], names=names_of(TOP))
+
+    part = lambda c, f: F.transform(F.coalesce(c, F.array().cast(LEVELS)), lambda x: x[f])
+    rows = audited.where("applied").select(
+        *KEYS, "epoch", "idx", "is_snapshot", "recv_ts_ns", "exchange_ts_ns", part("bids", "price").alias("bp"), part("bids", "size").alias("bs"), part("asks", "price").alias("ap"), part("asks", "size").alias("az")
+    )
+    return rows.repartition(*KEYS, "epoch").sortWithinPartitions(*KEYS, "epoch", "idx").mapInArrow(fold, TOP)
 
 
 # --- levels by windows ------------------------------------------------------------------------------------------------

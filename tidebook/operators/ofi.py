@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import is_two_sided, mid
+from ..storage import cut
 from .ordered import Running, running, sliced
 
 TOB = ["bid_px", "bid_sz", "ask_px", "ask_sz"]
@@ -55,8 +56,9 @@ def buckets(event_rows: DataFrame, interval_ns: int, depth: str | None = None, k
     if interval_ns <= 0:
         raise ValueError("interval_ns must be positive")
     keys = list(keys)
-    rows = running(sliced(event_rows, "idx", width), keys, "idx", {"_reached": Running("max", F.col("recv_ts_ns"))})
-    first = rows.groupBy(*keys).agg(F.min_by("recv_ts_ns", "idx").alias("_t0"), F.max_by("recv_ts_ns", "idx").alias("_t1"))
+    event_rows = cut(event_rows)
+    rows = running(sliced(event_rows, "idx", width), keys, "idx", {"_reached": Running("max", F.col("recv_ts_ns"))}, keep=False)
+    first = event_rows.groupBy(*keys).agg(F.min_by("recv_ts_ns", "idx").alias("_t0"), F.max_by("recv_ts_ns", "idx").alias("_t1"))
     rows = rows.join(F.broadcast(first), keys).withColumn("_k", F.expr(f"(_reached - _t0) div {int(interval_ns)}"))
     both = is_two_sided(F.col("bid_px"), F.col("ask_px"))
     middle = F.when(both, mid(F.col("bid_px"), F.col("ask_px")))
@@ -84,9 +86,10 @@ def signed_volume(event_rows: DataFrame, kept: DataFrame, interval_ns: int, widt
     fall to the next kept one. Within a bucket each pair of neighbours adds the fall of the ask size at an
     unchanged ask, less the fall of the bid size at an unchanged bid.
     """
-    rows = running(sliced(event_rows, "idx", width), ["symbol"], "idx", {"_reached": Running("max", F.col("recv_ts_ns"))}).drop("_slice")
+    event_rows = cut(event_rows)
+    rows = running(sliced(event_rows, "idx", width), ["symbol"], "idx", {"_reached": Running("max", F.col("recv_ts_ns"))}, keep=False).drop("_slice")
     # the bucket of a time is found by its step on the interval grid: kept ends, and for each grid step the next of them
-    t0 = rows.groupBy("symbol").agg(F.min_by("recv_ts_ns", "idx").alias("_t0"), F.max("_reached").alias("_top"))
+    t0 = event_rows.groupBy("symbol").agg(F.min_by("recv_ts_ns", "idx").alias("_t0"))
     steps = kept.select("symbol", "start_ns", "end_ns").join(F.broadcast(t0), "symbol").withColumn("_k", F.expr(f"(start_ns - _t0) div {int(interval_ns)}"))
     w = Window.partitionBy("symbol").orderBy("_k")
     steps = steps.withColumn("_from", F.coalesce(F.lag("_k").over(w) + 1, F.lit(0)))

@@ -2,8 +2,8 @@
 
 A window over a symbol puts all its rows into one task. Here each group is cut into slices of the order, every
 slice is a window of its own, and a row for each slice carries what came before. The window over these carries
-is as small as the rows divided by the slice's length. All of it needs one shuffle of the rows, by group and
-slice; later windows over the same slices reuse it.
+is as small as the rows divided by the slice's length. The carry is the first row of its slice's window, so
+there is one shuffle of the rows, by group and slice, and no join.
 """
 
 from __future__ import annotations
@@ -36,42 +36,39 @@ def running(frame: DataFrame, keys: list[str], order: str, values: dict[str, Run
     so with ``keep`` they are computed once and kept; leave it out where they are a plain scan.
     """
     frame = cut(frame) if keep else frame
-    local = Window.partitionBy(*keys, slice_column).orderBy(order)
-    upto, before = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.row_number().over(local) == 1
-    inner, totals, carried, out = {}, [], [], {}
-    slices = Window.partitionBy(*keys).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
+    totals, carried = [], []
     for name, r in values.items():
-        a, t, c = f"_in_{name}", f"_all_{name}", f"_carry_{name}"
+        t, c = f"_all_{name}", f"_carry_{name}"
         if r.kind == "sum":
-            inner[a] = F.sum(r.value).over(upto)
             totals.append(F.sum(r.value).alias(t))
-            carried.append(F.sum(t).over(slices).alias(c))
-            out[name] = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(a), F.lit(0))
+            carried.append(F.sum(t).over(before).alias(c))
         elif r.kind == "max":
-            inner[a] = F.max(r.value).over(upto)
             totals.append(F.max(r.value).alias(t))
-            carried.append(F.max(t).over(slices).alias(c))
-            out[name] = F.greatest(c, a)
+            carried.append(F.max(t).over(before).alias(c))
         elif r.kind == "last":
-            inner[a] = F.last(r.value, ignorenulls=True).over(before)
             totals.append(F.max_by(r.value, F.when(r.value.isNotNull(), F.col(order))).alias(t))
-            carried.append(F.last(t, ignorenulls=True).over(slices).alias(c))
-            out[name] = F.coalesce(a, c)
+            carried.append(F.last(t, ignorenulls=True).over(before).alias(c))
         elif r.kind == "lag":
-            held = F.struct(r.value.alias("v"))
-            inner[a] = F.lag(held).over(local)
-            totals.append(F.max_by(held, F.col(order)).alias(t))
-            carried.append(F.last(t, ignorenulls=True).over(slices).alias(c))
-            out[name] = F.when(F.col("_first"), F.col(f"{c}.v")).otherwise(F.col(f"{a}.v"))
+            totals.append(F.max_by(F.struct(r.value.alias("v")), F.col(order)).alias(t))
+            carried.append(F.last(t, ignorenulls=True).over(before).alias(c))
         else:
             raise ValueError(f"unknown kind {r.kind}")
-    summed = frame.groupBy(*keys, slice_column).agg(*totals).select(*keys, slice_column, *carried)
-    carries = summed.select(*(F.col(k).alias(f"_key_{k}") for k in [*keys, slice_column]), *(f"_carry_{n}" for n in values))
-    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*keys, slice_column]]
-    rows = frame.withColumns(inner | {"_first": first})
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    joined = rows.join(carries, condition, "left").withColumns(out)
-    return joined.select(*[c for c in frame.columns if c not in values], *values)
+    carries = frame.groupBy(*keys, slice_column).agg(*totals).select(*keys, slice_column, *carried, F.lit(0).alias("_is_row"))
+    valued = frame.withColumns({f"_value_{name}": F.struct(r.value.alias("v")) if r.kind == "lag" else r.value for name, r in values.items()})
+    both = valued.withColumn("_is_row", F.lit(1)).unionByName(carries, allowMissingColumns=True)
+    # every slice's window begins with its carry, which has no values of its own
+    w = Window.partitionBy(*keys, slice_column).orderBy("_is_row", order)
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    for name, r in values.items():
+        value, carry = F.col(f"_value_{name}"), F.first(f"_carry_{name}").over(upto)
+        if r.kind == "sum":
+            out[name] = F.coalesce(carry, F.lit(0)) + F.coalesce(F.sum(value).over(upto), F.lit(0))
+        elif r.kind == "max":
+            out[name] = F.greatest(carry, F.max(value).over(upto))
+        elif r.kind == "last":
+            out[name] = F.coalesce(F.last(value, ignorenulls=True).over(earlier), carry)
+        else:
+            out[name] = F.coalesce(F.lag(value).over(w), carry)["v"]
+    return both.withColumns(out).where("_is_row = 1").select(*[c for c in frame.columns if c not in values], *values)

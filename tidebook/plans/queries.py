@@ -120,7 +120,7 @@ def crossed_check(spark, sf_dir):
 
 @query(
     f"WITH {BOOK}, side AS (SELECT symbol, string_agg(px || ':' || CAST(size AS BIGINT), ' ' ORDER BY level) FILTER (side = 'BUY') AS bids, string_agg(px || ':' || CAST(size AS BIGINT), ' ' ORDER BY level) FILTER (side = 'SELL') AS asks FROM ranked WHERE level <= 15 GROUP BY ALL), "
-    "newest AS (SELECT symbol, max(idx) AS idx, arg_max(bid_px, idx) AS bid_px, arg_max(ask_px, idx) AS ask_px, arg_max((bid_px + ask_px) / 2.0, idx) AS mid FROM tob GROUP BY ALL) "
+    "newest AS (SELECT symbol, idx, bid_px, ask_px, (bid_px + ask_px) / 2.0 AS mid FROM tob QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1) "
     "SELECT symbol, coalesce(bids, '') AS bids, coalesce(asks, '') AS asks, idx, bid_px, ask_px, mid FROM newest JOIN side USING (symbol)"
 )
 def ladder_snapshot(spark, sf_dir):

@@ -41,7 +41,8 @@ class LiveBook:
             return (r.symbol, r.idx, r.recv_ts_ns, False, None, 0.0, None, 0.0, 0.0, self.ofi, self.events, self.resyncs, self.updates)
         if r.is_snapshot:
             self.seq = None
-        self.book.apply(r.is_snapshot, r.bids, r.asks)
+        levels = lambda side: [(x["price"], x["size"]) for x in side] if side is not None else []
+        self.book.apply(r.is_snapshot, levels(r.bids), levels(r.asks))
         self.ready, self.updates = True, self.updates + 1
         self.seq = self.seq if seq is None else seq
         top = (*self.book.bids.best(), *self.book.asks.best())
