@@ -145,3 +145,17 @@ def test_conflation_keeps_the_newest(spark, tmp_path):
     stream = spark.readStream.schema("symbol string, idx long, v double").parquet(str(tmp_path / "in"))
     live.latest_sink(stream, lambda frame, epoch: seen.extend(tuple(r) for r in frame.collect()), str(tmp_path / "check")).awaitTermination(60)
     assert sorted(seen) == [("a", 3, 7.0), ("b", 2, 1.0)]
+
+
+def test_published_figures(spark, tmp_path):
+    """The published results of the simulators, to their printed digits."""
+    got = {r.strategy: r for r in simulate.summarise(simulate.dealer_sessions(spark, 5000)).collect()}
+    figures = lambda r: tuple(round(x, 2) for x in (r.pnl_mean, r.pnl_std, r.pnl_p05, r.pnl_p95, r.inv_std))
+    assert figures(got["inventory"]) == (57.33, 6.25, 47.23, 67.96, 2.98)
+    assert figures(got["symmetric"]) == (61.11, 12.95, 40.87, 82.15, 8.14)
+    simulate.simulate(spark, [11], 200_000).write.parquet(str(tmp_path / "sim"))
+    updates = simulate.opening(spark, [11]).unionByName(simulate.to_updates(spark.read.parquet(str(tmp_path / "sim"))))
+    flow = ofi.events(book.top_of_book(epochs.audit(updates)))
+    buckets = ofi.buckets(flow, 1_000_000_000, depth="depth").where("events > 0")
+    fit = stats.regress(buckets, "delta_mid", ["ofi"], ["symbol"], "start_ns").first()
+    assert (fit.n_obs, round(fit.r_squared, 3), round(fit.params[1], 3), round(fit.tstat[1], 1)) == (1491, 0.428, 0.063, 26.8)
