@@ -244,33 +244,39 @@ def fit_forest(findings: DataFrame | None = None, bound: int = 4000, dictionary_
 # --- scanning -------------------------------------------------------------------------------------------------------
 
 FINDINGS = "array<struct<start:int,end:int,kind:string,score:double>>"
+ITEM = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
+
+
+def scored(texts: list[str], paths: list[str], forest: Forest | None) -> list[list[dict]]:
+    """All candidates of each text with their scores, 0 to 1; without a forest the score is 1."""
+    words, rows, at = dictionary(forest.dictionary_path if forest else None), [], []
+    for n, (text, path) in enumerate(zip(texts, paths)):
+        for start, end, kind in candidates(text):
+            at.append((n, start, end, kind))
+            if forest:
+                rows.append(features(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], path, kind, words))
+    scores = forest.probability(np.array(rows)) if forest and rows else np.ones(len(at))
+    out: list[list[dict]] = [[] for _ in texts]
+    for (n, start, end, kind), score in zip(at, scores):
+        out[n].append({"start": start, "end": end, "kind": kind, "score": float(score)})
+    return out
 
 
 def findings_of(text: Column, path: Column, forest: Forest | None) -> Column:
-    """All candidates of a text with their scores, 0 to 1; without a forest the score is 1."""
+    """:func:`scored` of columns; null counts as empty."""
 
     @F.arrow_udf(FINDINGS)
     def found(texts: pa.Array, paths: pa.Array) -> pa.Array:
-        words, rows, at, owners = dictionary(forest.dictionary_path if forest else None), [], [], []
-        for n, (text, path) in enumerate(zip(texts_of(texts), texts_of(paths))):
-            for start, end, kind in candidates(text):
-                owners.append(n)
-                at.append((start, end, kind))
-                if forest:
-                    rows.append(features(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], path, kind, words))
-        scores = forest.probability(np.array(rows)) if forest and rows else np.ones(len(at))
-        out: list[list[dict]] = [[] for _ in range(len(texts))]
-        for n, (start, end, kind), score in zip(owners, at, scores):
-            out[n].append({"start": start, "end": end, "kind": kind, "score": float(score)})
-        item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
-        return pa.array(out, pa.list_(item))
+        out = []
+        for at in range(0, len(texts), 256):  # so that few texts are held twice at once
+            out += scored(list(texts_of(texts.slice(at, 256))), list(texts_of(paths.slice(at, 256))), forest)
+        return pa.array(out, pa.list_(ITEM))
 
     return found(text, path)
 
 
-def _scanned(docs: DataFrame, forest: Forest | None, text_column: str, path_column: str | None, out: str) -> DataFrame:
-    path = F.col(path_column).cast("string") if path_column else F.lit("")
-    return docs.withColumn(out, findings_of(F.col(text_column), path, forest))
+def _path(path_column: str | None) -> Column:
+    return F.col(path_column).cast("string") if path_column else F.lit("")
 
 
 def scan(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", path_column: str | None = None) -> DataFrame:
@@ -281,7 +287,7 @@ def scan(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, id_colu
     path counts as empty; repeated rows and null ids stay. Other columns are neither read nor returned.
     """
     columns = [id_column, text_column, *([path_column] if path_column and path_column not in (id_column, text_column) else [])]
-    found = _scanned(docs.select(*columns), forest, text_column, path_column, "_found")
+    found = docs.select(*columns).withColumn("_found", findings_of(F.col(text_column), _path(path_column), forest))
     secrets = F.transform(
         F.filter("_found", lambda f: f["score"] >= threshold),
         lambda f: F.struct(
@@ -297,24 +303,28 @@ def redact(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, mark:
 
     ``n_chars``, if there is such a column, is set anew where a text changes. All else stays as it is.
     """
-    columns, held = docs.columns, "_secret_scan_found"
-    found = _scanned(docs, forest, "text", path_column, held).withColumn(held, F.filter(held, lambda f: f["score"] >= threshold))
-
-    @F.arrow_udf("string")
-    def cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, secrets in zip(texts.to_pylist(), spans.to_pylist()):
-            at, parts = 0, []
-            for s in secrets or ():
-                parts += [text[at : s["start"]], mark]
-                at = s["end"]
-            out.append("".join([*parts, text[at:]]) if parts else text)
-        return pa.array(out, pa.string())
-
-    changed = found.withColumn("text", cleaned(F.col("text"), F.col(held)))
+    columns, held = docs.columns, "_secret_scan_cleaned"
+
+    @F.arrow_udf("struct<text:string,changed:boolean>")
+    def cleaned(texts: pa.Array, paths: pa.Array) -> pa.Array:
+        out, changed = [], []
+        for at in range(0, len(texts), 256):
+            some = texts.slice(at, 256).to_pylist()
+            found = scored([t or "" for t in some], list(texts_of(paths.slice(at, 256))), forest)
+            for text, all_found in zip(some, found):
+                end, parts = 0, []
+                for s in all_found:
+                    if s["score"] >= threshold:
+                        parts += [text[end : s["start"]], mark]
+                        end = s["end"]
+                out.append("".join([*parts, text[end:]]) if parts else text)
+                changed.append(bool(parts))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(changed)], names=["text", "changed"])
+
+    done = docs.withColumn(held, cleaned(F.col("text"), _path(path_column))).withColumn("text", F.col(f"{held}.text"))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.size(held) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*columns)
+        done = done.withColumn("n_chars", F.when(F.col(f"{held}.changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*columns)
 
 
 def fold_of(finding: tuple) -> int:
