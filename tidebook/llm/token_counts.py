@@ -63,7 +63,7 @@ def normalised(text: Column, path: str) -> Column:
     Null is the empty text. For tokenizers of .json files that drop white space, runs of it become one space.
     """
     text = F.coalesce(text, F.lit(""))
-    return F.regexp_replace(text, r"[ \t\r\n]+", " ") if path.endswith("word_bpe_49k.json") else text
+    return F.regexp_replace(text, r"[ \t\r\n]{2,}|[\t\r\n]", " ") if path.endswith("word_bpe_49k.json") else text
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
