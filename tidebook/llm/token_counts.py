@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import materialise, texts_of
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens bigint"
 
@@ -91,6 +91,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048, id_c
     stored = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
     misses = distinct.join(stored, "content_digest", "left_anti")
     misses.select("content_digest", F.lit(version).alias("tokenizer_digest"), count_tokens(F.col("content"), path).alias("n_tokens")).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # written, so that the join has a plain shuffle on either side and can split a digest that many rows have
+    counts = materialise(read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.first("n_tokens").alias("n_tokens")), "token-counts-known")
     keyed = docs.select(id_column, F.octet_length(F.coalesce(F.col(text_column), F.lit(""))).cast("bigint").alias("n_bytes"), digest.alias("content_digest"))
     return keyed.join(counts, "content_digest").select(id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
