@@ -37,18 +37,27 @@ def whole(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
-def _parsed(shape: str) -> Column:
-    return F.from_json("raw", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ODD})
+def _judged(frames: DataFrame, shape: str, judge: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """Adds outcome and updates, as ``judge`` makes them of the parsed text, which is parsed once for all uses."""
+    parsed = F.from_json("raw", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ODD})
 
+    def both(m: Column) -> Column:
+        outcome, updates = judge(m)
+        return F.struct(outcome.alias("outcome"), F.when(outcome == "parsed", updates).alias("updates"))
 
-def _is_object() -> Column:
-    """Whether the text is a JSON object; only one that lacks the shape is parsed a second time."""
-    sound = F.col(f"_m.{ODD}").isNull() | F.try_parse_json("raw").isNotNull()
-    return F.coalesce(F.startswith(F.ltrim("raw"), F.lit("{")), F.lit(False)) & sound
+    judged = F.get(F.transform(F.array(parsed), both), F.lit(0))
+    return frames.withColumn("_judged", judged).select(*frames.columns, "_judged.outcome", "_judged.updates")
 
 
-def has(name: str) -> Column:
-    return F.col(f"_m.{name}").isNotNull() | F.get_json_object("raw", f"$.{name}").isNotNull()
+def _outcome(m: Column, wanted: Column, bad: Column) -> Column:
+    # only an object that lacks the shape is parsed a second time
+    sound = m[ODD].isNull() | F.try_parse_json("raw").isNotNull()
+    is_object = F.coalesce(F.startswith(F.ltrim("raw"), F.lit("{")), F.lit(False)) & sound
+    return F.when(~F.coalesce(is_object & wanted, F.lit(False)), "ignored").when(bad, "parse_error").otherwise("parsed")
+
+
+def has(m: Column, name: str) -> Column:
+    return m[name].isNotNull() | F.get_json_object("raw", f"$.{name}").isNotNull()
 
 
 def okx(frames: DataFrame, decimals: int = 1, symbol: str = "BTC-USDT") -> DataFrame:
@@ -56,20 +65,23 @@ def okx(frames: DataFrame, decimals: int = 1, symbol: str = "BTC-USDT") -> DataF
 
     A frame without an action is a snapshot. All elements of its data share its kind. Times are milliseconds.
     """
-    wanted = _is_object() & has("data") & F.col("_m.arg.channel").isin(*OKX_CHANNELS)
-    no_time = lambda d: d.isNull() | ((d["ts"] != "") & d["ts"].try_cast("bigint").isNull())
-    bad = F.col("_m.data").isNull() | F.exists("_m.data", lambda d: F.coalesce(no_time(d), F.lit(False)))
-    ts = lambda d: F.nullif(F.nullif(d["ts"], F.lit("")).try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
-    is_snapshot = F.coalesce("_m.action", F.lit("snapshot")) == "snapshot"
-    made = F.transform(
-        "_m.data",
-        lambda d: F.struct(
-            F.lit("okx").alias("venue"), F.coalesce("_m.arg.instId", F.lit(symbol)).alias("symbol"), is_snapshot.alias("is_snapshot"), whole(d["seqId"]).alias("seq"), whole(d["prevSeqId"]).alias("prev_seq"),
-            ts(d).alias("exchange_ts_ns"), F.col("recv_ns").alias("recv_ts_ns"), levels(d["bids"], decimals).alias("bids"), levels(d["asks"], decimals).alias("asks"),
-        ),
-    )
-    outcome = F.when(~F.coalesce(wanted, F.lit(False)), "ignored").when(bad, "parse_error").otherwise("parsed")
-    return frames.withColumn("_m", _parsed(OKX)).withColumn("outcome", outcome).withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m")
+
+    def judge(m: Column) -> tuple[Column, Column]:
+        wanted = has(m, "data") & m["arg"]["channel"].isin(*OKX_CHANNELS)
+        no_time = lambda d: d.isNull() | ((d["ts"] != "") & d["ts"].try_cast("bigint").isNull())
+        bad = m["data"].isNull() | F.exists(m["data"], lambda d: F.coalesce(no_time(d), F.lit(False)))
+        is_snapshot = F.coalesce(m["action"], F.lit("snapshot")) == "snapshot"
+        ts = lambda d: F.nullif(F.nullif(d["ts"], F.lit("")).try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
+        made = F.transform(
+            m["data"],
+            lambda d: F.struct(
+                F.lit("okx").alias("venue"), F.coalesce(m["arg"]["instId"], F.lit(symbol)).alias("symbol"), is_snapshot.alias("is_snapshot"), whole(d["seqId"]).alias("seq"), whole(d["prevSeqId"]).alias("prev_seq"),
+                ts(d).alias("exchange_ts_ns"), F.col("recv_ns").alias("recv_ts_ns"), levels(d["bids"], decimals).alias("bids"), levels(d["asks"], decimals).alias("asks"),
+            ),
+        )
+        return _outcome(m, wanted, bad), made
+
+    return _judged(frames, OKX, judge)
 
 
 def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contiguous: bool = True, order: str = "msg_idx", width: int = 1_000_000) -> DataFrame:
@@ -78,29 +90,33 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
     The number before is null for a snapshot and ``u - 1`` for a delta; with ``contiguous`` left out it is the
     last one seen in order of ``order``, snapshots included.
     """
-    wanted = _is_object() & F.startswith(F.coalesce("_m.topic", F.lit("")), F.lit("orderbook.")) & has("data")
-    bad = F.col("_m.data").isNull() | (F.col("_m.ts").isNotNull() & F.col("_m.ts").try_cast("bigint").isNull())
-    outcome = F.when(~F.coalesce(wanted, F.lit(False)), "ignored").when(bad, "parse_error").otherwise("parsed")
-    rows = frames.withColumn("_m", _parsed(BYBIT)).withColumn("outcome", outcome)
-    u, is_snapshot = whole(F.col("_m.data.u")), F.coalesce(F.col("_m.type") == "snapshot", F.lit(False))
-    before = u - 1
-    if not contiguous:
-        seen = Running("last", F.when(F.col("outcome") == "parsed", u))
-        rows = running(sliced(rows.withColumn("_symbol", F.col("_m.data.s")), order, width), ["_symbol"], order, {"_seen": seen})
-        before = F.col("_seen")
-    ts = F.nullif(F.col("_m.ts").try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
-    made = F.array(
-        F.struct(
-            F.lit("bybit").alias("venue"), F.coalesce("_m.data.s", F.lit(symbol)).alias("symbol"), is_snapshot.alias("is_snapshot"), u.alias("seq"), F.when(~is_snapshot, before).alias("prev_seq"),
-            ts.alias("exchange_ts_ns"), F.col("recv_ns").alias("recv_ts_ns"), levels(F.col("_m.data.b"), decimals).alias("bids"), levels(F.col("_m.data.a"), decimals).alias("asks"),
-        ),
-    )
-    return rows.withColumn("updates", F.when(F.col("outcome") == "parsed", made)).drop("_m", "_seen", "_symbol", "_slice")
+
+    def judge(m: Column) -> tuple[Column, Column]:
+        wanted = F.startswith(F.coalesce(m["topic"], F.lit("")), F.lit("orderbook.")) & has(m, "data")
+        bad = m["data"].isNull() | (m["ts"].isNotNull() & m["ts"].try_cast("bigint").isNull())
+        u, is_snapshot = whole(m["data"]["u"]), F.coalesce(m["type"] == "snapshot", F.lit(False))
+        ts = F.nullif(m["ts"].try_cast("bigint"), F.lit(0)) * F.lit(1_000_000)
+        made = F.array(
+            F.struct(
+                F.lit("bybit").alias("venue"), F.coalesce(m["data"]["s"], F.lit(symbol)).alias("symbol"), is_snapshot.alias("is_snapshot"), u.alias("seq"), F.when(~is_snapshot, u - 1).alias("prev_seq"),
+                ts.alias("exchange_ts_ns"), F.col("recv_ns").alias("recv_ts_ns"), levels(m["data"]["b"], decimals).alias("bids"), levels(m["data"]["a"], decimals).alias("asks"),
+            ),
+        )
+        return _outcome(m, wanted, bad), made
+
+    rows = _judged(frames, BYBIT, judge)
+    if contiguous:
+        return rows
+    update = F.get("updates", F.lit(0))
+    rows = running(sliced(rows.withColumn("_symbol", update["symbol"]), order, width), ["_symbol"], order, {"_seen": Running("last", update["seq"])})
+    seen = F.transform("updates", lambda x: x.withField("prev_seq", F.when(~x["is_snapshot"], F.col("_seen"))))
+    return rows.withColumn("updates", seen).drop("_seen", "_symbol", "_slice")
 
 
 def exploded(parsed: DataFrame, order: str = "msg_idx") -> DataFrame:
     """A row for each update of parsed frames, with idx in order of arrival (frame, then place in it)."""
-    rows = parsed.where(F.col("outcome") == "parsed").select(order, F.posexplode("updates").alias("_place", "_u"))
+    # frames that aren't parsed have no updates
+    rows = parsed.select(order, F.posexplode("updates").alias("_place", "_u"))
     # room for a thousand updates in a frame, so no global numbering is needed
     return rows.select(F.col(order).alias("msg_idx"), (F.col(order) * F.lit(1024) + F.col("_place")).alias("idx"), "_u.*")
 
