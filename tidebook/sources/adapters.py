@@ -115,8 +115,8 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
 
 def exploded(parsed: DataFrame, order: str = "msg_idx") -> DataFrame:
     """A row for each update of parsed frames, with idx in order of arrival (frame, then place in it)."""
-    # frames that aren't parsed have no updates
-    rows = parsed.select(order, F.posexplode("updates").alias("_place", "_u"))
+    # frames that aren't parsed have no updates; the outer form keeps Spark from parsing for a filter first
+    rows = parsed.select(order, F.posexplode_outer("updates").alias("_place", "_u")).where(F.col("_u").isNotNull())
     # room for a thousand updates in a frame, so no global numbering is needed
     return rows.select(F.col(order).alias("msg_idx"), (F.col(order) * F.lit(1024) + F.col("_place")).alias("idx"), "_u.*")
 
