@@ -320,10 +320,19 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -
     Among rows of that id the one of the smallest hash of the text stays, and one of repeated rows; rows with a
     null id stay only where no row of their component has one.
     """
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    printed = docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fingerprint"), digest.alias("digest"))
+    printed = docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fingerprint"), text_digest().alias("digest"))
+    return first_of_each(docs, _labelled(printed, radius))
+
+
+def text_digest() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+
+
+def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` keeps; ``rooted`` has doc_id, digest and root of each row."""
+    digest = text_digest()
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    first = _labelled(printed, radius).groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
     kept = materialise(first.select("first.doc_id", "first.digest").distinct().select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")), "simhash-kept")
     marked = docs.withColumn("_simhash_digest", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_simhash_digest") == F.col("_kept_digest")), "left_semi")
     repeated = materialise(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated_id")), "simhash-repeated")
