@@ -41,8 +41,8 @@ CANDIDATE = re.compile(
     + rf"|(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<assigned>{VALUE}{{6,}})"
     + r"|(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?P<opaque>[0-9A-Za-z+/_=-]{20,})(?![0-9A-Za-z+/_=-])"
 )
-#: A text without any of these has no candidate; this is faster to see.
-HINT = re.compile(r"[0-9]|-----BEGIN|(?i:passw|pwd|secret|token|key|auth|credential)")
+#: A text without any of these has no candidate; this is faster to see. Keys of a format need no digit.
+HINT = re.compile(r"[0-9]|-----BEGIN|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|(?i:passw|pwd|secret|token|key|auth|credential)")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
