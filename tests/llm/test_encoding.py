@@ -1,14 +1,17 @@
-"""The encoding stage decodes what it encodes."""
+"""The encoding stage decodes what it encodes, and its blocks are bounded in rows."""
 
 from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_operators import odd
 from tidebook.llm import bpe
+from tidebook.llm.queries import tokenizer_path
 
 
 def test_ids_are_decoded(spark, monkeypatch):
@@ -22,3 +25,11 @@ def test_ids_are_decoded(spark, monkeypatch):
     monkeypatch.setattr(bpe, "encode", damaged)
     with pytest.raises(Exception, match="decode to its text"):
         corpus_pipeline.encode_bytes(spark, docs, SF).collect()
+
+
+def test_blocks_of_empty_texts_are_bounded(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "").alias("text")).coalesce(1)
+    kind = T.StructType([T.StructField(bpe.BLOCK, T.LongType()), T.StructField(bpe.PART, T.IntegerType()), T.StructField(bpe.ROW, T.IntegerType()), T.StructField(bpe.COUNT, T.IntegerType()), T.StructField(bpe.DATA, T.BinaryType())])
+    coded = docs.mapInArrow(bpe._coded(tokenizer_path("byte_bpe_50k.tiktoken"), "text", [], to_arrow_schema(kind), 6400), kind)
+    rows = [r[1] for r in coded.groupBy(bpe.BLOCK).count().collect()]
+    assert sum(rows) == 3000 and max(rows) <= 100

@@ -225,6 +225,10 @@ def _rows(schema: pa.Schema, n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+#: What a row adds to its block besides its text, so that a block of empty texts is bounded as well.
+ROW_CHARS = 64
+
+
 def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, block_chars: int):
     """Texts to a row for each text, without a part, and a row for each part of a block's words.
 
@@ -285,7 +289,7 @@ def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, bloc
                 while at < len(batch) and (chars < block_chars or not coded):
                     text = texts[at].as_py() or ""
                     coded.append(np.array(list(map(codes.__getitem__, split_words(text))), np.int32))
-                    chars += len(text)
+                    chars += len(text) + ROW_CHARS
                     at += 1
                 held.append(({c: batch.column(batch.schema.get_field_index(c)).slice(start, at - start) for c in kept}, coded))
                 if chars >= block_chars:
