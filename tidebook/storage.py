@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,14 @@ from pyspark.sql import DataFrame
 def cut(frame: DataFrame) -> DataFrame:
     """The frame's rows, computed once and written to the checkpoint folder, so later uses read them again.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is named, as on a single machine, a
-    temporary folder is set.
+    The folder is the session's ``spark.checkpoint.dir``. Only a session of a single machine may leave that unset;
+    a temporary folder is set then. On a cluster executors would not see each other's files there.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes files that no frame refers to any more.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidebook-"))
+        root = context.getConf().get("spark.checkpoint.dir", None)
+        if root is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidebook-"))
     return frame.checkpoint()
