@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tidebook.functions import fixmsg, ticks
 from tidebook.operators import fixsession, matching, orders, risk, stats
+from tidebook.plans import queries
 from tidebook.schemas import COMMAND, EXECUTION, ORDER
 
 
@@ -67,6 +67,28 @@ def test_throttle_counts_accepted_messages_alone(spark):
     assert [r.accepted for r in risk.throttled(frame, 2).orderBy("idx").collect()] == [True, True, False, False, True, True, True]
 
 
+def test_throttle_with_times_that_go_back(spark):
+    rng = np.random.default_rng(4)
+    times = np.cumsum(rng.choice([0.1, 0.5, 1.5, 40.0, -30.0], 400, p=[0.5, 0.2, 0.2, 0.05, 0.05])).tolist()
+    frame = spark.createDataFrame([("S", i, t) for i, t in enumerate(times)], "symbol string, idx long, t_s double")
+    one, want = risk.Throttle(2), []
+    for t in times:
+        want.append(one.accept(t))
+    assert [r.accepted for r in risk.throttled(frame, 2, width=30).orderBy("idx").collect()] == want
+
+
+def test_exposure_as_of_arrival(spark):
+    rng = np.random.default_rng(5)
+    changes = [(f"S{rng.integers(2)}", i, float(rng.integers(-5, 6)), float(rng.integers(0, 3)), float(rng.integers(0, 3)), int(rng.integers(-1, 2))) for i in range(200)]
+    asked = [(f"S{rng.integers(2)}", int(rng.integers(0, 205)), n) for n in range(60)]
+    got = orders.exposure_as_of(spark.createDataFrame(changes, "symbol string, idx long, d_position double, d_buy double, d_sell double, d_open int"), spark.createDataFrame(asked, "symbol string, idx long, n long"), width=20).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        held = [c for c in changes if c[0] == r.symbol and c[1] < r.idx]
+        p, b, s, o = (sum(c[i] for c in held) for i in (2, 3, 4, 5))
+        assert (r.position, r.max_long, r.max_short, r.n_open) == (p, p + b, p - s, o)
+
+
 def test_self_trades(spark):
     working = spark.createDataFrame([("S", "SELL", 105), ("S", "SELL", None), ("S", "BUY", 95)], "symbol string, side string, price long")
     asked = spark.createDataFrame([("S", "BUY", 104), ("S", "BUY", 105), ("S", "SELL", 95), ("S", "SELL", 96), ("S", "BUY", None), ("T", "BUY", 500)], "symbol string, side string, price long")
@@ -104,6 +126,22 @@ def test_order_kinds(spark, command, last):
     assert matched(spark, [command])[0][-1][1] == last
 
 
+def test_walks_of_any_depth_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(9)
+    rest = [("S", side, int(rng.integers(90, 100) + (11 if side == "SELL" else 0)), i, float(rng.integers(1, 30))) for i, side in enumerate(rng.choice(["BUY", "SELL"], 120))]
+    takers = [(i, "S", str(rng.choice(["BUY", "SELL"])), float(rng.integers(0, 900)), None if rng.random() < 0.5 else int(rng.integers(88, 114))) for i in range(40)]
+    want = []
+    for taker, _, side, left, limit in takers:
+        for _, own, price, seq, size in sorted((r for r in rest if r[1] != side), key=lambda r: (r[2] if side == "BUY" else -r[2], r[3])):
+            if left <= 0 or (limit is not None and (price > limit if side == "BUY" else price < limit)):
+                break
+            want.append((taker, price, seq, min(left, size)))
+            left -= size
+    frames = spark.createDataFrame(takers, "taker_id long, symbol string, side string, qty double, limit_px long"), spark.createDataFrame(rest, "symbol string, side string, price long, seq long, remaining double")
+    for step in (1, 7, 256):
+        assert sorted(tuple(r) for r in matching.walk(*frames, ["symbol"], step).collect()) == sorted(want)
+
+
 def test_static_walk_equals_the_venue(spark):
     venue_trades = matched(spark, [("submit", "A", "BUY", 33, 102, "LIMIT", "IOC")])[1]
     rest = spark.createDataFrame([("S", side, p, i, float(q)) for i, (_, _, side, q, p) in enumerate(START)], "symbol string, side string, price long, seq long, remaining double")
@@ -156,21 +194,139 @@ def test_streams_cut_anywhere(spark):
     assert "".join(r.message or "" for r in fixsession.split_streams(rows).orderBy("idx", "n").collect()) == whole
 
 
+def test_required_fields(spark):
+    frame = spark.createDataFrame([(framed("35=0|49=A", spark),)], "raw string").withColumn("f", fixmsg.fields_of(F.col("raw")))
+    assert frame.select(fixmsg.require(F.col("f"), 49)).first()[0] == "A"
+    with pytest.raises(Exception, match="required tag 56"):
+        frame.select(fixmsg.require(F.col("f"), 56)).collect()
+
+
+def test_signed_fills(spark):
+    frame = spark.createDataFrame([("BUY", 3.0), ("SELL", 2.0)], "side string, q double")
+    assert [r[0] for r in frame.select(orders.signed_filled(F.col("side"), F.col("q"))).collect()] == [3.0, -2.0]
+
+
 def test_utc_text(spark):
     assert spark.range(1).select(fixmsg.utc_timestamp(F.lit(1789291800123999999))).first()[0] == "20260913-09:30:00.123"
 
 
-def test_session_rules():
+def active(heartbeat=30.0):
+    s = fixsession.Session(fixsession.Rules(heartbeat=heartbeat))
+    assert [o.kind for o in s.begin(0.0)] == ["A"] and s.hear("A", 1, {}, 0.0) == ([], False) and s.status == "ACTIVE"
+    return s
+
+
+def bodies(out):
+    return [(o.kind, o.body) for o in out]
+
+
+def test_numbers_out_of_turn():
+    s = active()
+    assert bodies(s.hear("D", 7, {}, 1.0)[0]) == [("2", {7: "2", 16: "0"})]
+    assert s.hear("D", 7, {43: "Y"}, 1.0) == ([], False) and s.hear("D", 2, {}, 1.0) == ([], True)
+    assert bodies(s.hear("D", None, {}, 1.0)[0]) == [("3", {58: "missing MsgSeqNum"})]
+    out, deliver = s.hear("D", 1, {}, 1.0)
+    assert bodies(out) == [("5", {58: "MsgSeqNum too low, expecting 3"})] and not deliver and s.status == "LOGOUT_SENT"
+
+
+def test_resets_of_the_number():
+    s = active()
+    assert bodies(s.hear("4", 9, {36: "1"}, 1.0)[0]) == [("3", {45: "9", 58: "NewSeqNo below expected"})]
+    assert bodies(s.hear("4", None, {36: "x"}, 1.0)[0]) == [("3", {58: "missing NewSeqNo"})]
+    assert s.hear("4", 9, {36: "20"}, 1.0) == ([], False) and s.expected == 20
+
+
+def test_clock():
+    s = active()
+    kinds = lambda at: [o.kind for o in s.wake(at)]
+    assert kinds(29.9) == [] and kinds(31.0) == ["0"] and kinds(37.0) == ["1"] and kinds(38.0) == []
+    assert s.hear("0", 2, {112: "other"}, 39.0) == ([], False) and s.test is not None
+    assert s.hear("0", 3, {112: s.test}, 40.0) == ([], False) and s.test is None
+    assert kinds(120.0) == ["0", "5"] and s.status == "DISCONNECTED" and kinds(500.0) == []
+
+
+def test_session_messages_in_turn():
+    s = active()
+    assert bodies(s.hear("1", 2, {112: "ping"}, 1.0)[0]) == [("0", {112: "ping"})]
+    assert bodies(s.hear("5", 3, {}, 1.0)[0]) == [("5", {58: "logout ack"})] and s.status == "DISCONNECTED"
+    s = active()
+    s.end(1.0)
+    assert s.hear("5", 2, {}, 2.0) == ([], False)
     s = fixsession.Session()
-    assert s.logon(0.0)[0][0] == "A" and s.on_message("A", 1, {}, 0.0) == ([], False) and s.state == "ACTIVE"
-    assert s.on_message("D", 7, {}, 1.0)[0][0][2] == {7: "2", 16: "0"}
-    assert s.on_message("D", 7, {43: "Y"}, 1.0) == ([], False) and s.on_message("D", 2, {}, 1.0) == ([], True)
-    assert s.on_message("4", 9, {36: "2"}, 1.0)[0][0][0] == "3" and s.on_message("4", 9, {36: "20"}, 1.0) == ([], False) and s.in_seq == 20
-    s.send("D", 2.0, {11: "x"})
-    again = s.resend(1, 0, 3.0)
-    assert [(k, n) for k, n, _ in again] == [("4", 1), ("D", 4)]
-    out = [k for k, _, _ in itertools.chain(s.poll(33.0), s.poll(40.0), s.poll(80.0))]
-    assert out == ["0", "1", "0", "5"] and s.state == "DISCONNECTED"
+    s.begin(0.0)
+    assert s.hear("D", 1, {}, 0.0) == ([], True) and s.status == "ACTIVE"
+
+
+def test_sent_again_in_islands():
+    s = active()
+    s.write("D", 1_000_000_000.25, {11: "x", 58: "a"})
+    s.write("0", 3.0)
+    s.write("D", 4.0, {11: "y"})
+    s.write("0", 5.0)
+    before = s.number
+    again = s.again(1, 0, 6.0)
+    assert [(o.kind, o.number, o.body.get(36)) for o in again] == [("4", 1, "2"), ("D", 2, None), ("4", 3, "4"), ("D", 4, None), ("4", 5, "6")] and s.number == before
+    assert [(o.kind, o.number) for o in s.again(2, 2, 6.0)] == [("D", 2)] and s.again(9, 0, 6.0) == []
+    first = again[1]
+    assert first.body[43] == "Y" and first.body[122] == "20010909-01:46:40.250" and first.body[11] == "x"
+
+
+def test_what_goes_out_again_is_framed_anew(spark):
+    s = active()
+    s.write("D", 1.0, {11: "x"})
+    plain = [s.raw(o) for o in (*s.again(1, 0, 60.0), s.write("D", 2.0, {11: "y"}))]
+    for raw in plain:
+        assert decode(spark, raw).error is None
+    again = decode(spark, plain[1]).f
+    assert {f.tag: f.value for f in again}[122] == "19700101-00:00:01.000" and {f.tag: f.value for f in again}[52] == "19700101-00:01:00.000"
+
+
+def test_a_logon_begins_a_session_of_its_own(spark):
+    kind = "conn string, idx long, op string, t_s double, msg_type string, seq long, body map<int,string>"
+    day = [("logon", 0.0, None, None, None), ("message", 1.0, "A", 1, {108: "10"}), ("send", 2.0, "D", None, {11: "x"}), ("message", 3.0, "D", 2, None), ("message", 4.0, "2", 3, {7: "1", 16: "0"}), ("poll", 17.0, None, None, None), ("logout", 18.0, None, None, None)]
+    rows = [("c", d * 100 + i, op, d * 1000.0 + t, k, q, b) for d in range(3) for i, (op, t, k, q, b) in enumerate(day)]
+    got = fixsession.run_sessions(spark.createDataFrame(rows, kind), width=10).collect()
+    by_day = {}
+    for r in sorted(got, key=lambda r: (r.idx, r.n)):
+        by_day.setdefault(r.idx // 100, []).append((r.idx % 100, r.n, r.state, r.in_seq, r.out_seq, r.deliver, r.out_type, r.out_msg_seq))
+    assert by_day[0] == by_day[1] == by_day[2]
+    assert [x[6] for x in by_day[0]] == ["A", None, "D", None, "4", "D", "0", "1", "5"] and [x[5] for x in by_day[0]].count(True) == 1
+
+
+def test_registered_sessions_against_a_plain_loop(spark):
+    """Of the query's sessions: numbers go 1, 2, 3, then the fourth is missing for good, so all later ones are early."""
+    got, want = {}, {}
+    for r in queries.fix_session(spark, SF).collect():
+        got.setdefault(r.conn, []).append((r.idx, r.n, r.in_seq, r.deliver, r.out_type))
+    sent = {}
+    for r in sorted(queries.sent(spark, SF).collect(), key=lambda r: r.seq):
+        sent.setdefault(str(r.conn), []).append((r.seq, r.msg_type))
+    for conn, log in sent.items():
+        rows, expected, wrote, heard, tested, over = [(0, 0, 1, False, "A")], 1, 0.0, 0.0, False, False
+        for seq, kind in log:
+            if seq % 9 == 5:
+                continue
+            now, out, deliver = seq * 12.0, [], False
+            if seq % 4 == 0:
+                if not over:
+                    if now - wrote >= 30:
+                        out.append("0")
+                    if now - heard >= 72:
+                        out.append("5")
+                        over = True
+                    elif now - heard >= 36 and not tested:
+                        out.append("1")
+                        tested = True
+            else:
+                heard = now
+                if seq == expected:
+                    expected, deliver = expected + 1, kind == "D"
+                else:
+                    out.append("2")
+            wrote = now if out else wrote
+            rows += [(seq + 1, n, expected, deliver, o) for n, o in enumerate(out or [None])]
+        want[conn] = rows
+    assert {c: sorted(x, key=lambda r: r[:2]) for c, x in got.items()} == want
 
 
 # --- numbers ----------------------------------------------------------------------------------------------------------
@@ -206,7 +362,20 @@ def test_quantiles(spark):
     got = stats.latency_report(frame).first()
     assert (got.n, got.p50, got.max_ns, got.mean_ns) == (101, 50.0, 100.0, 50.0)
     assert stats.latency_report(frame, warmup=10).first().n == 91
-    assert np.isnan(frame.where("false").agg(stats.quantiles(F.col("ns"), [0.5])).first()[0][0])
+    none = stats.quantiles(frame.where("false"), [], "ns", [0.5]).first()
+    assert none.n == 0 and np.isnan(none.q[0])
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 1.0, 1.0, 2.0], [0.1 * (i * 7919 % 1000) for i in range(1000)], [5.0] * 50 + [6.0]])
+def test_quantiles_by_ranks_equal_numpy(spark, values):
+    shares = [0.0, 0.05, 0.2, 0.5, 0.77, 0.999, 1.0]
+    rows = [(k, v) for k in "ab" for v in values] + [("a", None), ("c", None)]
+    got = {r.k: r for r in stats.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares).collect()}
+    for k in "ab":
+        assert got[k].n == len(values) and got[k].q == pytest.approx(np.quantile(values, shares))
+    assert got["c"].n == 0 and all(np.isnan(got["c"].q))
+    whole = stats.quantiles(spark.createDataFrame(rows, "k string, v double"), [], "v", shares).first()
+    assert whole.q == pytest.approx(np.quantile(values * 2, shares))
 
 
 def test_measures(spark):
