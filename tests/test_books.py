@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import book, epochs, ofi
-from tidebook.operators.ordered import Running, running, sliced
+from tidebook.operators.ordered import Running, numbered, ranged, rolling_mean, running, sliced
 from tidebook.schemas import UPDATE
 
 
@@ -133,7 +133,7 @@ def test_buckets_equal_a_plain_loop(spark, seed):
     rows = random_feed(seed)
     audited = epochs.audit(spark.createDataFrame(rows, UPDATE))
     flow = ofi.events(book.top_of_book(audited), width=50)
-    got = ofi.buckets(flow, 7000, width=60).orderBy("start_ns").collect()
+    got = ofi.buckets(flow, 7000).orderBy("start_ns").collect()
     want = bucket_loop(loop(rows), 7000)
     assert [(r.start_ns, r.end_ns, r.ofi, r.delta_mid, r.avg_depth, r.events) for r in got] == [pytest.approx(w) for w in want]
 
@@ -148,7 +148,7 @@ def test_bucket_arguments(spark):
     [((100, 15, 102, 8), 5), ((100, 6, 102, 8), -4), ((101, 3, 102, 8), 3), ((99, 40, 102, 8), -10), ((100, 10, 102, 12), -4), ((100, 10, 102, 5), 3), ((100, 10, 101, 6), -6), ((100, 10, 103, 30), 8), ((101, 3, 103, 30), 11), ((100, 10, 102, 8), 0), ((None, 0, 102, 8), 0)],
 )
 def test_contributions(spark, after, e):
-    rows = [("S", 1, 1, 1, None, 100, 10.0, 102, 8.0, 0.0), ("S", 1, 2, 2, None, after[0], float(after[1]), after[2], float(after[3]), 0.0)]
+    rows = [("v", "S", 1, 1, 1, None, 100, 10.0, 102, 8.0, 0.0), ("v", "S", 1, 2, 2, None, after[0], float(after[1]), after[2], float(after[3]), 0.0)]
     got = {r.idx: r for r in ofi.events(spark.createDataFrame(rows, book.TOP)).collect()}
     assert got[1].e == 0 and not got[1].changed and got[2].e == e and got[2].changed == (after != (100, 10, 102, 8))
 
@@ -165,3 +165,28 @@ def test_running_values_over_slices_equal_windows(spark):
         assert r.s == sum(known) and r.m == max(known, default=None)
         assert r.p == next((v for v in reversed(past) if v is not None), None) and r.l == (past[-1] if past else None)
         past.append(r.v)
+
+
+def test_first_values_places_and_rolling_means_over_slices(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, float(rng.randint(0, 9))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "k string, o long, v double")
+    first = {r.o: r.f for r in running(sliced(frame, "o", 17), ["k"], "o", {"f": Running("first", F.col("v"))}).collect()}
+    placed = {r.o: r.n for r in numbered(ranged(frame, ["k"], "o"), ["k"], "o", "n", keep=False).collect()}
+    mean = {r.o: r.m for r in rolling_mean(frame, ["k"], "o", "v", 7, "m", width=50, block=20).collect()}
+    seen = {}
+    for k, o, v in rows:
+        past = seen.setdefault(k, [])
+        past.append(v)
+        assert first[o] == past[0] and placed[o] == len(past) and mean[o] == pytest.approx(sum(past[-7:]) / len(past[-7:]))
+    assert len(mean) == 400
+
+
+def test_drained_flow_and_rates(spark):
+    rows = random_feed(4)
+    flow = ofi.events(book.top_of_book(epochs.audit(spark.createDataFrame(rows, UPDATE)))).persist()
+    whole = flow.agg(F.sum("e").alias("e"), F.count_if("changed").alias("n")).first()
+    drained = ofi.drained(flow, 50).collect()
+    assert sum(r.ofi for r in drained) == pytest.approx(whole.e) and sum(r.events for r in drained) == whole.n and len(drained) > 1
+    rates = ofi.rates(flow, 10_000).collect()
+    assert sum(r.messages for r in rates) == flow.count() and all(r.per_sec == r.messages / 1e-5 for r in rates)

@@ -40,6 +40,6 @@ def test_query_equals_sql(spark, sql, name):
     assert rows_of(frame.columns, frame.collect()) == rows_of(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"simulated_market", "dealer_comparison"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -1,4 +1,4 @@
-"""Captures, price texts, simulators and streaming against batch."""
+"""Captures, price texts, venues and streaming against batch."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.test_books import loop, random_feed
 from tidebook.functions import ticks
-from tidebook.operators import book, epochs, ofi, simulate, stats
+from tidebook.operators import book, epochs, ofi
+from tidebook.schemas import UPDATE
 from tidebook.sources import adapters, capture
 from tidebook.streaming import live
 
@@ -83,59 +85,82 @@ def test_bybit_numbers(spark):
 
 
 @pytest.fixture(scope="module")
-def market(spark):
-    seeds = [11, 12]
-    events = simulate.simulate(spark, seeds, 6000).cache()
-    return events, simulate.opening(spark, seeds)
-
-
-def test_simulated_books_are_sound(market):
-    events, _ = market
-    assert events.count() == 12_000 and events.where("bid_px >= ask_px").count() == 0 and events.where("size < 0").count() == 0
-
-
-def test_replay_gives_the_simulators_book_through_the_wire(spark, market):
-    events, opening = market
-    updates = opening.unionByName(simulate.to_updates(events)).where("symbol = '11'")
+def feed(spark):
+    """Two venues of one symbol, and a second symbol: rows in one order of arrival, with gaps and snapshots."""
+    rows = []
+    for n, (venue, symbol) in enumerate((("v", "S"), ("w", "S"), ("v", "T"))):
+        rows += [(venue, symbol, r[2] * 3 + n, *r[3:]) for r in random_feed(n + 7, 300)]
+    return rows
+
+
+def alone(feed, venue, symbol):
+    return loop([r for r in feed if r[:2] == (venue, symbol)])
+
+
+def test_each_venue_keeps_its_own_book_and_flow(spark, feed):
+    """Two venues that quote one symbol don't mix: each comes out as it does alone."""
+    flow = ofi.events(book.top_of_book(epochs.audit(spark.createDataFrame(feed, UPDATE))))
+    got, sums = {}, {}
+    for r in ofi.cumulative(flow).collect():
+        got.setdefault((r.venue, r.symbol), {})[r.idx] = (r.recv_ts_ns, r.bid_px, r.bid_sz, r.ask_px, r.ask_sz)
+        sums.setdefault((r.venue, r.symbol), []).append((r.idx, r.e, r.ofi, r.events))
+    assert got == {key: alone(feed, *key) for key in (("v", "S"), ("w", "S"), ("v", "T"))}
+    for key, rows in sums.items():
+        tops, total, n, before = got[key], 0.0, 0, None
+        for idx, e, ofi_, events in sorted(rows):
+            top = tops[idx][1:]
+            want = live.flow(before, top) if before else 0.0
+            total, n, before = total + want, n + (before is not None and top != before), top
+            assert (e, ofi_, events) == (want, total, n)
+
+
+def test_still_venues_of_one_symbol_have_no_flow(spark):
+    rows = [(v, "S", i, i < 2, i, None, None, i, [(p, 5.0)], [(p + 2, 5.0)]) for i, (v, p) in enumerate([("a", 100), ("b", 200)] * 3)]
+    got = ofi.events(book.top_of_book(epochs.audit(spark.createDataFrame(rows, UPDATE)))).collect()
+    assert len(got) == 6 and {r.e for r in got} == {0.0} and not any(r.changed for r in got)
+    assert {r.crossed_seen for r in book.crossings(book.top_of_book(epochs.audit(spark.createDataFrame(rows, UPDATE)))).collect()} == {0}
+
+
+def test_books_go_through_the_wire(spark, feed):
+    """Updates as frames of a venue and back give the same books."""
+    updates = spark.createDataFrame([("okx", s, *r) for v, s, *r in feed if v == "v"], UPDATE)
     parsed = adapters.okx(adapters.to_okx_frames(updates, 1).withColumnRenamed("idx", "msg_idx"), 1)
-    replayed = adapters.exploded(parsed).drop("idx").withColumnRenamed("msg_idx", "idx")
-    tops = book.top_of_book(epochs.audit(replayed)).alias("t")
-    sim = events.where("seed = 11").alias("s")
-    same = tops.join(sim, F.col("t.idx") == F.col("s.n") * 2).where(" AND ".join(f"t.{c} <=> s.{c}" for c in ofi.TOB)).count()
-    assert same == 6000
+    back = adapters.exploded(parsed).drop("idx").withColumnRenamed("msg_idx", "idx")
+    tops = lambda frame: {(r.symbol, r.idx): (r.bid_px, r.bid_sz, r.ask_px, r.ask_sz) for r in book.top_of_book(epochs.audit(frame, strict=False)).collect()}
+    assert tops(back) == tops(updates)
 
 
-def test_lost_messages_are_found(spark, market):
-    events, opening = market
-    lost = opening.unionByName(simulate.to_updates(events, drop_every=200))
-    audited = epochs.audit(lost)
-    assert audited.where("NOT applied").groupBy("symbol").agg(F.min("idx")).collect()[0][1] == 402
+def test_ages_and_lags(spark):
+    rows = [("v", "S", i, i == 0, i, None, None if i == 2 else 100 * i, 100 * i + 7, [], []) for i in range(3)]
+    tops = book.top_of_book(epochs.audit(spark.createDataFrame(rows, UPDATE)))
+    got = book.feed_age(tops, F.lit(1000)).first()
+    assert (got.age_ns, got.lag_ns) == (793, None)
+    assert book.feed_age(tops.where("idx < 2"), F.lit(1000)).first().lag_ns == 7
 
 
 def test_recovery_from_lost_messages(spark):
-    """The published experiment: 100 of 20,000 deltas lost, a snapshot two events after each loss."""
-    events = simulate.simulate(spark, [11], 20_000, snapshot_every=200, snapshot_offset=2)
-    updates = simulate.opening(spark, [11]).unionByName(simulate.to_updates(events, 200, 200, 2))
-    stats_ = epochs.gap_stats(epochs.audit(updates)).first()
-    assert (stats_.frames, stats_.updates_applied, stats_.resyncs, stats_.snapshots_applied) == (20_001, 19_803, 198, 101)
-
-
-def test_flow_moves_prices(spark, market):
-    events, opening = market
-    tops = book.top_of_book(epochs.audit(opening.unionByName(simulate.to_updates(events))))
-    buckets = ofi.buckets(ofi.events(tops), 1_000_000_000, depth="depth").where("events > 0")
-    for fit in stats.regress(buckets, "delta_mid", ["ofi"], ["symbol"], "start_ns").collect():
-        assert fit.params[1] > 0 and fit.tstat[1] > 3 and fit.r_squared > 0.15
-
-
-def test_inventory_quotes_lower_risk(spark):
-    got = {r.strategy: r for r in simulate.summarise(simulate.dealer_sessions(spark, 600, seed=99)).collect()}
-    assert got["inventory"].pnl_std < 0.8 * got["symmetric"].pnl_std and got["inventory"].inv_std < 0.6 * got["symmetric"].inv_std
-
-
-def test_streams_equal_batch(spark, market, tmp_path):
-    events, opening = market
-    updates = opening.unionByName(simulate.to_updates(events.where("n <= 900"), drop_every=300))
+    """100 of 20,000 deltas lost, a snapshot two events after each loss: two frames in each are dropped."""
+    rows, seq = [("v", "S", 0, True, 0, None, None, 0, [(1, 1.0)], [(3, 1.0)])], 0
+    for n in range(1, 20_001):
+        seq += 1
+        if n % 200 == 0:
+            continue
+        snapshot = n % 200 == 2 and n > 200
+        rows.append(("v", "S", n, snapshot, seq, None if snapshot else seq - 1, None, n, [(1, float(n % 5 + 1))], []))
+    stats_ = epochs.gap_stats(epochs.audit(spark.createDataFrame(rows, UPDATE))).first()
+    assert (stats_.frames, stats_.snapshots_applied) == (19_901, 100) and stats_.updates_applied + stats_.resyncs == 19_901 and stats_.resyncs == 99
+
+
+def test_replay_counts_frames(spark):
+    book_ = lambda action, seq, prev, bids: json.dumps({"arg": {"channel": "books", "instId": "X"}, "action": action, "data": [{"bids": bids, "asks": [], "ts": "1", "seqId": seq, "prevSeqId": prev}]})
+    raws = [book_("snapshot", 1, -1, [["1", "1"]]), "{garbage", book_("update", 2, 1, [["1", "2"]]), book_("update", 9, 8, [["1", "9"]]), book_("snapshot", 10, -1, [["1", "3"]]), '{"arg":{"channel":"books"},"data":[1]}']
+    parsed = adapters.okx(frames(spark, raws), 1)
+    got = epochs.replay_stats(parsed, epochs.audit(adapters.exploded(parsed))).first()
+    assert (got.messages, got.ignored, got.parse_errors, got.updates, got.snapshots, got.resyncs) == (6, 1, 1, 3, 2, 1)
+
+
+def test_streams_equal_batch(spark, feed, tmp_path):
+    updates = spark.createDataFrame(feed, UPDATE)
     updates.orderBy("idx").repartitionByRange(4, "idx").write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
@@ -143,8 +168,8 @@ def test_streams_equal_batch(spark, market, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).where("applied")
     batch = ofi.cumulative(ofi.events(book.top_of_book(epochs.audit(updates))))
-    want = {(r.symbol, r.idx): (r.bid_px, r.bid_sz, r.ask_px, r.ask_sz, r.e, r.ofi, r.events) for r in batch.collect()}
-    assert {(r.symbol, r.idx): (r.bid_px, r.bid_sz, r.ask_px, r.ask_sz, r.e, r.ofi, r.events) for r in got.collect()} == want
+    of = lambda frame: {(r.venue, r.symbol, r.idx): (r.bid_px, r.bid_sz, r.ask_px, r.ask_sz, r.e, r.ofi, r.events) for r in frame.collect()}
+    assert of(got) == of(batch)
 
 
 def test_conflation_keeps_the_newest(spark, tmp_path):
@@ -153,17 +178,3 @@ def test_conflation_keeps_the_newest(spark, tmp_path):
     stream = spark.readStream.schema("symbol string, idx long, v double").parquet(str(tmp_path / "in"))
     live.latest_sink(stream, lambda frame, epoch: seen.extend(tuple(r) for r in frame.collect()), str(tmp_path / "check")).awaitTermination(60)
     assert sorted(seen) == [("a", 3, 7.0), ("b", 2, 1.0)]
-
-
-def test_published_figures(spark, tmp_path):
-    """The published results of the simulators, to their printed digits."""
-    got = {r.strategy: r for r in simulate.summarise(simulate.dealer_sessions(spark, 5000)).collect()}
-    figures = lambda r: tuple(round(x, 2) for x in (r.pnl_mean, r.pnl_std, r.pnl_p05, r.pnl_p95, r.inv_std))
-    assert figures(got["inventory"]) == (57.33, 6.25, 47.23, 67.96, 2.98)
-    assert figures(got["symmetric"]) == (61.11, 12.95, 40.87, 82.15, 8.14)
-    simulate.simulate(spark, [11], 200_000).write.parquet(str(tmp_path / "sim"))
-    updates = simulate.opening(spark, [11]).unionByName(simulate.to_updates(spark.read.parquet(str(tmp_path / "sim"))))
-    flow = ofi.events(book.top_of_book(epochs.audit(updates)))
-    buckets = ofi.buckets(flow, 1_000_000_000, depth="depth").where("events > 0")
-    fit = stats.regress(buckets, "delta_mid", ["ofi"], ["symbol"], "start_ns").first()
-    assert (fit.n_obs, round(fit.r_squared, 3), round(fit.params[1], 3), round(fit.tstat[1], 1)) == (1491, 0.428, 0.063, 26.8)

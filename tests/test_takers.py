@@ -38,7 +38,7 @@ def test_whole_walk(spark, by_hand):
         for price, size in fills:
             n = want[taker]
             n[0], n[1], n[2] = n[0] + 1, n[1] + size, n[2] + size * price
-    got = queries.QUERIES["walk_book_fill_whole"](spark, SF).collect()
+    got = queries.QUERIES["walk_book_fill"](spark, SF).collect()
     assert {r.taker_id: (r.n_fills, float(r.traded), float(r.notional)) for r in got} == {k: tuple(map(pytest.approx, v)) for k, v in want.items()}
 
 
@@ -48,5 +48,5 @@ def test_whole_check(spark, by_hand):
     for _, side, qty, whole, _ in by_hand:
         want[side, whole][0] += 1
         want[side, whole][1] += qty
-    got = queries.QUERIES["fok_check_whole"](spark, SF).collect()
+    got = queries.QUERIES["fok_check"](spark, SF).collect()
     assert {(r.side, r.fok_ok): [r.n, float(r.qty)] for r in got} == {k: [v[0], pytest.approx(v[1])] for k, v in want.items()}

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ticks import is_crossed
 from ..schemas import LEVELS, TOP
 from .epochs import KEYS
 from .rows import names_of
@@ -84,34 +85,48 @@ class Book:
         return (sum(s for _, s in self.bids.top(n)) + sum(s for _, s in self.asks.top(n))) / 2.0
 
 
-def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels: int = 5) -> DataFrame:
-    """A row for each applied update: symbol, epoch, idx, the times, best prices and sizes, and depth.
+def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels: int | None = None) -> DataFrame:
+    """A row for each applied update: venue, symbol, epoch, idx, the times, best prices and sizes, and depth.
 
-    depth is :meth:`Book.average_depth` of ``depth_levels``. Rows of an epoch are sorted within a partition and
-    streamed through the fold, which holds one book at a time.
+    depth is :meth:`Book.average_depth` of ``depth_levels``, null where that isn't given. The rows of an epoch
+    are streamed in order through the fold, which holds one book at a time. They come that way out of the window
+    that numbers them, which is the one that :func:`epochs.audit` has dealt them out for: no shuffle of its own.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, book = None, None
+        book = None
         for batch in batches:
-            venue, symbol, epoch, _, is_snapshot, _, _, bid_px, bid_sz, ask_px, ask_sz = (c.to_pylist() for c in batch.columns)
+            place, is_snapshot, bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).to_pylist() for i in (0, 1, 7, 8, 9, 10))
             tops, depths = [], []
-            for k, new, bp, bs, ap, az in zip(zip(venue, symbol, epoch), is_snapshot, bid_px, bid_sz, ask_px, ask_sz):
-                if k != key:
-                    key, book = k, Book(max_depth)
+            for n, new, bp, bs, ap, az in zip(place, is_snapshot, bid_px, bid_sz, ask_px, ask_sz):
+                if n == 1:
+                    book = Book(max_depth)
                 book.apply(new, zip(bp, bs), zip(ap, az))
                 tops.append((*book.bids.best(), *book.asks.best()))
-                depths.append(book.average_depth(depth_levels))
+                depths.append(book.average_depth(depth_levels) if depth_levels else None)
             if tops:
                 made = [pa.array(c, kind) for c, kind in zip(zip(*tops), (pa.int64(), pa.float64()) * 2)]
-                held = [batch.column(i) for i in (1, 2, 3, 5, 6)]
+                held = [batch.column(i) for i in (2, 3, 4, 5, 6, 11)]
                 yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64())], names=names_of(TOP))
 
     part = lambda c, f: F.transform(F.coalesce(c, F.array().cast(LEVELS)), lambda x: x[f])
-    rows = audited.where("applied").select(
-        *KEYS, "epoch", "idx", "is_snapshot", "recv_ts_ns", "exchange_ts_ns", part("bids", "price").alias("bp"), part("bids", "size").alias("bs"), part("asks", "price").alias("ap"), part("asks", "size").alias("az")
+    w = Window.partitionBy(*KEYS, "epoch").orderBy("idx")
+    rows = audited.where("applied").withColumn("_place", F.row_number().over(w)).select(
+        "_place", "is_snapshot", *KEYS, "epoch", "idx", "recv_ts_ns", part("bids", "price").alias("bp"), part("bids", "size").alias("bs"), part("asks", "price").alias("ap"), part("asks", "size").alias("az"), "exchange_ts_ns"
     )
-    return rows.repartition(*KEYS, "epoch").sortWithinPartitions(*KEYS, "epoch", "idx").mapInArrow(fold, TOP)
+    return rows.mapInArrow(fold, TOP)
+
+
+def crossings(tops: DataFrame) -> DataFrame:
+    """For each venue and symbol crossed_seen: how many updates left the book crossed or locked."""
+    return tops.groupBy(*KEYS).agg(F.count_if(is_crossed(F.col("bid_px"), F.col("ask_px"))).alias("crossed_seen"))
+
+
+def feed_age(tops: DataFrame, now_ns: Column) -> DataFrame:
+    """For each venue and symbol the newest update's age and the venue's lag (receipt after the venue's own time; null
+    where that is unknown), in nanoseconds."""
+    newest = latest(tops, KEYS, "idx", ["recv_ts_ns", "exchange_ts_ns"])
+    return newest.select(*KEYS, (now_ns - F.col("recv_ts_ns")).alias("age_ns"), (F.col("recv_ts_ns") - F.col("exchange_ts_ns")).alias("lag_ns"))
 
 
 # --- levels by windows ------------------------------------------------------------------------------------------------

@@ -40,3 +40,16 @@ def gap_stats(audited: DataFrame, frame_column: str = "idx") -> DataFrame:
         F.count_if(F.col("is_snapshot")).alias("snapshots_applied"),
         F.countDistinct(F.when(rejected, F.col(frame_column))).alias("resyncs"),
     )
+
+
+def replay_stats(parsed: DataFrame, audited: DataFrame) -> DataFrame:
+    """What a replay of frames counts, as one row: messages, ignored, parse_errors, updates (applied), snapshots and
+    resyncs (frames with a rejected update).
+
+    ``parsed`` are frames with their outcome, ``audited`` the updates of those that were parsed, with msg_idx.
+    """
+    judged = parsed.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("outcome") == "ignored").alias("ignored"), F.count_if(F.col("outcome") == "parse_error").alias("parse_errors"))
+    taken = audited.agg(
+        F.count_if("applied").alias("updates"), F.count_if(F.col("applied") & F.col("is_snapshot")).alias("snapshots"), F.countDistinct(F.when(~F.col("applied"), F.col("msg_idx"))).alias("resyncs")
+    )
+    return judged.join(taken, F.lit(True), "left")

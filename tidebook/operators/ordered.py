@@ -18,7 +18,7 @@ from ..storage import cut
 
 @dataclass(frozen=True)
 class Running:
-    """``kind``: sum (with the row), max (with the row), last (non-null, before the row) or lag (one row before)."""
+    """``kind``: sum, max or first (non-null; all with the row), last (non-null, before the row) or lag (one row before)."""
 
     kind: str
     value: Column
@@ -29,6 +29,29 @@ def sliced(frame: DataFrame, order: str, width: int, name: str = "_slice") -> Da
     return frame.withColumn(name, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
+def ranged(frame: DataFrame, keys: list[str], order: str, name: str = "_slice") -> DataFrame:
+    """Adds slices of about equal size for an order of any type: the partitions of a distributed sort, kept."""
+    return cut(frame.repartitionByRange(*keys, order).withColumn(name, F.spark_partition_id().cast("bigint")))
+
+
+def numbered(frame: DataFrame, keys: list[str], order: str, name: str, slice_column: str = "_slice", keep: bool = True) -> DataFrame:
+    """Adds the place, from 1, in the order of ``order`` within ``keys``, which must be unique there."""
+    return running(frame, keys, order, {name: Running("sum", F.lit(1).cast("bigint"))}, slice_column, keep)
+
+
+def rolling_mean(frame: DataFrame, keys: list[str], order: str, value: str, rows: int, name: str, width: int = 1_000_000, block: int = 100_000) -> DataFrame:
+    """Adds the mean of ``value`` over a row and the ``rows - 1`` before it in the order of a numeric ``order``.
+
+    Rows are dealt into blocks by their place; a block also gets the last ``rows - 1`` of the block before.
+    """
+    block = max(block, rows)
+    placed = numbered(sliced(frame, order, width), keys, order, "_place").withColumn("_own", F.expr(f"(_place - 1) div {block}"))
+    lends = F.pmod(F.col("_place") - 1, F.lit(block)) >= block - (rows - 1)
+    spread = placed.withColumn("_block", F.explode(F.when(lends, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(1 - rows, 0)
+    return spread.withColumn(name, F.avg(value).over(w)).where(F.col("_block") == F.col("_own")).select(*frame.columns, name)
+
+
 def running(frame: DataFrame, keys: list[str], order: str, values: dict[str, Running], slice_column: str = "_slice", keep: bool = True) -> DataFrame:
     """Adds the running values, in the order of ``order`` within ``keys``; the order must be unique in a group.
 
@@ -46,6 +69,9 @@ def running(frame: DataFrame, keys: list[str], order: str, values: dict[str, Run
         elif r.kind == "max":
             totals.append(F.max(r.value).alias(t))
             carried.append(F.max(t).over(before).alias(c))
+        elif r.kind == "first":
+            totals.append(F.min_by(r.value, F.when(r.value.isNotNull(), F.col(order))).alias(t))
+            carried.append(F.first(t, ignorenulls=True).over(before).alias(c))
         elif r.kind == "last":
             totals.append(F.max_by(r.value, F.when(r.value.isNotNull(), F.col(order))).alias(t))
             carried.append(F.last(t, ignorenulls=True).over(before).alias(c))
@@ -67,6 +93,8 @@ def running(frame: DataFrame, keys: list[str], order: str, values: dict[str, Run
             out[name] = F.coalesce(carry, F.lit(0)) + F.coalesce(F.sum(value).over(upto), F.lit(0))
         elif r.kind == "max":
             out[name] = F.greatest(carry, F.max(value).over(upto))
+        elif r.kind == "first":
+            out[name] = F.coalesce(carry, F.first(value, ignorenulls=True).over(upto))
         elif r.kind == "last":
             out[name] = F.coalesce(F.last(value, ignorenulls=True).over(earlier), carry)
         else:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import sign
+from .ordered import Running, running, sliced
 from .rows import framed
 
 #: The statuses that may follow each status of an order.
@@ -30,20 +31,22 @@ def may_follow(before: Column, after: Column) -> Column:
     return F.concat_ws(">", before, after).isin(pairs)
 
 
-def new_orders(requests: DataFrame, prefix: str = "ORD", order: str = "idx") -> DataFrame:
+def new_orders(requests: DataFrame, prefix: str = "ORD", order: str = "idx", width: int = 1_000_000) -> DataFrame:
     """Adds cl_ord_id where it is null, status PENDING_NEW, and error: why a request is no order, else null.
 
-    Ids are numbered in the order of ``order``. Of repeated ids the first is an order.
+    Ids are numbered in the order of ``order``, over slices of it. Of repeated ids the first is an order.
     """
-    counted = requests.withColumn("_n", F.row_number().over(Window.partitionBy(F.col("cl_ord_id").isNull()).orderBy(order)))
-    named = counted.withColumn("cl_ord_id", F.coalesce("cl_ord_id", F.format_string(f"{prefix}-%08d", F.col("_n").cast("int"))))
-    again = F.row_number().over(Window.partitionBy("cl_ord_id").orderBy(order)) > 1
+    counted = running(sliced(requests, order, width), [], order, {"_n": Running("sum", F.col("cl_ord_id").isNull().cast("bigint"))}).drop("_slice")
+    named = counted.withColumn("cl_ord_id", F.coalesce("cl_ord_id", F.format_string(f"{prefix}-%08d", "_n")))
+    # one row for each id, aggregated before the shuffle; the join can split an id that many requests have
+    first = named.groupBy(F.col("cl_ord_id").alias("_id")).agg(F.min(order).alias("_first"))
+    named = named.join(first, F.col("cl_ord_id") == F.col("_id"))
     error = (
         F.when(~F.coalesce(F.col("qty") > 0, F.lit(False)), "quantity must be positive")
         .when((F.col("ord_type") == "LIMIT") & F.col("price").isNull(), "limit order without price")
-        .when(again, "duplicate id")
+        .when(F.col(order) > F.col("_first"), "duplicate id")
     )
-    return named.withColumn("error", error).withColumn("status", F.when(error.isNull(), "PENDING_NEW")).drop("_n")
+    return named.withColumn("error", error).withColumn("status", F.when(error.isNull(), "PENDING_NEW")).drop("_n", "_id", "_first")
 
 
 class OrderState:
@@ -128,6 +131,11 @@ def leaves(status: Column, qty: Column, cum_qty: Column) -> Column:
     return F.when(status.isin(*TERMINAL), 0.0).otherwise(F.greatest(F.lit(0.0), qty - cum_qty))
 
 
+def signed_filled(side: Column, cum_qty: Column) -> Column:
+    """The filled quantity, negative for a sale."""
+    return sign(side) * cum_qty
+
+
 def working(orders: DataFrame) -> DataFrame:
     return orders.where(~F.col("status").isin(*TERMINAL))
 
@@ -155,6 +163,21 @@ def exposure(fills: DataFrame, working_orders: DataFrame) -> DataFrame:
     return joined.select("symbol", "position", (F.col("position") + F.col("_buy")).alias("max_long"), (F.col("position") - F.col("_sell")).alias("max_short"))
 
 
+def exposure_as_of(changes: DataFrame, asked: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """``asked`` (symbol, idx and more) with position, max_long, max_short and n_open as they stood at each row's arrival.
+
+    ``changes``: symbol, idx, and what a fill, a new order or its end adds: d_position, d_buy and d_sell (working
+    quantity of either side) and d_open (working orders). A change counts for rows of a higher idx. Both streams
+    are one order, summed up over slices of it.
+    """
+    deltas = ["d_position", "d_buy", "d_sell", "d_open"]
+    # of one idx the question comes before the change
+    both = changes.select("symbol", (F.col("idx") * 2 + 1).alias("_o"), *deltas).unionByName(asked.withColumn("_o", F.col("idx") * 2).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    sums = running(sliced(both, "_o", 2 * width), ["symbol"], "_o", {f"_{d}": Running("sum", F.col(d)) for d in deltas})
+    out = sums.where("_asked").withColumn("position", F.col("_d_position").cast("double")).withColumn("n_open", F.col("_d_open").cast("bigint"))
+    return out.select(*asked.columns, "position", (F.col("position") + F.col("_d_buy")).alias("max_long"), (F.col("position") - F.col("_d_sell")).alias("max_short"), "n_open")
+
+
 def marked_profit(fills: DataFrame, marks: DataFrame) -> DataFrame:
     """For each symbol cash from fills plus the position at its mark (symbol, mark); null without a mark."""
     s = sign(F.col("side"))

@@ -96,13 +96,14 @@ class Throttle:
 def throttled(messages: DataFrame, limit: int, key: str = "symbol", window: float = 1.0, width: int = 1_000_000) -> DataFrame:
     """Adds ``accepted``: whether a message is within the limit, in order of arrival (idx) for each key.
 
-    What is accepted depends on what was, so this is a fold. A stretch in which no window's count of arrivals
-    exceeds the limit is accepted whole, and messages further apart than the window don't depend on each other:
-    each such stretch is folded by itself, so one key's stream is folded by many tasks.
+    What is accepted depends on what was, so this is a fold. A message that comes more than the window after all
+    before it depends on none of them: a key's stream is cut there, and each stretch is folded by itself. A key
+    that never pauses is one stretch, whose fold holds ``limit`` times and no rows.
     """
     timed = running(sliced(messages, "idx", width), [key], "idx", {"_t": Running("lag", F.col("t_s"))})
-    quiet = F.coalesce(F.col("t_s") - F.col("_t") > window, F.lit(True))
-    rows = running(timed, [key], "idx", {"_stretch": Running("sum", quiet.cast("bigint"))})
+    latest = running(timed, [key], "idx", {"_latest": Running("max", F.col("_t"))}, keep=False)
+    quiet = F.coalesce(F.col("t_s") - F.col("_latest") > window, F.lit(True))
+    rows = running(latest, [key], "idx", {"_stretch": Running("sum", quiet.cast("bigint"))})
     names = [*messages.columns, "accepted"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in messages.schema) + ", accepted boolean"
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .ordered import Running, numbered, ranged, running
 
 
 def rule_of_thumb_lags(n: Column) -> Column:
@@ -65,7 +66,7 @@ def regress(frame: DataFrame, y: str, xs: list[str], keys: list[str], order: str
     used = frame.select(*keys, order, F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
     for c in ["_y", *(f"_x{i}" for i in range(len(xs)))]:
         used = used.where(F.col(c).isNotNull() & ~F.isnan(c))
-    used = cut(used.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint")))
+    used = cut(numbered(ranged(used, keys, order), keys, order, "_i", keep=False).drop("_slice"))
     x = [F.lit(1.0)] * add_constant + [F.col(f"_x{i}") for i in range(len(xs))]
     sums = used.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_obs"), F.avg("_y").alias("y_mean"), F.array(*(F.sum(a * b) for a in x for b in x)).alias("gram"), F.array(*(F.sum(a * F.col("_y")) for a in x)).alias("xy")
@@ -100,9 +101,39 @@ def regress(frame: DataFrame, y: str, xs: list[str], keys: list[str], order: str
     )
 
 
-def quantiles(column: Column, shares: list[float]) -> Column:
-    """Exact quantiles with linear interpolation; NaN for no values."""
-    return F.coalesce(F.percentile(column, F.array(*map(F.lit, shares))), F.array(*(F.lit(float("nan")) for _ in shares)))
+def quantiles(frame: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """For each group of ``keys`` n, the count of values, and q, their exact quantiles with linear interpolation.
+
+    Null values don't count; a group without any has NaNs. Equal values are counted first, and the counts are
+    summed up over the parts of a distributed sort, which tells the ranks of each value: no task holds a group.
+    """
+    counted = frame.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running(ranged(counted, keys, "_v"), keys, "_v", {"_end": Running("sum", F.col("_n"))}, keep=False)
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    # the two places, from 0, between which a share lies; a row for each group and share
+    share = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares))))
+    asked = total.withColumn("_s", share).select(*keys, "n", "_s.i", "_s.at")
+    near = ranks.withColumn("_from", F.col("_end") - F.col("_n")).join(asked, keys) if keys else ranks.withColumn("_from", F.col("_end") - F.col("_n")).join(asked, F.lit(True))
+    low, high = F.floor("at"), F.ceil("at")
+    holds = lambda place: (F.col("_from") <= place) & (place < F.col("_end"))
+    found = near.where(holds(low) | holds(high)).groupBy(*keys, "n", "i", "at").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    found = found.withColumn("_q", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("at") - low))
+    listed = found.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda x: x["_q"]).alias("q"))
+    nans = F.array(*(F.lit(float("nan")) for _ in shares))
+    if not keys:
+        return frame.sparkSession.range(1).join(listed, F.lit(True), "left").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", nans).alias("q"))
+    groups = frame.select(*keys).distinct()
+    same = [groups[k].eqNullSafe(listed[k]) for k in keys]
+    return groups.join(listed, same, "left").select(*(groups[k] for k in keys), F.coalesce(listed["n"], F.lit(0)).alias("n"), F.coalesce(listed["q"], nans).alias("q"))
+
+
+def summary(frame: DataFrame, keys: list[str], value: str, shares: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """For each group n, mean, std (of a sample) and the exact quantiles p05 and p95 of a value: how two strategies'
+    sessions, say, are compared."""
+    sums = frame.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    q = quantiles(frame, keys, value, list(shares)).drop("n")
+    joined = sums.join(q, keys) if keys else sums.join(q, F.lit(True))
+    return joined.select(*keys, "n", "mean", "std", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p95"))
 
 
 def latency_report(samples: DataFrame, warmup: int = 0, stage: str = "stage", order: str = "idx", value: str = "ns") -> DataFrame:
@@ -115,13 +146,17 @@ def latency_report(samples: DataFrame, warmup: int = 0, stage: str = "stage", or
         ranked = samples.withColumn("_n", F.row_number().over(Window.partitionBy(stage, F.pmod(F.xxhash64(order), F.lit(64))).orderBy(order))).where(F.col("_n") <= warmup)
         edge = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(stage).orderBy(order))).groupBy(stage).agg(F.max(F.when(F.col("_n") <= warmup, F.col(order))).alias("_edge"))
         samples = samples.join(F.broadcast(edge), stage).where(F.col(order) > F.col("_edge"))
-    q = quantiles(F.col(value), [0.5, 0.9, 0.99, 0.999])
-    out = samples.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"), F.max(value).cast("double").alias("max_ns"), F.avg(value).alias("mean_ns"))
-    return out.select(stage, "n", *(F.col("_q")[i].alias(name) for i, name in enumerate(("p50", "p90", "p99", "p999"))), "max_ns", "mean_ns")
+    q = quantiles(samples, [stage], value, [0.5, 0.9, 0.99, 0.999]).drop("n")
+    sums = samples.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.max(value).cast("double").alias("max_ns"), F.avg(value).alias("mean_ns"))
+    return sums.join(q, stage).select(stage, "n", *(F.col("q")[i].alias(name) for i, name in enumerate(("p50", "p90", "p99", "p999"))), "max_ns", "mean_ns")
 
 
 def depth_groups(bucket_rows: DataFrame, keys: list[str], groups: int = 5, depth: str = "avg_depth") -> DataFrame:
-    """Adds ``depth_group``, from 1: the bucket's place between the exact quantiles of depth; the last takes its upper edge."""
-    edges = bucket_rows.groupBy(*keys).agg(quantiles(F.col(depth), [i / groups for i in range(groups + 1)]).alias("_edges"))
-    inner = F.filter(F.slice("_edges", 2, groups - 1), lambda e: e <= F.col(depth))
-    return bucket_rows.join(F.broadcast(edges), keys).withColumn("depth_group", (F.size(inner) + 1).cast("bigint")).drop("_edges")
+    """Adds ``depth_group``, from 1: the bucket's place between the exact quantiles of depth; the last takes its upper edge.
+
+    With no ``keys`` all buckets are one group.
+    """
+    edges = quantiles(bucket_rows, keys, depth, [i / groups for i in range(1, groups)]).drop("n").withColumnRenamed("q", "_edges")
+    inner = F.filter("_edges", lambda e: e <= F.col(depth))
+    joined = bucket_rows.join(edges, keys) if keys else bucket_rows.join(F.broadcast(edges), F.lit(True))  # one row without keys
+    return joined.withColumn("depth_group", (F.size(inner) + 1).cast("bigint")).drop("_edges")

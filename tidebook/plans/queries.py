@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixmsg, quotes, ticks
-from ..operators import book, epochs, fixsession, matching, ofi, orders, risk, simulate, stats
+from ..operators import book, epochs, fixsession, matching, ofi, orders, risk, stats
+from ..operators.ordered import rolling_mean
 from ..sources import adapters
 from .feed import BOOK, FEED, FLOW, buckets_sql, events, table, updates
 
@@ -125,15 +126,38 @@ def crossed_check(spark, sf_dir):
 )
 def ladder_snapshot(spark, sf_dir):
     text = lambda c: F.concat_ws(" ", F.transform(c, lambda x: F.concat_ws(":", x["price"].cast("string"), x["size"].cast("bigint").cast("string"))))
-    sides = book.ladder(standing(spark, sf_dir), 15).select("symbol", text("bids").alias("bids"), text("asks").alias("asks"))
-    newest = book.latest(tob(spark, sf_dir).withColumn("mid", ticks.mid(F.col("bid_px"), F.col("ask_px"))), ["symbol"], "idx", ["idx", "bid_px", "ask_px", "mid"])
-    return newest.join(sides, "symbol").select("symbol", "bids", "asks", "idx", "bid_px", "ask_px", "mid")
+    sides = book.ladder(standing(spark, sf_dir), 15).select(*epochs.KEYS, text("bids").alias("bids"), text("asks").alias("asks"))
+    newest = book.latest(tob(spark, sf_dir).withColumn("mid", ticks.mid(F.col("bid_px"), F.col("ask_px"))), epochs.KEYS, "idx", ["idx", "bid_px", "ask_px", "mid"])
+    return newest.join(sides, epochs.KEYS).select("symbol", "bids", "asks", "idx", "bid_px", "ask_px", "mid")
 
 
-@query()
+def shallow(side: str, best: str) -> str:
+    """One step of a truncated side in SQL: the level set, in order, the best five."""
+    kept = f"list_filter(CASE WHEN is_snapshot THEN [] ELSE {best} END, lambda x: r.side <> '{side}' OR x.p <> r.px)"
+    sign = "-" if side == "BUY" else ""
+    return f"list_sort({kept} || CASE WHEN r.side = '{side}' AND r.sz > 0 THEN [{{'o': {sign}r.px, 'p': r.px, 's': r.sz}}] ELSE [] END)[1:5]"
+
+
+@query(
+    f"WITH RECURSIVE {FEED}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, epoch ORDER BY idx) AS n FROM audit WHERE applied), none AS (SELECT list_filter([{{'o': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE)}}], lambda x: false) AS l), "
+    f"b AS (SELECT symbol, epoch, n, idx, recv_ts_ns, {shallow('BUY', 'l')} AS bids, {shallow('SELL', 'l')} AS asks FROM r, none WHERE n = 1 UNION ALL "
+    f"SELECT r.symbol, r.epoch, r.n, r.idx, r.recv_ts_ns, {shallow('BUY', 'b.bids')}, {shallow('SELL', 'b.asks')} FROM b JOIN r ON r.symbol = b.symbol AND r.epoch = b.epoch AND r.n = b.n + 1) "
+    "SELECT 'events' AS venue, symbol, epoch, idx, recv_ts_ns, CAST(NULL AS BIGINT) AS exchange_ts_ns, bids[1].p AS bid_px, coalesce(bids[1].s, 0.0) AS bid_sz, asks[1].p AS ask_px, coalesce(asks[1].s, 0.0) AS ask_sz, "
+    "(coalesce(list_sum(list_transform(bids, lambda x: x.s)), 0) + coalesce(list_sum(list_transform(asks, lambda x: x.s)), 0)) / 2.0 AS depth FROM b"
+)
 def book_truncated(spark, sf_dir):
     """Books that forget levels beyond the best five for good: only a fold has this."""
-    return book.top_of_book(audited(spark, sf_dir), max_depth=5)
+    return book.top_of_book(audited(spark, sf_dir), max_depth=5, depth_levels=5)
+
+
+@query(f"WITH {BOOK} SELECT symbol, count(*) FILTER (bid_px >= ask_px) AS crossed_seen FROM tob GROUP BY ALL")
+def crossed_seen(spark, sf_dir):
+    return book.crossings(tob(spark, sf_dir)).select("symbol", "crossed_seen")
+
+
+@query(f"WITH {FEED} SELECT symbol, recv_ts_ns // {SIX_HOURS} * {SIX_HOURS} AS start_ns, count(*) AS messages, count(*) / {SIX_HOURS / 1e9} AS per_sec FROM feed GROUP BY ALL")
+def message_rates(spark, sf_dir):
+    return ofi.rates(updates(spark, sf_dir), SIX_HOURS).drop("venue")
 
 
 # --- flow -------------------------------------------------------------------------------------------------------------
@@ -149,6 +173,11 @@ def ofi_cumulative(spark, sf_dir):
     return ofi.cumulative(flow(spark, sf_dir)).select("symbol", "idx", "ofi", "events")
 
 
+@query(f"WITH {FLOW} SELECT symbol, idx // 500 AS drain, sum(e) AS ofi, count(*) FILTER (changed) AS events FROM ofi GROUP BY ALL")
+def ofi_drained(spark, sf_dir):
+    return ofi.drained(flow(spark, sf_dir), 500).drop("venue")
+
+
 BUCKETS = f"{FLOW}{buckets_sql(str(SIX_HOURS))}"
 
 
@@ -158,7 +187,7 @@ def bucketed(spark, sf_dir):
 
 @query(f"WITH {BUCKETS} SELECT symbol, start_ns, end_ns, ofi, delta_mid, round(avg_depth, 9) AS avg_depth, events, mid_start, mid_end FROM buckets")
 def ofi_buckets(spark, sf_dir):
-    return rounded(bucketed(spark, sf_dir), 9, "avg_depth")
+    return rounded(bucketed(spark, sf_dir), 9, "avg_depth").drop("venue")
 
 
 @query(
@@ -187,7 +216,7 @@ def signed_volume_proxy(spark, sf_dir):
     from ..storage import cut
 
     rows = cut(flow(spark, sf_dir))
-    return ofi.signed_volume(rows, ofi.buckets(rows, SIX_HOURS).where("events > 0"), SIX_HOURS)
+    return ofi.signed_volume(rows, ofi.buckets(rows, SIX_HOURS).where("events > 0"), SIX_HOURS).drop("venue")
 
 
 #: Least squares of delta_mid on ofi with Newey and West's errors, in closed form.
@@ -210,7 +239,7 @@ FROM sized JOIN meat USING (symbol)"""
 
 @query(HAC)
 def hac_regression(spark, sf_dir):
-    fit = stats.regress(bucketed(spark, sf_dir).where("events > 0"), "delta_mid", ["ofi"], ["symbol"], "start_ns")
+    fit = stats.regress(bucketed(spark, sf_dir).where("events > 0"), "delta_mid", ["ofi"], epochs.KEYS, "start_ns")
     out = fit.select("symbol", "n_obs", "hac_lags", *(F.col(c)[i].alias(n) for n, c, i in (("intercept", "params", 0), ("slope", "params", 1), ("intercept_se", "stderr", 0), ("slope_se", "stderr", 1))), "r_squared", "resid_std")
     return rounded(out, 7, "intercept", "slope", "intercept_se", "slope_se", "r_squared", "resid_std")
 
@@ -231,8 +260,9 @@ GROUPS = (
 
 
 def fitted_groups(spark, sf_dir):
-    kept = bucketed(spark, sf_dir).where("events > 0").withColumn("all", F.lit(1))
-    placed = stats.depth_groups(kept, ["all"])
+    from ..storage import cut
+
+    placed = stats.depth_groups(cut(bucketed(spark, sf_dir).where("events > 0")), [])
     fit = placed.groupBy("depth_group").agg(F.count(F.lit(1)).alias("n"), F.avg("avg_depth").alias("mean_depth"), F.regr_slope("delta_mid", "ofi").alias("slope"), F.regr_r2("delta_mid", "ofi").alias("r2"))
     return fit.where("n >= 30")
 
@@ -253,14 +283,15 @@ def elasticity(spark, sf_dir):
     "SELECT symbol, chunk, sum(ofi) AS ofi, sum(delta_mid) AS delta_mid FROM n WHERE (chunk + 1) * 5 < total GROUP BY ALL"
 )
 def rebucketed(spark, sf_dir):
-    return ofi.every_n(bucketed(spark, sf_dir), 5)
+    from ..storage import cut
+
+    return ofi.every_n(cut(bucketed(spark, sf_dir)), 5).drop("venue")
 
 
 @query(f"WITH {BOOK} SELECT symbol, idx, round(avg((bid_px + ask_px) / 2.0) OVER (PARTITION BY symbol ORDER BY idx ROWS 599 PRECEDING), 6) AS mean_mid FROM tob WHERE bid_px IS NOT NULL AND ask_px IS NOT NULL")
 def rolling_mid(spark, sf_dir):
     rows = tob(spark, sf_dir).withColumn("mid", ticks.mid(F.col("bid_px"), F.col("ask_px"))).where("mid IS NOT NULL")
-    w = Window.partitionBy("symbol").orderBy("idx").rowsBetween(-599, 0)
-    return rows.select("symbol", "idx", F.round(F.avg("mid").over(w), 6).alias("mean_mid"))
+    return rounded(rolling_mean(rows, epochs.KEYS, "idx", "mid", 600, "mean_mid"), 6, "mean_mid").select("symbol", "idx", "mean_mid")
 
 
 @query(f"WITH {FEED} SELECT symbol, recv_ts_ns // {HOUR} AS hour, max(idx) AS idx, arg_max(px, idx) AS px, arg_max(sz, idx) AS sz FROM (SELECT * FROM numbered) GROUP BY ALL")
@@ -274,7 +305,7 @@ def conflate_latest(spark, sf_dir):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.9), 9) AS p90, round(quantile_cont(value, 0.99), 9) AS p99 FROM events GROUP BY ALL")
 def percentiles(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(stats.quantiles(F.col("value"), [0.5, 0.9, 0.99]).alias("q"))
+    out = stats.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.5, 0.9, 0.99])
     return out.select("event_type", *(F.round(F.col("q")[i], 9).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
 
 
@@ -287,6 +318,13 @@ def latency_report(spark, sf_dir):
     return rounded(rounded(stats.latency_report(samples, 50), 9, "p50", "p90", "p99", "p999"), 6, "mean_ns")
 
 
+@query(
+    "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std, round(quantile_cont(o_totalprice, 0.05), 9) AS p05, round(quantile_cont(o_totalprice, 0.95), 9) AS p95 FROM orders GROUP BY ALL"
+)
+def distribution_summary(spark, sf_dir):
+    return rounded(rounded(stats.summary(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice"), 6, "mean", "std"), 9, "p05", "p95")
+
+
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +439,27 @@ def risk_position(spark, sf_dir):
     return risk.check_counts(decided)
 
 
+ARRIVALS = f"""{OPEN}, asked AS (SELECT symbol, side, leaves_qty AS qty, o_orderkey, o_orderkey * 1000 AS idx FROM open_orders), changes AS (
+  SELECT 'S' || (l_partkey % 50) AS symbol, l_orderkey * 1000 + l_linenumber AS idx, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS d_position, 0.0 AS d_buy, 0.0 AS d_sell, 0 AS d_open FROM lineitem
+  UNION ALL SELECT symbol, idx, 0.0, CASE side WHEN 'BUY' THEN qty ELSE 0 END, CASE side WHEN 'SELL' THEN qty ELSE 0 END, 1 FROM asked
+), both_ AS (SELECT symbol, idx * 2 + 1 AS o, d_position, d_buy, d_sell, d_open, NULL AS o_orderkey, NULL AS side, NULL AS qty FROM changes UNION ALL SELECT symbol, idx * 2, 0, 0, 0, 0, o_orderkey, side, qty FROM asked),
+stood AS (SELECT *, sum(d_position) OVER w AS position, sum(d_buy) OVER w AS b, sum(d_sell) OVER w AS s, CAST(sum(d_open) OVER w AS BIGINT) AS n_open FROM both_ WINDOW w AS (PARTITION BY symbol ORDER BY o))"""
+
+
+@query(f"WITH {ARRIVALS} SELECT o_orderkey, position, position + b AS max_long, position - s AS max_short, n_open, CASE WHEN abs(CASE side WHEN 'BUY' THEN position + b + qty ELSE position - s - qty END) > 1000 THEN 'max_position' WHEN n_open >= 150 THEN 'max_open_orders' END AS \"check\" FROM stood WHERE o_orderkey IS NOT NULL")
+def risk_as_of_arrival(spark, sf_dir):
+    """Positions and working orders as they stood when each order came."""
+    asked = open_orders(spark, sf_dir).select("symbol", "side", F.col("leaves_qty").alias("qty"), "o_orderkey", (F.col("o_orderkey") * 1000).alias("idx"))
+    side = lambda s: F.when(F.col("side") == s, F.col("qty")).otherwise(0.0)
+    fills = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), (F.col("l_partkey") % 50).cast("string")).alias("symbol"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("idx"),
+        F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("d_position"), F.lit(0.0).alias("d_buy"), F.lit(0.0).alias("d_sell"), F.lit(0).alias("d_open"),
+    )
+    opened = asked.select("symbol", "idx", F.lit(0.0).alias("d_position"), side("BUY").alias("d_buy"), side("SELL").alias("d_sell"), F.lit(1).alias("d_open"))
+    stood = orders.exposure_as_of(fills.unionByName(opened), asked)
+    return risk.decisions(stood, risk.position_check(LIMITS)).select("o_orderkey", "position", "max_long", "max_short", "n_open", "check")
+
+
 @query(
     f"WITH {TRADES}, {OPEN}, c AS (SELECT symbol, side, qty, price * 10 AS price, l_orderkey FROM trades) SELECT symbol, side, count(*) AS n, sum(price) AS price_sum FROM c WHERE EXISTS (SELECT 1 FROM open_orders o WHERE o.symbol = c.symbol AND o.side <> c.side AND CASE c.side WHEN 'BUY' THEN c.price >= o.price ELSE c.price <= o.price END) GROUP BY ALL"
 )
@@ -409,9 +468,15 @@ def self_trade(spark, sf_dir):
     return hit.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(38,0)").alias("price_sum"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE m AS (SELECT user_id AS symbol, event_id AS idx, epoch_us(ts) / 1e6 AS t_s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
+    "s AS (SELECT symbol, idx, t_s, n, true AS accepted, [t_s] AS times FROM m WHERE n = 1 UNION ALL "
+    "SELECT symbol, idx, t_s, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t_s) ELSE kept END FROM (SELECT m.*, "
+    "CASE WHEN coalesce(list_position(list_transform(times, lambda x: m.t_s - x <= 86400), true), 0) = 0 THEN [] ELSE times[list_position(list_transform(times, lambda x: m.t_s - x <= 86400), true):] END AS kept "
+    "FROM s JOIN m ON m.symbol = s.symbol AND m.n = s.n + 1)) SELECT symbol, idx, t_s, accepted FROM s"
+)
 def throttle(spark, sf_dir):
-    """At most three accepted messages an hour for each user; only accepted ones count, so this is a fold."""
+    """At most three accepted messages a day for each user; only accepted ones count, so this is a fold."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("event_id").alias("idx"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t_s"))
     return risk.throttled(rows, 3, window=86_400.0)
 
@@ -424,7 +489,7 @@ REPORTS = """reports AS (
 def reports(spark, sf_dir) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("NEW", "PARTIALLY_FILLED", "PENDING_CANCEL", "CANCELED", "FILLED"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("cl_ord_id"), (10 * F.col("l_linenumber") + F.col("l_suppkey") % 10).cast("bigint").alias("place"), status.alias("ord_status"), "l_partkey", "l_suppkey", "l_quantity")
-    w = Window.partitionBy("cl_ord_id").orderBy("place", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("cl_ord_id").orderBy("place", "l_partkey", "l_suppkey", "l_quantity")
     return rows.withColumn("idx", F.row_number().over(w).cast("bigint"))
 
 
@@ -438,7 +503,20 @@ def order_transitions(spark, sf_dir):
     return judged.groupBy("before", "ord_status", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+STEP = (
+    "WITH RECURSIVE r AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY 10 * l_linenumber + l_suppkey % 10, l_partkey, l_suppkey, l_quantity) AS n, l_suppkey % 5 IN (1, 4) AS trade, l_partkey, l_quantity, "
+    "CASE l_suppkey % 5 WHEN 0 THEN 'NEW' WHEN 1 THEN 'PARTIALLY_FILLED' WHEN 2 THEN 'PENDING_CANCEL' WHEN 3 THEN 'CANCELED' ELSE 'FILLED' END AS ord_status FROM lineitem), "
+    "st AS (SELECT id, CAST(0 AS BIGINT) AS n, false AS trade, CAST(0 AS BIGINT) AS l_partkey, CAST(0 AS DOUBLE) AS l_quantity, CAST(NULL AS VARCHAR) AS ord_status, 'PENDING_NEW' AS status, CAST(NULL AS VARCHAR) AS order_id, CAST(0 AS DOUBLE) AS cum_qty, CAST(0 AS DOUBLE) AS avg_px, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT id FROM r) UNION ALL "
+    "SELECT id, n, trade, l_partkey, l_quantity, ord_status, CASE WHEN error IS NULL THEN ord_status ELSE before END, CASE WHEN legal THEN 'V1' ELSE order_id END, CASE WHEN error IS NULL AND trade THEN cum_qty + l_quantity ELSE cum_qty END, CASE WHEN error IS NULL AND trade THEN (avg_px * cum_qty + l_partkey * l_quantity) / (cum_qty + l_quantity) ELSE avg_px END, error "
+    "FROM (SELECT *, CASE WHEN NOT legal THEN 'illegal_transition' WHEN trade AND NOT l_quantity > 0 THEN 'trade_without_quantity_or_price' WHEN trade AND l_quantity > greatest(0, 100 - cum_qty) + 1e-9 THEN 'overfill' END AS error FROM (SELECT r.*, st.status AS before, st.order_id, st.cum_qty, st.avg_px, "
+    + "(" + " OR ".join(f"st.status = '{a}' AND r.ord_status IN ({', '.join(repr(x) for x in b)})" for a, b in orders.ALLOWED.items() if b) + ") AS legal FROM st JOIN r ON r.id = st.id AND r.n = st.n + 1))) "
+)
+
+
+@query(
+    STEP + "SELECT n AS idx, CAST(id AS VARCHAR) AS cl_ord_id, 'S' AS symbol, CASE WHEN id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN trade THEN 'TRADE' ELSE ord_status END AS exec_type, CASE WHEN trade THEN l_quantity ELSE 0.0 END AS last_qty, CASE WHEN trade THEN l_partkey END AS last_px, "
+    "status, order_id, cum_qty, round(avg_px, 6) AS avg_px, CAST(NULL AS VARCHAR) AS reject_reason, error FROM st WHERE n > 0"
+)
 def oms_fold(spark, sf_dir):
     """Execution reports through the order state machine: validity depends on what was accepted before."""
     known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("cl_ord_id"), F.lit("S").alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.lit(100.0).alias("qty"))
@@ -447,13 +525,13 @@ def oms_fold(spark, sf_dir):
         "idx", "cl_ord_id", F.when(trade, "TRADE").otherwise(F.col("ord_status")).alias("exec_type"), "ord_status", F.lit("V1").alias("order_id"), F.concat_ws("-", F.lit("E"), "cl_ord_id", "idx").alias("exec_id"),
         F.when(trade, F.col("l_quantity")).otherwise(0.0).alias("last_qty"), F.when(trade, F.col("l_partkey")).alias("last_px"), F.lit(None).cast("double").alias("cum_qty"), F.lit("").alias("text"), F.col("idx").alias("ts_ns"),
     )
-    return orders.apply_reports(known, rows)
+    return rounded(orders.apply_reports(known, rows), 6, "avg_px")
 
 
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 RESTING = f"{OPEN}, resting AS (SELECT symbol, side, CAST(o_orderkey % 40 + CASE side WHEN 'BUY' THEN 960 ELSE 1001 END AS BIGINT) AS price, o_orderkey AS seq, leaves_qty AS remaining FROM open_orders)"
-TAKERS = "takers AS (SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS taker_id, 'S' || (l_partkey % 50) AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity * 20 AS qty, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'R' THEN 970 ELSE 1030 END END AS limit_px FROM lineitem WHERE l_suppkey % 2 = l_linenumber % 2)"
+TAKERS = "takers AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS taker_id, 'S' || (l_partkey % 50) AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_quantity * 20 AS qty, CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'R' THEN 970 ELSE 1030 END END AS limit_px FROM lineitem)"
 WALK = f"{RESTING}, {TAKERS}, depth AS (SELECT *, coalesce(sum(remaining) OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'BUY' THEN -price ELSE price END, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM resting), walked AS (SELECT taker_id, t.side, d.price, d.seq, least(remaining, qty - prior) AS fill FROM takers t JOIN depth d ON t.symbol = d.symbol AND t.side <> d.side AND prior < qty AND (limit_px IS NULL OR CASE t.side WHEN 'BUY' THEN d.price <= limit_px ELSE d.price >= limit_px END))"
 
 
@@ -463,12 +541,6 @@ def resting(spark, sf_dir) -> DataFrame:
 
 
 def takers(spark, sf_dir) -> DataFrame:
-    """The rows of lineitem that the given SQL takes."""
-    taker_id = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100
-    return as_takers(table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = l_linenumber % 2"), taker_id)
-
-
-def all_takers(spark, sf_dir) -> DataFrame:
     """All rows of lineitem; as an order's line may occur repeatedly, its rows are numbered."""
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
     rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w))
@@ -494,29 +566,17 @@ def filled(takers: DataFrame, resting: DataFrame) -> DataFrame:
 
 
 @query(
-    f"WITH {WALK}, got AS (SELECT taker_id, sum(fill) AS available FROM walked WHERE fill > 0 GROUP BY ALL) SELECT side, coalesce(available, 0) >= qty - 1e-12 AS fok_ok, count(*) AS n, sum(qty) AS qty FROM (SELECT DISTINCT * FROM takers) LEFT JOIN got USING (taker_id) GROUP BY ALL"
+    f"WITH {WALK}, got AS (SELECT taker_id, sum(fill) AS available FROM walked WHERE fill > 0 GROUP BY ALL) SELECT side, coalesce(available, 0) >= qty - 1e-12 AS fok_ok, count(*) AS n, sum(qty) AS qty FROM takers LEFT JOIN got USING (taker_id) GROUP BY ALL"
 )
 def fok_check(spark, sf_dir):
     return fok_sums(takers(spark, sf_dir), resting(spark, sf_dir))
 
 
 def fok_sums(takers: DataFrame, resting: DataFrame) -> DataFrame:
-    judged = matching.can_fill(takers.distinct(), resting, ["symbol"])
+    judged = matching.can_fill(takers, resting, ["symbol"])
     return judged.groupBy("side", "fok_ok").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
 
 
-@query()
-def walk_book_fill_whole(spark, sf_dir):
-    """walk_book_fill over all of lineitem; its SQL takes about half of the rows."""
-    return filled(all_takers(spark, sf_dir), resting(spark, sf_dir))
-
-
-@query()
-def fok_check_whole(spark, sf_dir):
-    """fok_check over all of lineitem."""
-    return fok_sums(all_takers(spark, sf_dir), resting(spark, sf_dir))
-
-
 @query(f"WITH {RESTING} SELECT symbol, side, price, seq, coalesce(sum(remaining) OVER (PARTITION BY symbol, side, price ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queue_ahead FROM resting")
 def queue_ahead(spark, sf_dir):
     return matching.queue_ahead(resting(spark, sf_dir), ["symbol"]).select("symbol", "side", "price", "seq", "queue_ahead")
@@ -589,7 +649,10 @@ def fix_seq_gaps(spark, sf_dir):
     return fixsession.sequence_gaps(sent(spark, sf_dir).where("seq % 9 <> 5"), order="seq").select("conn", "seq", "expected", "missing")
 
 
-@query()
+@query(
+    f"WITH {MESSAGES}, m AS (SELECT CAST(o_orderkey % 20 AS VARCHAR) AS conn, o_orderkey * 2 + 1 AS idx, raw FROM framed JOIN orders USING (o_orderkey)) "
+    "SELECT conn, idx, 0 AS n, raw AS message, CAST(NULL AS VARCHAR) AS remainder FROM m UNION ALL SELECT conn, max(idx), -1, NULL, '' FROM m GROUP BY conn"
+)
 def fix_split_stream(spark, sf_dir):
     """Messages of each connection, cut into reads that don't end where messages do, put together again."""
     rows = messages(spark, sf_dir).withColumn("conn", (F.col("o_orderkey") % 20).cast("string"))
@@ -632,17 +695,14 @@ def bybit_parse(spark, sf_dir):
     return rows.select("symbol", "msg_idx", "is_snapshot", "seq", "prev_seq", "exchange_ts_ns", F.col("bids")[0]["price"].alias("bid_px"), F.col("bids")[0]["size"].alias("bid_sz"), F.size("bids").alias("n_bids"))
 
 
-# --- simulators -------------------------------------------------------------------------------------------------------
-
-
-@query()
-def simulated_market(spark, sf_dir):
-    """A simulated market for each nation, as top of book after each event."""
-    seeds = [r[0] for r in table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint")).distinct().collect()]
-    return simulate.simulate(spark, sorted(seeds), 2_000)
-
+@query(
+    f"WITH {FEED}, parsed AS (SELECT symbol, idx, k % 5 = 0 AS is_snapshot, idx AS seq, idx - 1 AS prev_seq FROM numbered WHERE k % 9 <> 0), e AS (SELECT *, sum(CAST(is_snapshot AS INT)) OVER (PARTITION BY symbol ORDER BY idx) AS epoch FROM parsed), c AS (SELECT *, lag(seq) OVER (PARTITION BY symbol, epoch ORDER BY idx) AS last_seq FROM e), "
+    "a AS (SELECT *, epoch > 0 AND max(CASE WHEN NOT is_snapshot AND prev_seq <> last_seq THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, epoch ORDER BY idx) = 0 AS applied FROM c) "
+    "SELECT (SELECT count(*) FROM numbered) AS messages, (SELECT count(*) FROM numbered WHERE k % 9 = 0) AS ignored, 0 AS parse_errors, count(*) FILTER (applied) AS updates, count(*) FILTER (applied AND is_snapshot) AS snapshots, count(DISTINCT idx) FILTER (NOT applied) AS resyncs FROM a"
+)
+def replay_counters(spark, sf_dir):
+    """A replay of frames: what was ignored, parsed, applied, and where the books had to wait for a snapshot."""
+    from ..storage import cut
 
-@query()
-def dealer_comparison(spark, sf_dir):
-    """Inventory-aware against symmetric quotes over equal paths."""
-    return simulate.summarise(simulate.dealer_sessions(spark, 2_000))
+    parsed = cut(adapters.okx(frames(spark, sf_dir, FRAMES_OKX.replace("recv_ts_ns // 1000000", "recv_ts_ns div 1000000")), 1))
+    return epochs.replay_stats(parsed, epochs.audit(adapters.exploded(parsed), width=1_000_000_000))

@@ -1,7 +1,7 @@
 """Structured Streaming over the same steps as the batch jobs.
 
 Order of arrival is the truth of a book, so there is no watermark on the path of books: a late time counts in the
-bucket that arrival has reached. Each symbol's book, flow sums and sequence state are one state value of a
+bucket that arrival has reached. Each venue and symbol's book, flow sums and sequence state are one state value of a
 stateful processor, kept by the state store and its checkpoints.
 """
 
@@ -16,14 +16,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.book import Book, latest
-from ..operators.fixsession import SESSION, Session, session_step
+from ..operators.epochs import KEYS
+from ..operators.fixsession import SESSION, Session, session_rows
 from ..operators.rows import framed
 
-LIVE = "symbol string, idx bigint, recv_ts_ns bigint, applied boolean, bid_px bigint, bid_sz double, ask_px bigint, ask_sz double, e double, ofi double, events bigint, resyncs bigint, updates bigint"
+LIVE = "venue string, symbol string, idx bigint, recv_ts_ns bigint, applied boolean, bid_px bigint, bid_sz double, ask_px bigint, ask_sz double, e double, ofi double, events bigint, resyncs bigint, updates bigint"
 
 
 class LiveBook:
-    """A symbol's state: book, sequence check and flow sums. ``step`` takes one update."""
+    """A venue and symbol's state: book, sequence check and flow sums. ``step`` takes one update."""
 
     def __init__(self, max_depth: int | None, strict: bool):
         self.book, self.strict = Book(max_depth), strict
@@ -38,7 +39,7 @@ class LiveBook:
             self.ready, self.seq = False, None
             self.book = Book(self.book.max_depth)
             self.resyncs += 1
-            return (r.symbol, r.idx, r.recv_ts_ns, False, None, 0.0, None, 0.0, 0.0, self.ofi, self.events, self.resyncs, self.updates)
+            return (r.venue, r.symbol, r.idx, r.recv_ts_ns, False, None, 0.0, None, 0.0, 0.0, self.ofi, self.events, self.resyncs, self.updates)
         if r.is_snapshot:
             self.seq = None
         levels = lambda side: [(x["price"], x["size"]) for x in side] if side is not None else []
@@ -51,7 +52,7 @@ class LiveBook:
             e = flow(self.before, top)
             self.events += top != self.before
         self.ofi, self.before = self.ofi + e, top
-        return (r.symbol, r.idx, r.recv_ts_ns, True, *top, e, self.ofi, self.events, self.resyncs, self.updates)
+        return (r.venue, r.symbol, r.idx, r.recv_ts_ns, True, *top, e, self.ofi, self.events, self.resyncs, self.updates)
 
 
 def flow(p: tuple, c: tuple) -> float:
@@ -109,14 +110,13 @@ class SessionProcessor(_Folded):
         return Session()
 
     def rows(self, state: Session, r) -> list[tuple]:
-        out, deliver = session_step(state, r)
-        return [(r.conn, r.idx, n, state.state, state.in_seq, state.out_seq, deliver, kind, seq, body) for n, (kind, seq, body) in enumerate(out or [(None, None, None)])]
+        return session_rows(state, r)
 
 
 def live_books(updates: DataFrame, max_depth: int | None = None, strict: bool = True) -> DataFrame:
     """A streaming frame of updates to a row for each: the top of book, its flow contribution and running sums."""
     processor = BookProcessor(max_depth, strict)
-    return updates.groupBy("symbol").transformWithStateInPandas(processor, LIVE, "append", "None")
+    return updates.groupBy(*KEYS).transformWithStateInPandas(processor, LIVE, "append", "None")
 
 
 def live_sessions(events: DataFrame) -> DataFrame:
@@ -124,9 +124,10 @@ def live_sessions(events: DataFrame) -> DataFrame:
 
 
 def latest_sink(live: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Gives ``write`` the newest row for each symbol of every micro-batch: what came between is conflated away."""
+    """Gives ``write`` the newest row for each venue's symbol of every micro-batch: what came between is conflated away."""
     def each(batch: DataFrame, epoch: int) -> None:
-        write(latest(batch, ["symbol"], "idx", [c for c in batch.columns if c != "symbol"]), epoch)
+        keys = [k for k in KEYS if k in batch.columns]
+        write(latest(batch, keys, "idx", [c for c in batch.columns if c not in keys]), epoch)
 
     return live.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
