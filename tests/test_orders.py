@@ -159,8 +159,8 @@ def framed(body, spark):
 
 
 def decode(spark, raw):
-    frame = spark.createDataFrame([(raw,)], "raw string").withColumn("f", fixmsg.fields_of(F.col("raw")))
-    return frame.select(fixmsg.error_of(F.col("raw"), F.col("f")).alias("error"), "f").first()
+    frame = spark.createDataFrame([(raw,)], "raw string").select(fixmsg.decoded(F.col("raw")).alias("m"))
+    return frame.select("m.error", F.col("m.fields").alias("f")).first()
 
 
 def test_frames_and_checksums(spark):
@@ -194,6 +194,41 @@ def test_streams_cut_anywhere(spark):
     assert "".join(r.message or "" for r in fixsession.split_streams(rows).orderBy("idx", "n").collect()) == whole
 
 
+def test_decoding_equals_plain_expressions(spark):
+    """Fields as the column expression splits them, and the error of a plain check of each message."""
+    sound = framed("35=D|49=A|58=a=b|11=", spark)
+    texts = [sound, sound[:-1], "", None, "\x01", "a\x01b\x01c\x01", "8=FIX.4.4\x019=x\x0110=000\x01", sound.replace("35=D", "35=É"), sound.replace("9=", "9=0"), sound.replace("49=A", " 49 =A"), sound.replace("49=A", "4294967299=A"), sound + "junk", sound.replace("11=", "=")]
+
+    def plain(raw):
+        parts = raw.split("\x01")
+        halves = [p.split("=", 1) for p in parts[:-1]]
+        number = lambda t: int(t) if t.strip().lstrip("+-").isdigit() and abs(int(t)) < 2**31 else None
+        if not raw.endswith("\x01"):
+            return "no_trailing_soh"
+        if len(halves) < 3:
+            return "too_few_fields"
+        if any(len(h) == 1 for h in halves):
+            return "field_without_equals"
+        tags = [number(h[0]) for h in halves]
+        if None in tags:
+            return "tag_not_numeric"
+        for place, tag, error in ((0, 8, "begin_string_not_first"), (1, 9, "body_length_not_second"), (-1, 10, "checksum_not_last")):
+            if tags[place] != tag:
+                return error
+        prefix = raw[: len(raw) - len(parts[-2]) - 1]
+        if not prefix.isascii() or f"{sum(prefix.encode()) % 256:03d}" != halves[-1][1]:
+            return "checksum_mismatch"
+        if number(halves[1][1]) is None:
+            return "body_length_not_numeric"
+        return None if number(halves[1][1]) == len(prefix) - len(parts[0]) - len(parts[1]) - 2 else "body_length_mismatch"
+
+    resum = lambda t: t[: -len(t.split("\x01")[-2]) - 1] + f"10={sum(t[: -len(t.split(chr(1))[-2]) - 1].encode()) % 256:03d}\x01"
+    texts += [resum(sound.replace("\x019=", "\x019=1")), resum(sound.replace("\x019=", "\x019=x")), resum(sound.replace("\x019=", "\x019=0"))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string").coalesce(1)
+    for r in frame.select("raw", fixmsg.decoded(F.col("raw")).alias("m"), fixmsg.fields_of(F.col("raw")).alias("f")).collect():
+        assert r.m.fields == r.f and r.m.error == (None if r.raw is None else plain(r.raw)), r.raw
+
+
 def test_required_fields(spark):
     frame = spark.createDataFrame([(framed("35=0|49=A", spark),)], "raw string").withColumn("f", fixmsg.fields_of(F.col("raw")))
     assert frame.select(fixmsg.require(F.col("f"), 49)).first()[0] == "A"

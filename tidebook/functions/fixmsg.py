@@ -30,26 +30,28 @@ ADMIN_TYPES = ("0", "1", "2", "3", "4", "5", "A")
 
 
 def byte_sum(text: Column) -> Column:
-    """The sum of the bytes of an ASCII text; null if it has any other character.
-
-    Texts lie one behind the other in a buffer, so the sums are differences of one running sum over its bytes.
-    """
+    """The sum of the bytes of an ASCII text; null if it has any other character."""
 
     @F.arrow_udf("bigint")
     def summed(texts: pa.Array) -> pa.Array:
-        kept = pc.fill_null(texts.cast(pa.large_binary()), b"")
-        _, offsets, data = kept.buffers()
-        at = np.frombuffer(offsets, np.int64, len(kept) + 1, kept.offset * 8) if len(kept) else np.zeros(1, np.int64)
-        if data is None or at[-1] == at[0]:
-            return pa.array(np.zeros(len(kept), np.int64), mask=texts.is_null().to_numpy(zero_copy_only=False))
-        held = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-        upto = lambda x: np.r_[0, np.cumsum(x, dtype=np.int64)][at - at[0]]
-        odd = np.diff(upto(held > 127)) > 0
-        return pa.array(np.diff(upto(held)), mask=odd | texts.is_null().to_numpy(zero_copy_only=False))
+        at, sums, odd = running_bytes(pc.fill_null(texts, ""))
+        bad = (odd[at[1:]] > odd[at[:-1]]) | texts.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(sums[at[1:]] - sums[at[:-1]], mask=bad)
 
     return summed(text)
 
 
+def running_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text begins and the last one ends in the buffer that holds them one behind the other; the sums of the
+    bytes before each place, and the numbers of those beyond ASCII."""
+    held = texts.cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8) if len(held) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    upto = lambda x: np.r_[0, np.cumsum(x, dtype=np.int64)]
+    return at - at[0], upto(data), upto(data > 127)
+
+
 def checksum(text: Column) -> Column:
     """Three digits: the byte sum modulo 256."""
     return F.lpad((byte_sum(text) % 256).cast("string"), 3, "0")
@@ -76,26 +78,71 @@ def fields_of(raw: Column) -> Column:
     )
 
 
-def error_of(raw: Column, fields: Column) -> Column:
-    """The first thing that is wrong with a message, in a fixed order; null if it is sound."""
-    n = F.size(fields)
-    tag = lambda i: F.get(fields, i)["tag"]
-    value = lambda i: F.get(fields, i)["value"]
-    prefix = F.substring(raw, F.lit(1), F.length(raw) - F.length(F.concat(F.lit("10="), value(n - 1), F.lit(SOH))))
-    head = F.length(F.concat(F.lit("8="), value(F.lit(0)), F.lit(SOH + "9="), value(F.lit(1)), F.lit(SOH)))
-    declared = value(F.lit(1)).try_cast("bigint")
-    return (
-        F.when(~F.endswith(raw, F.lit(SOH)), "no_trailing_soh")
-        .when(n < 3, "too_few_fields")
-        .when(F.exists(fields, lambda f: f["value"].isNull()), "field_without_equals")
-        .when(F.exists(fields, lambda f: f["tag"].isNull()), "tag_not_numeric")
-        .when(tag(F.lit(0)) != 8, "begin_string_not_first")
-        .when(tag(F.lit(1)) != 9, "body_length_not_second")
-        .when(tag(n - 1) != 10, "checksum_not_last")
-        .when(~value(n - 1).eqNullSafe(checksum(prefix)), "checksum_mismatch")
-        .when(declared.isNull(), "body_length_not_numeric")
-        .when(declared != F.length(prefix) - head, "body_length_mismatch")
-    )
+def decoded(raw: Column) -> Column:
+    """fields (as :func:`fields_of`), and error: the first thing that is wrong with a message, in a fixed order; null if
+    it is sound. A null message has neither.
+
+    A batch of messages is split, summed and judged as whole columns.
+    """
+
+    @F.arrow_udf(f"struct<fields:{FIELDS},error:string>")
+    def of(texts: pa.Array) -> pa.Array:
+        return decoded_array(texts)
+
+    return of(raw)
+
+
+def whole_numbers(texts: pa.Array, bits: int) -> pa.Array:
+    """Texts of digits, with a sign and white space around at most, as numbers; null where they are none."""
+    plain = pc.utf8_trim_whitespace(texts)
+    fits = pc.fill_null(pc.match_substring_regex(plain, r"^[+-]?[0-9]{1,18}$"), False)
+    number = pc.utf8_ltrim(pc.if_else(fits, plain, None), "+").cast(pa.int64())
+    return pc.if_else(pc.less(pc.abs(number), 1 << bits - 1), number, None)
+
+
+def decoded_array(texts: pa.Array) -> pa.StructArray:
+    known, n_texts = texts.is_valid().to_numpy(zero_copy_only=False), len(texts)
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    at, sums, odd = running_bytes(texts)
+    parts = pc.split_pattern(texts, SOH)
+    ends = np.cumsum(parts.value_lengths().to_numpy()).astype(np.int64)
+    kept = np.ones(int(ends[-1]) if n_texts else 0, bool)
+    kept[ends - 1] = False  # what follows the last mark
+    fields = parts.flatten().filter(pa.array(kept))
+    starts = np.r_[0, ends - np.arange(1, n_texts + 1)]
+    sizes = np.diff(starts)
+    # a field's tag and value, cut at its first sign of equality
+    halves = pc.split_pattern(fields, "=", max_splits=1)
+    lengths = halves.value_lengths().to_numpy()
+    two, begin = lengths == 2, np.cumsum(lengths) - lengths
+    half = halves.flatten()
+    value = half.take(pa.array(begin + 1, mask=~two))
+    tag = whole_numbers(half.take(pa.array(begin, mask=~two)), 32)
+    tags, number = np.r_[pc.fill_null(tag, -1).to_numpy(zero_copy_only=False), -1].astype(np.int64), np.r_[~pc.is_null(tag).to_numpy(zero_copy_only=False), False]
+    counted = lambda x: np.diff(np.r_[0, np.cumsum(x)][starts])
+    first, last = np.minimum(starts[:-1], len(fields)), np.maximum(starts[1:] - 1, 0)
+    second = np.minimum(first + 1, len(fields))
+    width = np.r_[pc.binary_length(fields).to_numpy(zero_copy_only=False), 0].astype(np.int64) + 1
+    # bytes before the last field, and from behind the second one to there
+    trailer = np.maximum(at[1:] - width[last if len(fields) else np.zeros(n_texts, np.int64)], at[:-1])
+    body = trailer - at[:-1] - width[first] - width[second]
+    ascii_ = odd[trailer] == odd[at[:-1]]
+    picked = lambda places: value.take(pa.array(np.minimum(places, max(0, len(fields) - 1)), mask=sizes < 3))
+    given = pc.utf8_lpad(pa.array((sums[trailer] - sums[at[:-1]]) % 256).cast(pa.string()), 3, "0")
+    right = pc.fill_null(pc.equal(picked(last), given), False).to_numpy(zero_copy_only=False) & ascii_
+    declared = whole_numbers(picked(second), 63)
+    has_length = pc.is_valid(declared).to_numpy(zero_copy_only=False)
+    rules = (
+        ("no_trailing_soh", ~pc.ends_with(texts, SOH).to_numpy(zero_copy_only=False)), ("too_few_fields", sizes < 3), ("field_without_equals", counted(~two) > 0), ("tag_not_numeric", counted(~number[:-1]) > 0),
+        ("begin_string_not_first", tags[first] != 8), ("body_length_not_second", tags[second] != 9), ("checksum_not_last", tags[last] != 10), ("checksum_mismatch", ~right),
+        ("body_length_not_numeric", ~has_length), ("body_length_mismatch", pc.fill_null(declared, 0).to_numpy(zero_copy_only=False) != body),
+    )
+    failed = np.select([x for _, x in rules], range(len(rules)), -1)
+    names = pa.array([name for name, _ in rules])
+    error = names.take(pa.array(failed, mask=(failed < 0) | ~known))
+    made = pa.StructArray.from_arrays([tag.cast(pa.int32()), value], ["tag", "value"])
+    lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), made, mask=pa.array(~known))
+    return pa.StructArray.from_arrays([lists, error], ["fields", "error"])
 
 
 def field(fields: Column, tag: int) -> Column:

@@ -622,9 +622,9 @@ def fix_encode(spark, sf_dir):
 def fix_decode(spark, sf_dir):
     d, raw = F.col("o_orderkey") % 7, F.col("raw")
     cut = F.when(d == 1, F.replace(raw, F.lit("38="), F.lit("38=9"))).when(d == 2, F.left(raw, F.length(raw) - 1)).when(d == 3, F.replace(raw, F.lit("55=S"), F.lit("55S"))).when(d == 4, F.replace(raw, F.lit("54="), F.lit("x="))).otherwise(raw)
-    rows = messages(spark, sf_dir).withColumn("raw", cut).withColumn("fields", fixmsg.fields_of(raw)).withColumn("error", fixmsg.error_of(raw, F.col("fields")))
-    sound = F.col("error").isNull()
-    return rows.select("o_orderkey", "error", F.when(sound, fixmsg.field(F.col("fields"), 11)).alias("cl_ord_id"), F.when(sound, fixmsg.field(F.col("fields"), 38).cast("double")).alias("qty"))
+    rows = messages(spark, sf_dir).select("o_orderkey", cut.alias("raw")).select("o_orderkey", fixmsg.decoded(raw).alias("m"))
+    sound, fields = F.col("m.error").isNull(), F.col("m.fields")
+    return rows.select("o_orderkey", "m.error", F.when(sound, fixmsg.field(fields, 11)).alias("cl_ord_id"), F.when(sound, fixmsg.field(fields, 38).cast("double")).alias("qty"))
 
 
 SENT = "sent AS (SELECT user_id AS conn, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, CASE WHEN event_id % 3 = 0 THEN 'D' ELSE '0' END AS msg_type FROM events)"
