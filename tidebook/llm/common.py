@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,13 +31,16 @@ def ascii_lower(column: Column) -> Column:
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a single-machine
-    session, as in tests) a temporary folder is set and used.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only a session of a single machine, as in tests,
+    may leave that unset; a temporary folder is used then. On a cluster executors would not see each other's
+    files there, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidebook-"))
             held = spark.sparkContext.getCheckpointDir()
         root = held
@@ -48,6 +52,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate files go when the driver's JVM ends; results that read them must be written before."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run within hand at most so many rows at once to Python; texts are long."""
@@ -70,16 +90,18 @@ def release() -> None:
 def materialise(frame: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage for good.
 
-    With ``bucket`` the rows are filed by that column, so that grouping by it needs no shuffle.
+    The files are deleted when the driver ends. With ``bucket`` the rows are filed by that column, so that grouping by it needs no shuffle.
     """
     spark = frame.sparkSession
     path = shared_path(spark, name)
     if bucket is None:
         frame.write.parquet(path)
+        delete_at_exit(spark, path)
         return spark.read.schema(frame.schema).parquet(path)
     table = path.rpartition("/")[2].replace("-", "_")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame.write.bucketBy(n, bucket).format("parquet").option("path", path).saveAsTable(table)
+    delete_at_exit(spark, path)
     held = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # only its name: the files lie in the shared folder
     return held
@@ -100,6 +122,21 @@ def label_odds(labels: DataFrame, target: str) -> float:
     return float(np.log((n1 + 1) / (n0 + 1)))
 
 
+def first_by_hash(frame: DataFrame, columns: list[str], bound: int) -> DataFrame:
+    """The ``bound`` rows of the smallest hash of ``columns``, and of these columns; all rows if there are fewer.
+
+    A limit on the hash leaves about four times as many rows to be ordered, whatever the number of partitions.
+    """
+    n, share = frame.count(), 1.0
+    if n > 8 * bound:
+        share = 4 * bound / n
+        while share < 1 and frame.where(F.xxhash64(*columns) < int(share * 2**64) - 2**63).count() < bound:
+            share *= 4  # many equal rows: their hashes are few
+    if share < 1:
+        frame = frame.where(F.xxhash64(*columns) < int(share * 2**64) - 2**63)
+    return frame.orderBy(F.xxhash64(*columns), *columns).limit(bound)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> list[tuple[str, int]]:
     """At most ``bound`` labelled texts of each class that are not held out, in an order fixed by the id's hash.
 
@@ -107,12 +144,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int)
     than 0 and 1, null ids and held-out rows are left out. Of an id that occurs repeatedly, each pair counts.
     """
     known = labels.where(F.col(target).isin(0, 1) & ~held_out("doc_id")).select("doc_id", F.col(target).alias("y"))
+    known = materialise(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled-ids")
     chosen = None
     for value in (0, 1):
-        part = (
-            known.where(F.col("y") == value).join(docs.select("doc_id"), "doc_id", "left_semi")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-        )
+        part = first_by_hash(known.where(F.col("y") == value), ["doc_id"], bound)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * bound rows of an id and a label
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
