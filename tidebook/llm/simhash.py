@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash, searched through a hierarchical index in Gray order.
 
-Two fingerprints that differ in at most ``r`` bits agree in at least two of ``r + 2`` blocks of bits, so each
-distinct fingerprint is filed under its bits of every two blocks. A distributed sort by file and Gray rank puts
-a file's fingerprints, alike ones beside each other, into runs. Runs of bounded size are indexed: groups of
-neighbours share a node that holds the bits all of them agree in (a mask and a pattern), groups of nodes share
-upper nodes, and a node keeps only what its parent doesn't hold. A search adds up differences on the way down
-and drops a whole group once they exceed ``r``. A file of more than one run is searched run against run, where
-the runs' own top nodes first rule out pairs of runs.
+Two fingerprints that differ in at most ``r`` bits agree in at least ``k`` of ``r + k`` blocks of bits, so each
+distinct fingerprint is filed under its bits of every ``k`` blocks. How many blocks a file's name takes, and how
+many bits of each, follows from the number of fingerprints, so that a file holds a few thousand at any size. A
+distributed sort by file and Gray rank puts a file's fingerprints, alike ones beside each other, into runs. A run
+is indexed: groups of neighbours share a node that holds the bits all of them agree in (a mask and a pattern),
+groups of nodes share upper nodes, and a node keeps only what its parent doesn't hold. A search adds up differences
+on the way down and drops a whole group once they exceed ``r``. A file of more than one run is searched run against
+run, where the runs' own top nodes first rule out pairs of runs.
 
 Only a spanning forest of a run's links leaves it. Copies are one fingerprint, so no group of copies is large
 here, and nothing but counts reaches the driver.
@@ -81,7 +82,8 @@ class GrayIndex:
     hold, and the pattern of these bits. The last level is the codes themselves.
     """
 
-    def __init__(self, codes: np.ndarray, fan: int = 8):
+    def __init__(self, codes: np.ndarray, fan: int = 4):
+        self.seen = self.ruled_out = 0
         self.fan, masks, values = fan, [np.full(len(codes), ~U64(0))], [codes.astype(U64)]
         while len(masks[-1]) > fan:
             m, v, starts = masks[-1], values[-1], np.arange(0, len(masks[-1]), fan)
@@ -102,19 +104,28 @@ class GrayIndex:
         agreed = np.bitwise_and.reduce(masks & ~(values ^ values[0]))
         return int(agreed), int(values[0] & agreed)
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the query, place of the code) of all pairs that differ in at most ``radius`` bits."""
-        size = len(self.levels[0][0])
+    def search(self, queries: np.ndarray, radius: int, after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the query, place of the code) of all pairs that differ in at most ``radius`` bits.
+
+        With ``after`` the queries are the codes from that place on, and only codes behind a query are searched.
+        ``seen`` and ``ruled_out`` count the nodes looked at, and the codes of groups that were dropped whole.
+        """
+        size, covers = len(self.levels[0][0]), self.fan ** (len(self.levels) - 1)
         q, node = np.repeat(np.arange(len(queries)), size), np.tile(np.arange(size), len(queries))
         spent = np.zeros(len(q), np.int64)
         for level, (mask, value) in enumerate(self.levels):
             if level:
                 q, spent = np.repeat(q, self.fan), np.repeat(spent, self.fan)
                 node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-                there = node < len(mask)
-                q, spent, node = q[there], spent[there], node[there]
+                covers //= self.fan
+            there = node < len(mask)
+            if after is not None:
+                there &= (node + 1) * covers > q + after + 1
+            q, spent, node = q[there], spent[there], node[there]
             spent = spent + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
             near = spent <= radius
+            self.seen += len(near)
+            self.ruled_out += covers * int(len(near) - np.count_nonzero(near)) if covers > 1 else 0
             q, node, spent = q[near], node[near], spent[near]
         return q, node
 
@@ -139,7 +150,7 @@ def link_run(codes: np.ndarray, radius: int) -> np.ndarray:
     """For each code of a run the place of the first code that it is linked with over others of the run."""
     index, labels = GrayIndex(codes), np.arange(len(codes))
     for at in range(0, len(codes), QUERIES_AT_ONCE):
-        q, found = index.search(codes[at : at + QUERIES_AT_ONCE], radius)
+        q, found = index.search(codes[at : at + QUERIES_AT_ONCE], radius, after=at)
         unite(labels, q + at, found)
     return labels
 
@@ -164,23 +175,36 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-def files(code: Column, radius: int) -> Column:
-    """The files of a code: numbers made of two blocks' choice and the code's bits in them."""
-    blocks = radius + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    width = -(-64 // blocks)
-    bits = [F.shiftrightunsigned(code, a).bitwiseAND((1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
+def filing(codes: int, radius: int, per_file: int) -> tuple[int, int]:
+    """How many blocks name a file and how many bits each of them has, for about so many codes to a file."""
+    bits = max(0, (codes // per_file).bit_length())
+    if not bits:
+        return 0, 0
+    for blocks in range(1, 64 - radius):
+        width = -(-bits // blocks)
+        if width <= 64 // (radius + blocks):
+            return blocks, width
+    raise ValueError("no filing for this radius")
+
+
+def files(code: Column, radius: int, blocks: int, width: int) -> Column:
+    """The files of a code: numbers made of the choice of blocks and the code's bits in them."""
+    n = radius + blocks
+    bits = [F.shiftrightunsigned(code, 64 * i // n).bitwiseAND((1 << width) - 1) for i in range(n)]
     out = []
-    for n, (a, b) in enumerate(combinations(range(blocks), 2)):
-        out.append(F.lit(n << 2 * width).cast("bigint").bitwiseOR(F.shiftleft(bits[a], width)).bitwiseOR(bits[b]))
+    for i, chosen in enumerate(combinations(range(n), blocks)):
+        name = F.lit(i << blocks * width).cast("bigint")
+        for place, c in enumerate(chosen):
+            name = name.bitwiseOR(F.shiftleft(bits[c], place * width))
+        out.append(name)
     return F.array(*out)
 
 
 #: A link (a, b), or a run (file, number, mask, pattern, codes) that may have to be held against others of its file.
 FOUND = "a bigint, b bigint, file bigint, run bigint, mask bigint, pattern bigint, codes binary"
 FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("file", pa.int64()), ("run", pa.int64()), ("mask", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())])
-#: Runs of up to so many codes are compared neighbour by neighbour, as one group of the index's lowest level.
-SMALL = 24
+#: Codes that a file holds on average (at most, and at least half as many), and those of a run at most.
+PER_FILE, RUN_CODES = 2048, 8192
 
 
 def _signed(x: int) -> int:
@@ -193,15 +217,7 @@ def _link_files(radius: int, most: int):
         labels = np.arange(len(codes))
         starts = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
         sizes = np.diff(np.r_[starts, len(file)])
-        places = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
-        for step in range(1, SMALL):
-            places = places[places + step < len(file)]
-            places = places[file[places] == file[places + step]]
-            if not len(places):
-                break
-            near = places[np.bitwise_count(codes[places] ^ codes[places + step]) <= radius]
-            unite(labels, near, near + step)
-        for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for at, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             labels[at : at + size] = link_run(codes[at : at + size], radius) + at
         tied = np.flatnonzero(labels != np.arange(len(labels)))
         return _rows(a=codes[tied], b=codes[labels[tied]]) if len(tied) else None
@@ -266,13 +282,13 @@ def _link_pairs(radius: int):
     return run
 
 
-def code_links(codes: DataFrame, radius: int = 4, run_codes: int = 2048) -> DataFrame:
+def code_links(codes: DataFrame, radius: int = 4, run_codes: int = RUN_CODES, per_file: int = PER_FILE) -> DataFrame:
     """(a, b): links that join the same codes as all pairs with at most ``radius`` differing bits do.
 
     ``codes`` has one bigint column ``code`` of distinct values. Links of a code with itself, and links that
     follow from others of their run, are left out; no two codes are joined otherwise.
     """
-    filed = codes.select("code", F.explode(files(F.col("code"), radius)).alias("file"))
+    filed = codes.select("code", F.explode(files(F.col("code"), radius, *filing(codes.count(), radius, per_file))).alias("file"))
     ordered = filed.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange("file", "rank").sortWithinPartitions("file", "rank").select("file", "code")
     found = materialise(ordered.mapInArrow(_link_files(radius, run_codes), FOUND), "simhash-runs")
     near = found.where("a IS NOT NULL").select("a", "b")
@@ -308,7 +324,8 @@ def _labelled(printed: DataFrame, radius: int) -> DataFrame:
     codes = materialise(printed.groupBy(F.col("fingerprint").alias("code")).agg(F.min("doc_id").alias("least")), "simhash-codes")
     roots = components(code_links(codes.select("code"), radius), "simhash-components")
     rooted = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the join has a plain shuffle on either side and can split a root that many codes have
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     labels = rooted.select("code", "root").join(named, "root")
     # a fingerprint may have a third of all rows: the skewed side is split by the join, the other has one row for it
     return printed.join(labels, printed["fingerprint"] == labels["code"], "left").drop("code")
