@@ -12,11 +12,14 @@ are streamed; this changes no result.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,68 +31,118 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
 
 
-@dataclass
-class Automaton:
-    """A generalised suffix automaton over word numbers, with the items of each state."""
-
-    window: int
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    next: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    items: dict[int, set[str]] = field(default_factory=lambda: defaultdict(set))
-    short: dict[int, list[tuple[int, str]]] = field(default_factory=lambda: defaultdict(list))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    single: bool = False
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        copy = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+class _Builder:
+    """States and transitions while the automaton grows: numbers in arrays, and one map for all transitions."""
+
+    def __init__(self) -> None:
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.to: dict[int, int] = {}  # state << 32 | word: the next state
+        # the transitions of a state are a chain, for copies of it
+        self.head, self.word, self.after = array("i", [-1]), array("i"), array("i")
+
+    def add(self, state: int, c: int, target: int) -> None:
+        self.to[state << 32 | c] = target
+        self.word.append(c)
+        self.after.append(self.head[state])
+        self.head[state] = len(self.word) - 1
+
+    def state(self, length: int, link: int) -> int:
+        self.link.append(link)
+        self.length.append(length)
+        self.head.append(-1)
+        return len(self.link) - 1
+
+    def copied(self, p: int, c: int, q: int) -> int:
+        """A copy of q for the runs that also occur elsewhere; the way there from p and its suffixes leads to it."""
+        copy, t = self.state(self.length[p] + 1, self.link[q]), self.head[q]
+        while t >= 0:
+            self.add(copy, self.word[t], self.to[q << 32 | self.word[t]])
+            t = self.after[t]
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self.to.get(p << 32 | c) == q:
+            self.to[p << 32 | c] = copy
             p = self.link[p]
         return copy
 
-    def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+    def extended(self, last: int, c: int) -> int:
+        q = self.to.get(last << 32 | c)
         if q is not None:
-            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
-        new = len(self.next)
-        self.next.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+            return q if self.length[q] == self.length[last] + 1 else self.copied(last, c, q)
+        new, p = self.state(self.length[last] + 1, 0), last
+        while p >= 0 and p << 32 | c not in self.to:
+            self.add(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
+            q = self.to[p << 32 | c]
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self.copied(p, c, q)
         return new
 
-    def build(self, items: list[tuple[str, list[bytes]]]) -> Automaton:
-        coded = [(i, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for i, words in items if words]
+
+class Automaton:
+    """A generalised suffix automaton over word numbers, with the items of each state, in flat arrays."""
+
+    def __init__(self, window: int, items: list[tuple[str, list[bytes]]]):
+        self.window, self.vocabulary = window, {}
+        coded = [(i, array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])) for i, words in items if words]
+        grown = _Builder()
         for _, codes in coded:
             last = 0
             for c in codes:
-                last = self._extend(last, c)
-        for item, codes in coded:
+                last = grown.extended(last, c)
+        self.link, self.length, names = grown.link, grown.length, [i for i, _ in coded]
+        held_state, held_item, stamp = array("i"), array("i"), array("i", [-1]) * len(self.link)
+        self.short: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for n, (item, codes) in enumerate(coded):
             at = 0
             for c in codes:
-                at = u = self.next[at][c]
-                # only states that stand for runs of a window or more are ever asked for their items
-                while u > 0 and self.length[u] >= self.window and item not in self.items[u]:
-                    self.items[u].add(item)
-                    u = self.link[u]
-            if len(codes) < self.window:
+                at = grown.to[at << 32 | c]
+                u = self.window_state(at)
+                if u and stamp[u] != n:
+                    stamp[u] = n
+                    held_state.append(u)
+                    held_item.append(n)
+            if len(codes) < window:
                 self.short[at].append((len(codes), item))
-                self.single |= len(codes) == 1
+        self.single = any(n == 1 for x in self.short.values() for n, _ in x)
+        self.least = min([window, *(n for x in self.short.values() for n, _ in x)])
         size = len(self.vocabulary)
-        self.pairs = np.unique(np.array([a * size + b for _, codes in coded for a, b in zip(codes, codes[1:])], np.int64))
-        return self
+        pairs = [np.frombuffer(codes, np.int32).astype(np.int64) for _, codes in coded]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(p[:-1] * size + p[1:] for p in pairs)]))
+        # transitions, sorted by state and word
+        keys = np.fromiter(grown.to.keys(), np.int64, len(grown.to))
+        targets = np.fromiter(grown.to.values(), np.int32, len(grown.to))
+        del grown
+        order = np.argsort(keys)
+        self.keys, self.targets = array("q", keys[order].tobytes()), array("i", targets[order].tobytes())
+        # of each window's state the numbers of its items, one behind the other
+        state = np.frombuffer(held_state, np.int32)
+        order = np.argsort(state, kind="stable")
+        self.held, self.items = array("i", state[order].tobytes()), array("i", np.frombuffer(held_item, np.int32)[order].tobytes())
+        self.names = names
+
+    def window_state(self, u: int) -> int:
+        """The state of a run's last ``window`` words, given a state of a run at least as long; 0 if there is none."""
+        if self.length[u] < self.window:
+            return 0
+        while self.length[self.link[u]] >= self.window:
+            u = self.link[u]
+        return u
+
+    def next(self, state: int, c: int) -> int:
+        """The state after one more word; -1 if there is none."""
+        key = state << 32 | c
+        i = bisect_left(self.keys, key)
+        return self.targets[i] if i < len(self.keys) and self.keys[i] == key else -1
+
+    def items_of(self, state: int) -> set[str]:
+        a, b = bisect_left(self.held, state), bisect_right(self.held, state)
+        return {self.names[i] for i in self.items[a:b]}
+
+    @property
+    def n_bytes(self) -> int:
+        """About what it takes in memory."""
+        flat = sum(x.itemsize * len(x) for x in (self.link, self.length, self.keys, self.targets, self.held, self.items)) + self.pairs.nbytes
+        return flat + sum(160 + len(w) for w in self.vocabulary)
 
     def stretches(self, words: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, word numbers) of the stretches that can hold a window."""
@@ -109,8 +162,7 @@ class Automaton:
         else:
             ok[:] = False
         edge = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
-        least = min([self.window, *(n for x in self.short.values() for n, _ in x)])
-        return [(a, b + 1, codes[a : b + 1]) for a, b in zip(edge[::2], edge[1::2]) if b + 1 - a >= least]
+        return [(a, b + 1, codes[a : b + 1]) for a, b in zip(edge[::2], edge[1::2]) if b + 1 - a >= self.least]
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The maximal stretches of hit words as (start, end), and the items with a window in the text."""
@@ -119,18 +171,17 @@ class Automaton:
         for start, _, codes in self.stretches(words):
             state = held = 0
             for i, c in enumerate(codes.tolist(), start):
-                while state and c not in self.next[state]:
+                following = self.next(state, c)
+                while state and following < 0:
                     state = self.link[state]
                     held = self.length[state]
-                if c in self.next[state]:
-                    state = self.next[state][c]
+                    following = self.next(state, c)
+                if following >= 0:
+                    state = following
                     held += 1
                 reach = 0
                 if held >= self.window:
-                    u = state
-                    while self.length[self.link[u]] >= self.window:
-                        u = self.link[u]
-                    found |= self.items[u] if u in self.items else set()
+                    found |= self.items_of(self.window_state(state))
                     reach = self.window
                 if self.short:
                     u = state
@@ -151,15 +202,15 @@ class Automaton:
 HITS = "struct<n_words:bigint,starts:array<int>,ends:array<int>,items:array<string>>"
 
 
-def hits(text: Column, automaton: Automaton) -> Column:
-    """n_words, and the starts, ends (in words) and items of the hit stretches."""
+def hits(text: Column, automaton: Broadcast) -> Column:
+    """n_words, and the starts, ends (in words) and items of the hit stretches. A worker loads the automaton once."""
 
     @F.arrow_udf(HITS)
     def matched(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts_of(texts):
             words = words_of(t)
-            spans, found = automaton.match(words)
+            spans, found = automaton.value.match(words)
             rows.append({"n_words": len(words), "starts": [int(a) for a, _ in spans], "ends": [int(b) for _, b in spans], "items": sorted(found)})
         kind = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
         return pa.array(rows, kind)
@@ -168,7 +219,12 @@ def hits(text: Column, automaton: Automaton) -> Column:
     return matched.asNondeterministic()(text)
 
 
-def automata(benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000):
+#: Words of a block's items: an automaton of random words of this number takes less than 200 MB, and less than
+#: 500 MB while it is built (``tests/llm``).
+BLOCK_WORDS = 800_000
+
+
+def automata(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
     """Automata over the items, each of at most ``block_words`` words (or one item).
 
     Items come to the driver one partition at a time, so at most a partition and a block are held there.
@@ -177,23 +233,23 @@ def automata(benchmark: DataFrame, window: int = 10, block_words: int = 2_000_00
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         words = words_of(row["text"])
         if block and size + len(words) > block_words:
-            yield Automaton(window).build(block)
+            yield Automaton(window, block)
             block, size = [], 0
         if words and row["i"] is not None:
             block.append((row["i"], words))
             size += len(words)
-    yield Automaton(window).build(block)
+    yield Automaton(window, block)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = 10, block_words: int = 2_000_000, out: str = "hit") -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, out: str = "hit") -> DataFrame:
     """``docs`` with a struct column of n_words, starts, ends and items (see :func:`hits`).
 
-    A benchmark of up to ``block_words`` words is one automaton, sent to the tasks. A larger one is taken in
-    blocks of that size: all texts are matched with each block in turn, the hits are written to the shared
-    folder by digest of the text, united, and joined back.
+    A benchmark of up to ``block_words`` words is one automaton, broadcast to the executors. A larger one is taken
+    in blocks of that size: all texts are matched with each block in turn, the hits are written to the shared
+    folder by digest of the text, united, and joined back. Null texts have no words; repeated rows stay.
     """
     text = F.col(text_column)
-    parts = automata(benchmark, window, block_words)
+    parts = map(docs.sparkSession.sparkContext.broadcast, automata(benchmark, window, block_words))
     first = next(parts)
     second = next(parts, None)
     if second is None:
@@ -220,20 +276,20 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    united = flat.select(F.col("digest").alias("_digest"), union.alias("_spans"), F.col("items").alias("_items"))
-    joined = docs.withColumn("_key", digest).join(united, F.col("_key") == F.col("_digest"), "left")
+    united = flat.select(F.col("digest").alias(f"{out}_digest_"), union.alias(f"{out}_spans_"), F.col("items").alias(f"{out}_items_"))
+    joined = docs.withColumn(f"{out}_key_", digest).join(united, F.col(f"{out}_key_") == F.col(f"{out}_digest_"), "left")
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("bigint")
     empty = F.array().cast("array<int>")
     return joined.withColumn(
         out,
         F.struct(
-            words.alias("n_words"), F.coalesce(F.col("_spans.starts"), empty).alias("starts"),
-            F.coalesce(F.col("_spans.ends"), empty).alias("ends"), F.coalesce(F.col("_items"), F.array().cast("array<string>")).alias("items"),
+            words.alias("n_words"), F.coalesce(F.col(f"{out}_spans_.starts"), empty).alias("starts"),
+            F.coalesce(F.col(f"{out}_spans_.ends"), empty).alias("ends"), F.coalesce(F.col(f"{out}_items_"), F.array().cast("array<string>")).alias("items"),
         ),
-    ).drop("_key", "_digest", "_spans", "_items")
+    ).drop(*(f"{out}_{x}_" for x in ("key", "digest", "spans", "items")))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``.
 
     A null or empty text has no words and no hits, and so has a text without words. Items without words, or
@@ -267,12 +323,13 @@ def cut(text: str, starts: list[int], ends: list[int], least: int) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_span: int = 1, most_coverage: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_span: int = 1, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the same columns, without the benchmark's passages.
 
     A document of whose words more than ``most_coverage`` are hit goes. From the others every hit stretch of
     at least ``least_span`` words is cut out of the text, and ``n_chars``, if there is such a column, is set
-    anew. All other rows stay as they are.
+    anew. All other rows stay as they are: null and empty texts have no words and so no hits, and repeated rows
+    and null ids stay. An empty benchmark, or an empty table, changes nothing.
     """
     columns, held = docs.columns, "_decontamination_hit"
     found = with_hits(docs, benchmark, "text", window, block_words, held)
