@@ -10,7 +10,7 @@ bins, corrected for bins that are equal by chance, estimates the Jaccard likenes
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts_of
 from .simhash import shingle_hashes
@@ -91,40 +92,45 @@ def likeness_of(left: Column, right: Column, bins: int = BINS, bits: int = BITS)
 PLACE = ["_has_id", "_id", "_digest"]
 
 
-def _splits(placed: DataFrame, shards: int, sample: int) -> list[tuple]:
-    """Places that cut the documents into about ``shards`` equal parts, from at most ``sample`` rows."""
-    rows = placed.orderBy("_digest", "_id").limit(sample).collect()
-    places = sorted({tuple(r) for r in rows})
-    return [places[len(places) * i // shards] for i in range(1, shards)] if len(places) >= shards else places[1:]
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and the columns of PLACE. Whole numbers are ordered as such, other ids by their text."""
+    text, kind = F.coalesce(F.col("text"), F.lit("")), docs.schema["doc_id"].dataType
+    number = isinstance(kind, T.IntegralType)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)) if number else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.col("doc_id").isNotNull().alias("_has_id"), key.alias("_id"), F.xxhash64(text).alias("_digest"))
 
 
-def each_with_next(docs: DataFrame, shards: int, of: Callable[[str, str], tuple], fields: dict[str, str], sample: int = 20_000) -> DataFrame:
+def _splits(places: DataFrame, parts: int) -> list:
+    """The first place of each of about ``parts`` equal ranges: one row of three values each comes to the driver."""
+    ranged = places.repartitionByRange(parts, *PLACE).select(F.struct(*PLACE).alias("place"), F.spark_partition_id().alias("part"))
+    return sorted(r["first"] for r in ranged.groupBy("part").agg(F.min("place").alias("first")).collect())
+
+
+def each_with_next(docs: DataFrame, shards: int, of: Callable[[str, str], tuple], fields: dict[str, str]) -> DataFrame:
     """doc_id and the values that ``of`` makes of each row's text and the next row's, in order of doc_id.
 
-    The row after the last is the first. Rows without an id come first, and rows of one id follow each other by
-    the digest of their texts, so the order is the same in every run up to rows that are equal anyway. A single
-    row is its own next. ``of`` is called in the order of the rows. ``fields`` names the values and their types.
+    The row after the last is the first. Rows without an id come first, ids that aren't whole numbers are ordered
+    by their text, and rows of one id follow each other by the digest of their texts, so the order is the same in
+    every run up to rows that are equal anyway. A single row is its own next. ``of`` is called in the order of the
+    rows. ``fields`` names the values and their types.
 
-    One shuffle: every part of the order also gets the first row of the part after it.
+    One shuffle of texts: every part of the order also gets the first row of the part after it.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    placed = docs.select("doc_id", text.alias("text"), F.col("doc_id").isNotNull().cast("int").alias("_has_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(text).alias("_digest"))
-    splits = _splits(placed.select(*PLACE), shards, sample)
-
-    @F.arrow_udf("int")
-    def part_of(has_id: pa.Array, ids: pa.Array, digests: pa.Array) -> pa.Array:
-        return pa.array((bisect_right(splits, p) for p in zip(has_id.to_pylist(), ids.to_pylist(), digests.to_pylist())), pa.int32())
-
-    parted = lambda frame: frame.withColumn("_part", part_of(*PLACE))
-    # one row for each part reaches the driver
-    firsts = parted(placed.select(*PLACE)).groupBy("_part").agg(F.min(F.struct(*PLACE)).alias("first")).orderBy("_part").collect()
-    # the last part gets the first row of all
-    hosts = [(*r["first"], firsts[i - 1]["_part"]) for i, r in enumerate(firsts)]
-    hosts = F.broadcast(docs.sparkSession.createDataFrame(hosts, "_has_id int, _id bigint, _digest bigint, _host int"))
+    # several parts for each shard, which even out where the parts' hashes meet
+    rows, shards = placed(docs), 4 * shards
+    splits = _splits(rows.select(*PLACE), shards)
+    # a row's part by bisection of a literal table: the last split that isn't behind its place
+    kind = rows.select(F.struct(*PLACE).alias("p")).schema["p"].dataType
+    table = F.from_json(F.lit(json.dumps([r.asDict() for r in splits])), T.ArrayType(kind))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, len(splits).bit_length())))))
+    place = F.struct(*PLACE)
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step) <= place, at + step).otherwise(at))
+    # the first row of a part also goes to the part before it, that of the first part to the last
+    spread = rows.withColumn("_part", part).withColumn("_host", F.when(F.get(table, F.col("_part")) == place, F.when(F.col("_part") > 0, F.col("_part") - 1).otherwise(max(0, len(splits) - 1))))
     own, guest = (F.struct(F.col(c).alias("part"), F.lit(g).alias("guest")) for g, c in enumerate(("_part", "_host")))
-    spread = parted(placed).join(hosts, PLACE, "left").withColumn("_at", F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
+    spread = spread.withColumn("_at", F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
     # by part, the guests of a part behind its own rows
-    spread = spread.select("doc_id", "text", "_at.part", "_at.guest", *PLACE).repartition("part").sortWithinPartitions("part", "guest", *PLACE).select("doc_id", "text", "part", "guest")
+    spread = spread.select("doc_id", "text", "_at.part", "_at.guest", *PLACE).repartition(shards, "part").sortWithinPartitions("part", "guest", *PLACE).select("doc_id", "text", "part", "guest")
     kind, out = docs.schema["doc_id"].dataType, list(fields)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +158,9 @@ def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, words
     first code points of the next text, or all of it), fingerprint and edited_fingerprint (lower-case hex),
     near_edited and near_next (likeness of the fingerprint to the edited text's and the next text's).
 
-    Null texts count as empty; texts without words have an empty fingerprint. Repeated rows and rows with a null
-    id stay; their places are those of :func:`each_with_next`. Other columns are neither read nor returned.
+    Null texts count as empty; texts without words have an empty fingerprint. Ids may be of any type. Repeated
+    rows and rows with a null id stay; their places are those of :func:`each_with_next`. An empty table gives no
+    rows. Other columns are neither read nor returned.
     """
     if shards is None:
         shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
