@@ -36,8 +36,9 @@ from .common import batches_of, materialise, release
 #: Fixed value: the pattern by which the rank files' texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: The rank of a pair that is no token, and the id that stands beside a word's first and last token.
-NONE, EDGE = 1 << 20, (1 << 16) - 1
+#: Bits of an id, and the rank of a pair that is no token. The fold's numbers hold a rank, a place of 8 bits and an id.
+ID_BITS = 20
+NONE, PLACE_AT = 1 << ID_BITS, ID_BITS
 
 
 @lru_cache(maxsize=4)
@@ -45,11 +46,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a file with a base64 token and a rank on each line; the rank is the id."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
-    if len(ranks) >= EDGE or max(ranks.values(), default=0) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("a rank file holds all single bytes, and ids below 65,535")
+    if max(ranks.values(), default=0) >= NONE - 1 or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError(f"a rank file holds all single bytes, and ids below {NONE - 1:,}")
     return ranks
 
 
+def edge_of(path: str) -> int:
+    """The id, above all others, that stands beside a word's first and last token."""
+    return max(read_ranks(path).values()) + 1
+
+
 # --- splitting texts into words -------------------------------------------------------------------------------
 
 
@@ -82,7 +88,7 @@ def _pair_map(path: str) -> str:
 
     The pairs of a left id are a row of the table whose columns are right ids. All rows lie over each other in
     one array, each moved so far that no two entries meet: the entry of a pair is at ``moved[left] + right`` and
-    holds ``left << 16 | rank``, so that an entry of another row is told apart.
+    holds ``left << ID_BITS | rank``, so that an entry of another row is told apart.
     """
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
@@ -90,7 +96,8 @@ def _pair_map(path: str) -> str:
         for i in range(1, len(token)):
             if token[:i] in ranks and token[i:] in ranks:
                 rows.setdefault(ranks[token[:i]], []).append((ranks[token[i:]], rank))
-    moved, taken = [0] * (EDGE + 1), np.zeros(sum(map(len, rows.values())) * 2 + 2 * EDGE, bool)
+    edge = edge_of(path)
+    moved, taken = [0] * (edge + 1), np.zeros(sum(map(len, rows.values())) * 2 + 4 * edge, bool)
     entries: list[tuple[int, int]] = []
     low = at = size = 0  # below low all is taken; a row begins where the last one of its size was laid
     for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -104,7 +111,7 @@ def _pair_map(path: str) -> str:
             at += 0 if len(fits) else 1024
         moved[left] = int(fits[0])
         taken[moved[left] + rights] = True
-        entries += [(moved[left] + right, left << 16 | rank) for right, rank in row]
+        entries += [(moved[left] + right, left << ID_BITS | rank) for right, rank in row]
     table = [-1] * (max((x for x, _ in entries), default=0) + 1)
     for x, entry in entries:
         table[x] = entry
@@ -114,43 +121,43 @@ def _pair_map(path: str) -> str:
 def merged(word: Column, path: str) -> Column:
     """The ids of a word of up to 255 bytes: the pair of the lowest rank is merged, the leftmost of equal ones first, again and again.
 
-    The fold's state is an array with a number for each token, ``rank << 24 | place << 16 | id``: the rank of the
+    The fold's state is an array with a number for each token, rank, place and id from the high bits down: the rank of the
     token joined with the one after it, the place of its first byte, and its id. So the least number is the pair
     that comes next. Before the first token and after the last stands an edge that joins with nothing.
     """
     tables = F.from_json(F.lit(_pair_map(path)), "struct<moved:array<int>,table:array<bigint>>")
     single = read_ranks(path)
     by_byte = F.from_json(F.lit(json.dumps([single[bytes([b])] for b in range(256)])), "array<bigint>")
-    id_of = lambda number: number.bitwiseAND(0xFFFF)
+    id_of = lambda number: number.bitwiseAND(NONE - 1)
 
     def folded(table: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
             entry = F.get(table["table"], (F.get(table["moved"], left.cast("int")) + right).cast("int"))
-            known = lambda e: F.when(F.shiftright(e, 16) == left, e.bitwiseAND(0xFFFF)).otherwise(F.lit(NONE).cast("bigint"))
+            known = lambda e: F.when(F.shiftright(e, ID_BITS) == left, e.bitwiseAND(NONE - 1)).otherwise(F.lit(NONE).cast("bigint"))
             return named(entry, known)
 
         def number(rank_: Column, rest: Column) -> Column:
-            return F.shiftleft(rank_, 24).bitwiseOR(rest)
+            return F.shiftleft(rank_, PLACE_AT + 8).bitwiseOR(rest)
 
         def merge(numbers: Column, least: Column, at: Column) -> Column:
             """``at``: the place in the array, from 1, of the left token."""
 
             def joined(new: Column) -> Column:
                 before, after = F.get(numbers, at - 2), F.get(numbers, at + 1)
-                left = named(before, lambda b: number(rank(id_of(b), new), b.bitwiseAND(0xFFFFFF)))
-                own = number(rank(new, id_of(after)), least.bitwiseAND(0xFF0000).bitwiseOR(new))
+                left = named(before, lambda b: number(rank(id_of(b), new), b.bitwiseAND((1 << PLACE_AT + 8) - 1)))
+                own = number(rank(new, id_of(after)), least.bitwiseAND(0xFF << PLACE_AT).bitwiseOR(new))
                 return F.flatten(F.array(F.slice(numbers, F.lit(1), at - 2), F.array(left, own), F.slice(numbers, at + 2, F.lit(256))))
 
-            return named(F.shiftright(least, 24), joined)
+            return named(F.shiftright(least, PLACE_AT + 8), joined)
 
         def step(numbers: Column, _: Column) -> Column:
             merge_at = lambda least: named(F.array_position(numbers, least).cast("int"), lambda at: merge(numbers, least, at))
-            return named(F.array_min(numbers), lambda least: F.when(least < NONE << 24, merge_at(least)).otherwise(numbers))
+            return named(F.array_min(numbers), lambda least: F.when(least < NONE << PLACE_AT + 8, merge_at(least)).otherwise(numbers))
 
         code = lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))
-        edge = F.array(F.lit(EDGE).cast("bigint"))
+        edge = F.array(F.lit(edge_of(path)).cast("bigint"))
         ids = F.concat(edge, F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(by_byte, code(i))), edge)
-        start = named(ids, lambda x: F.transform(x, lambda id_, i: number(rank(id_, F.get(x, i + 1)), F.shiftleft(i.cast("bigint"), 16).bitwiseOR(id_))))
+        start = named(ids, lambda x: F.transform(x, lambda id_, i: number(rank(id_, F.get(x, i + 1)), F.shiftleft(i.cast("bigint"), PLACE_AT).bitwiseOR(id_))))
         end = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step)
         return named(end, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda n: id_of(n).cast("int")))
 
@@ -353,7 +360,12 @@ class _Lists:
         return self.flat[np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(shifts, lengths)]
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_ids(path: str) -> str:
+    """The numbers that hold any id of the file."""
+    return "<u2" if edge_of(path) <= 1 << 16 else "<u4"
+
+
+def _answered(batches: Iterator[pa.RecordBatch], id_kind: str) -> Iterator[pa.RecordBatch]:
     """Rows of merged words, then of numbers, to a packed row of ids for each block and part."""
     kind = pa.schema([(BLOCK, pa.int64()), (PART, pa.int32()), (DATA, pa.binary())])
     parts, lists = [], None
@@ -366,14 +378,14 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             lists = lists or _Lists(parts)
             places = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.int64)
-            sizes, ids = lists.sizes[places].astype("<u4"), lists.joined(places).astype("<u2")
+            sizes, ids = lists.sizes[places].astype("<u4"), lists.joined(places).astype(id_kind)
             data = zstandard.compress(np.uint32(len(places)).tobytes() + sizes.tobytes() + ids.tobytes(), 3)
             yield pa.RecordBatch.from_arrays([pa.array([block]), batch.column(2).slice(i, 1), pa.array([data], pa.binary())], schema=kind)
     parts, lists = [], None
     release()
 
 
-def _assembled(first: int, finish: Callable[[pa.Table, pa.ListArray], pa.Table]):
+def _assembled(first: int, id_kind: str, finish: Callable[[pa.Table, pa.ListArray], pa.Table]):
     """A block's texts, as coded, and its ids, part by part, to what ``finish`` makes of the rows and their ids."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -383,7 +395,7 @@ def _assembled(first: int, finish: Callable[[pa.Table, pa.ListArray], pa.Table])
             raw = zstandard.decompress(data.as_py())
             n = int(np.frombuffer(raw, "<u4", 1)[0])
             starts[part] = sum(map(len, parts))
-            flat = np.frombuffer(raw, "<u2", -1, 4 + 4 * n).astype(np.int32)
+            flat = np.frombuffer(raw, id_kind, -1, 4 + 4 * n).astype(np.int32)
             parts.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.frombuffer(raw, "<u4", n, 4))], pa.int32()), pa.array(flat)))
         lists = _Lists(parts)
         texts = texts.sort_by(ROW).combine_chunks()
@@ -427,11 +439,11 @@ def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], fini
     distinct = words.select(BLOCK, PART, DATA).mapInArrow(_distinct(path, fold_bytes), WORDS)
     ids = F.zip_with("words", "given", lambda w, g: F.when(g.isNull(), merged(w, path)).otherwise(g))
     folded = distinct.select(F.when(F.col("block").isNull(), ids).alias("ids"), "block", "part", "numbers")
-    answered = folded.mapInArrow(_answered, f"{BLOCK} bigint, {PART} int, {DATA} binary")
+    id_kind = packed_ids(path)
+    answered = folded.mapInArrow(lambda batches: _answered(batches, id_kind), f"{BLOCK} bigint, {PART} int, {DATA} binary")
 
     texts = coded.where(F.col(PART).isNull()).drop(PART)
-    first = max(read_ranks(path).values()) + 1
-    return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(first, finish), result)
+    return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(edge_of(path), id_kind, finish), result)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 8_000_000, fold_bytes: int = 64) -> DataFrame:
@@ -440,7 +452,7 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "to
     One row for each row, with all other columns as they are (a column of the name ``out`` gives way). Null and
     empty texts have no ids. Texts are whole; no special token is known. ``block_chars`` bounds the texts that a
     task holds at once (one text at least), ``fold_bytes`` (at most 250) the words that are folded in Spark;
-    longer words are merged by a heap, with equal results.
+    longer words are merged by a heap, with equal results. Rank files may have up to a million ids.
     """
     kept = [c for c in docs.columns if c not in (text_column, out)]
     result = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
