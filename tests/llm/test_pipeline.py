@@ -8,7 +8,7 @@ import tiktoken
 
 import corpus_pipeline
 from tests.conftest import SF
-from tests.llm.test_operators import ITEMS, ODD, components_by_hand, hits_by_hand, odd, sorted_rows
+from tests.llm.test_operators import ITEMS, ODD, hits_by_hand, odd, shingles, sorted_rows
 from tidebook.llm import bpe, quality, secrets
 from tidebook.llm.common import materialise
 
@@ -36,9 +36,21 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
+    """One row, of the smallest id, stays of each group over all pairs of an exact likeness of 0.8 or more."""
     before, after = stages["near-duplicates"]
-    want = components_by_hand([(r.doc_id, r.text) for r in before.collect()])
-    assert {r.doc_id for r in after.collect()} == {c for _, _, c in want}
+    rows = sorted((r.doc_id, frozenset(shingles(r.text, 5))) for r in before.collect())
+    root = {doc: doc for doc, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)) and len(x & y) * 5 >= len(x | y) * 4:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.doc_id for r in after.collect()} == {find(doc) for doc, _ in rows}
 
 
 def test_decontamination(spark, stages):
