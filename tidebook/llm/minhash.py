@@ -33,21 +33,26 @@ def _orders(bins: int, seed: int = 17) -> np.ndarray:
     return np.argsort(rng.random((bins, bins)), axis=1).argsort(axis=1).astype(np.int32)
 
 
-def packed_bins(text: str, bins: int = BINS, bits: int = BITS, words: int = WORDS, seed: int = SEED) -> bytes:
-    """The fingerprint as bytes; empty for a text without words."""
-    hashes = np.sort(shingle_hashes(text, words, seed))
+def bin_values(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The value of each bin: its smallest hash, or that of the bin which lends to it. Of no hashes there are none."""
+    hashes = np.sort(hashes)
     if not len(hashes):
-        return b""
-    width = bins.bit_length() - 1
-    bin_of = (hashes >> np.uint64(64 - width)).astype(np.int64)
+        return hashes
+    bin_of = (hashes >> np.uint64(64 - (bins.bit_length() - 1))).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]])
-    filled, low = bin_of[first], hashes[first] & np.uint64((1 << bits) - 1)
-    values = np.zeros(bins, np.uint64)
-    values[filled] = low
+    filled, values = bin_of[first], np.zeros(bins, np.uint64)
+    values[filled] = hashes[first]
     empty = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
     if len(empty):
-        lender = _orders(bins)[empty][:, filled].argmin(axis=1)
-        values[empty] = low[lender]
+        values[empty] = values[filled[_orders(bins)[empty][:, filled].argmin(axis=1)]]
+    return values
+
+
+def packed_bins(text: str, bins: int = BINS, bits: int = BITS, words: int = WORDS, seed: int = SEED) -> bytes:
+    """The fingerprint as bytes; empty for a text without words."""
+    values = bin_values(shingle_hashes(text, words, seed), bins)
+    if not len(values):
+        return b""
     return np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
