@@ -446,7 +446,7 @@ def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], fini
     return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(edge_of(path), id_kind, finish), result)
 
 
-def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 8_000_000, fold_bytes: int = 64) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 6_000_000, fold_bytes: int = 64) -> DataFrame:
     """``docs`` without the text, with ``out``, the text's ids as array<int>.
 
     One row for each row, with all other columns as they are (a column of the name ``out`` gives way). Null and
@@ -492,7 +492,7 @@ def decode(ids: Column, path: str) -> Column:
     return joined(ids)
 
 
-def round_trip(docs: DataFrame, path: str, block_chars: int = 8_000_000, fold_bytes: int = 64) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, block_chars: int = 6_000_000, fold_bytes: int = 64) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of
     the bytes that the ids decode to), both lower-case hex, for each row of ``docs``.
 
