@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 from decimal import Decimal, InvalidOperation
 
 import pytest
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tests.test_books import loop, random_feed
 from tidebook.functions import ticks
-from tidebook.operators import book, epochs, ofi
-from tidebook.schemas import UPDATE
+from tidebook.operators import book, epochs, matching, ofi, orders, risk
+from tidebook.schemas import COMMAND, EXECUTION, UPDATE
 from tidebook.sources import adapters, capture
 from tidebook.streaming import live
 
@@ -178,3 +179,56 @@ def test_conflation_keeps_the_newest(spark, tmp_path):
     stream = spark.readStream.schema("symbol string, idx long, v double").parquet(str(tmp_path / "in"))
     live.latest_sink(stream, lambda frame, epoch: seen.extend(tuple(r) for r in frame.collect()), str(tmp_path / "check")).awaitTermination(60)
     assert sorted(seen) == [("a", 3, 7.0), ("b", 2, 1.0)]
+
+
+def streamed(spark, frame, to, tmp_path):
+    frame.orderBy("idx").repartitionByRange(3, "idx").write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
+    to(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    return sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
+
+
+def test_streamed_orders_equal_batch(spark, tmp_path):
+    rng = random.Random(3)
+    known = spark.createDataFrame([(f"o{i}", "S", "BUY", 100.0) for i in range(5)], "cl_ord_id string, symbol string, side string, qty double")
+    status = ["NEW", "PARTIALLY_FILLED", "FILLED", "CANCELED", "PENDING_CANCEL"]
+    rows = []
+    for i in range(60):
+        s = rng.choice(status)
+        trade = s in ("PARTIALLY_FILLED", "FILLED")
+        rows.append((i, f"o{rng.randrange(6)}", "TRADE" if trade else s, s, "V", f"E{i}", float(rng.randrange(60)) if trade else 0.0, 10 if trade else None, None, "", i))
+    reports = spark.createDataFrame(rows, EXECUTION)
+    assert streamed(spark, reports, lambda stream: live.live_orders(stream, known), tmp_path) == sorted(map(str, orders.apply_reports(known, reports).collect()))
+
+
+def test_streamed_matching_equals_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, rng.choice(["add", "submit", "market", "cancel_ahead"]), f"c{i}", rng.choice(["BUY", "SELL"]), float(rng.randrange(1, 9)), rng.randrange(95, 106), "LIMIT", rng.choice(["DAY", "IOC", "FOK"])) for i in range(80)]
+    commands = spark.createDataFrame(rows, COMMAND)
+    assert streamed(spark, commands, live.live_matching, tmp_path) == sorted(map(str, matching.match(commands).collect()))
+
+
+RISK = "symbol string, idx long, op string, cl_ord_id string, side string, qty double, price long, mid double, is_market boolean, t_s double"
+
+
+def test_risk_at_arrival(spark, tmp_path):
+    limits = risk.Limits(max_position=100, max_open_orders=2, max_messages_per_sec=3)
+    step = lambda i, op, c=None, side=None, qty=0.0, price=None, t=0.0: ("S", i, op, c, side, qty, price, None, False, t)
+    rows = [
+        step(1, "order", "a", "BUY", 60.0, 10), step(2, "order", "b", "BUY", 60.0, 10), step(3, "order", "c", "SELL", 10.0, 10, 0.1), step(4, "order", "d", "SELL", 10.0, 11, 0.2), step(5, "order", "e", "BUY", 1.0, 9, 0.3),
+        step(6, "fill", "a", "BUY", 60.0, 10, 0.4), step(7, "order", "f", "BUY", 41.0, 10, 5.0), step(8, "order", "g", "BUY", 1.0, 11, 5.0), step(9, "close", "d"), step(10, "order", "h", "BUY", 1.0, 11, 5.1),
+        step(11, "kill"), step(12, "order", "i", "BUY", 1.0, 1, 9.0), step(13, "resume"), step(14, "order", "j", "BUY", 1.0, 1, 9.0),
+    ]
+    events = spark.createDataFrame(rows, RISK)
+    batch = risk.gated(events, limits)
+    got = {r.idx: r for r in batch.collect()}
+    assert {i: r.check for i, r in got.items() if r.accepted is not None} == {1: None, 2: "max_position", 3: "self_trade", 4: None, 5: "max_open_orders", 7: "max_position", 8: "self_trade", 10: None, 12: "kill_switch", 14: None}
+    assert (got[6].position, got[6].n_open, got[14].n_open) == (60.0, 1, 2)
+    assert streamed(spark, events, lambda stream: live.live_risk(stream, limits), tmp_path) == sorted(map(str, batch.collect()))
+
+
+def test_risk_throttle_counts_accepted_orders(spark):
+    rows = [("S", i, "order", f"o{i}", "BUY", 1.0, 1, None, False, t) for i, t in enumerate([0.0, 0.1, 0.2, 0.9, 1.15])]
+    got = risk.gated(spark.createDataFrame(rows, RISK), risk.Limits(max_messages_per_sec=2)).orderBy("idx").collect()
+    assert [r.check for r in got] == [None, None, "throttle", "throttle", None]

@@ -157,7 +157,7 @@ def no_op_deletes(level_rows: DataFrame) -> DataFrame:
 def final_levels(level_rows: DataFrame) -> DataFrame:
     """The levels that stand at the end of each symbol's last epoch."""
     last = level_rows.groupBy(*KEYS).agg(F.max("epoch").alias("epoch"))
-    return level_rows.where(F.col("until").isNull() & (F.col("size") > 0)).join(F.broadcast(last), [*KEYS, "epoch"], "left_semi").select(*KEYS, "side", "price", "size")
+    return level_rows.where(F.col("until").isNull() & (F.col("size") > 0)).join(last, [*KEYS, "epoch"], "left_semi").select(*KEYS, "side", "price", "size")
 
 
 def ranked(standing: DataFrame, depth: int | None = None) -> DataFrame:

@@ -50,7 +50,7 @@ def new_orders(requests: DataFrame, prefix: str = "ORD", order: str = "idx", wid
 
 
 class OrderState:
-    """An order as its accepted reports leave it."""
+    """An order as its accepted reports leave it. Batch and streaming jobs share it."""
 
     __slots__ = ("status", "qty", "cum_qty", "avg_px", "order_id", "reject_reason", "rejected_transitions")
 
@@ -86,6 +86,15 @@ class OrderState:
         return None
 
 
+def report_row(held: list, r) -> tuple:
+    """The row of one execution report. ``held`` has the order's state, made at the first report of a known order."""
+    if held[0] is None and not pd.isna(r.order_qty):
+        held[0] = OrderState(r.order_qty)
+    error = "unknown_order" if held[0] is None else held[0].apply(r)
+    s = held[0] or OrderState(0.0, None)
+    return (r.idx, r.cl_ord_id, r.symbol, r.side, r.exec_type, r.last_qty, r.last_px, s.status, s.order_id, s.cum_qty, s.avg_px, s.reject_reason, error)
+
+
 REPORTED = "idx bigint, cl_ord_id string, symbol string, side string, exec_type string, last_qty double, last_px bigint, status string, order_id string, cum_qty double, avg_px double, reject_reason string, error string"
 
 
@@ -96,25 +105,28 @@ def apply_reports(orders: DataFrame, reports: DataFrame) -> DataFrame:
     of unknown orders have the error ``unknown_order``. Orders are independent: rows are sorted by order within
     partitions and streamed through the fold.
     """
-    known = orders.select("cl_ord_id", "symbol", "side", F.col("qty").alias("order_qty"))
-    rows = reports.join(known, "cl_ord_id", "left")
+    rows = with_orders(reports, orders)
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), None
+        key, held = object(), [None]
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 if r.cl_ord_id != key:
-                    key, state = r.cl_ord_id, None if pd.isna(r.order_qty) else OrderState(r.order_qty)
-                error = "unknown_order" if state is None else state.apply(r)
-                s = state or OrderState(0.0, None)
-                out.append((r.idx, r.cl_ord_id, r.symbol, r.side, r.exec_type, r.last_qty, r.last_px, s.status, s.order_id, s.cum_qty, s.avg_px, s.reject_reason, error))
+                    key, held = r.cl_ord_id, [None]
+                out.append(report_row(held, r))
             if out:
                 yield framed(out, REPORTED)
 
     return rows.repartition("cl_ord_id").sortWithinPartitions("cl_ord_id", "idx").mapInPandas(fold, REPORTED)
 
 
+def with_orders(reports: DataFrame, orders: DataFrame) -> DataFrame:
+    """Reports, of a stream or a batch, with symbol, side and order_qty of their order (null if it is unknown)."""
+    known = orders.select("cl_ord_id", "symbol", "side", F.col("qty").alias("order_qty"))
+    return reports.join(known, "cl_ord_id", "left")
+
+
 def fills_of(applied: DataFrame) -> DataFrame:
     """The accepted trades: idx, cl_ord_id, symbol, side, qty and price."""
     return applied.where((F.col("exec_type") == "TRADE") & F.col("error").isNull()).select("idx", "cl_ord_id", "symbol", "side", F.col("last_qty").alias("qty"), F.col("last_px").alias("price"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import Running, running, sliced
+from .rows import framed
 
 #: The checks in their order.
 CHECKS = (
@@ -130,7 +131,7 @@ def check_counts(decided: DataFrame) -> DataFrame:
 
 
 class RiskEngine:
-    """All checks in their order for one order at a time, for the streaming job: the fold's state of a book of orders."""
+    """All checks in their order for one order at a time."""
 
     def __init__(self, limits: Limits):
         self.limits, self.killed = limits, False
@@ -165,3 +166,61 @@ class RiskEngine:
         while times and now - times[0] > self.throttle.window:
             times.popleft()
         return len(times)
+
+
+GATED = "symbol string, idx bigint, cl_ord_id string, check string, accepted boolean, position double, n_open bigint"
+
+
+class Gate:
+    """A symbol's state: its position and working orders as they stand when an order comes, and the checks' own.
+
+    Accepted orders work from then on, so each decision rests on those before it.
+    """
+
+    def __init__(self, limits: Limits):
+        self.engine, self.position, self.working = RiskEngine(limits), 0.0, {}
+
+    def step(self, r) -> tuple:
+        """Takes an event in: order, fill, close (of a working order), kill or resume."""
+        check, price = None, None if pd.isna(r.price) else int(r.price)
+        sums = {"BUY": 0.0, "SELL": 0.0}
+        for side, left, _ in self.working.values():
+            sums[side] += left
+        if r.op == "order":
+            mid, held = None if pd.isna(r.mid) else float(r.mid), [(side, p) for side, _, p in self.working.values()]
+            check = self.engine.check(r.side, r.qty, price, mid, bool(r.is_market), r.t_s, self.position + sums["BUY"], self.position - sums["SELL"], held)
+            if check is None:
+                self.working[r.cl_ord_id] = (r.side, r.qty, price)
+        elif r.op == "fill":
+            self.position += r.qty if r.side == "BUY" else -r.qty
+            if r.cl_ord_id in self.working:
+                side, left, p = self.working.pop(r.cl_ord_id)
+                if left - r.qty > 1e-9:
+                    self.working[r.cl_ord_id] = (side, left - r.qty, p)
+        elif r.op == "close":
+            self.working.pop(r.cl_ord_id, None)
+        elif r.op in ("kill", "resume"):
+            self.engine.killed = r.op == "kill"
+        else:
+            raise ValueError(f"unknown event {r.op!r}")
+        return (r.symbol, r.idx, r.cl_ord_id, check, check is None if r.op == "order" else None, self.position, len(self.working))
+
+
+def gated(events: DataFrame, limits: Limits) -> DataFrame:
+    """A row for each event (symbol, idx, op, cl_ord_id, side, qty, price, mid, is_market, t_s), in order of idx for each
+    symbol: the check that an order failed, judged by what stood at its arrival, and position and working orders after it.
+
+    What is accepted decides what works, so a symbol's events are one fold; symbols run in parallel.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, gate = object(), None
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if r.symbol != symbol:
+                    symbol, gate = r.symbol, Gate(limits)
+                out.append(gate.step(r))
+            yield framed(out, GATED)
+
+    return events.repartition("symbol").sortWithinPartitions("symbol", "idx").mapInPandas(fold, GATED)

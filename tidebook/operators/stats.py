@@ -77,7 +77,7 @@ def regress(frame: DataFrame, y: str, xs: list[str], keys: list[str], order: str
     fitted = fitted.withColumn("hac_lags", F.greatest(F.lit(0), F.least(F.lit(hac_lags) if hac_lags is not None else rule_of_thumb_lags(F.col("n_obs")), F.col("n_obs") - 1)).cast("int"))
 
     def with_fit(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(fitted), keys) if keys else rows.crossJoin(F.broadcast(fitted))
+        return rows.join(fitted, keys) if keys else rows.join(F.broadcast(fitted), F.lit(True))  # one row without keys
 
     rows = with_fit(used).where(F.col("params").isNotNull())
     predicted = sum((F.col("params")[i] * c for i, c in enumerate(x)), F.lit(0.0))
@@ -145,7 +145,7 @@ def latency_report(samples: DataFrame, warmup: int = 0, stage: str = "stage", or
     if warmup:
         ranked = samples.withColumn("_n", F.row_number().over(Window.partitionBy(stage, F.pmod(F.xxhash64(order), F.lit(64))).orderBy(order))).where(F.col("_n") <= warmup)
         edge = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(stage).orderBy(order))).groupBy(stage).agg(F.max(F.when(F.col("_n") <= warmup, F.col(order))).alias("_edge"))
-        samples = samples.join(F.broadcast(edge), stage).where(F.col(order) > F.col("_edge"))
+        samples = samples.join(edge, stage).where(F.col(order) > F.col("_edge"))
     q = quantiles(samples, [stage], value, [0.5, 0.9, 0.99, 0.999]).drop("n")
     sums = samples.groupBy(stage).agg(F.count(F.lit(1)).alias("n"), F.max(value).cast("double").alias("max_ns"), F.avg(value).alias("mean_ns"))
     return sums.join(q, stage).select(stage, "n", *(F.col("q")[i].alias(name) for i, name in enumerate(("p50", "p90", "p99", "p999"))), "max_ns", "mean_ns")

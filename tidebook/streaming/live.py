@@ -18,6 +18,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..operators.book import Book, latest
 from ..operators.epochs import KEYS
 from ..operators.fixsession import SESSION, Session, session_rows
+from ..operators.matching import MATCHED, Venue, command_rows
+from ..operators.orders import REPORTED, report_row, with_orders
+from ..operators.risk import GATED, Gate, Limits
 from ..operators.rows import framed
 
 LIVE = "venue string, symbol string, idx bigint, recv_ts_ns bigint, applied boolean, bid_px bigint, bid_sz double, ask_px bigint, ask_sz double, e double, ofi double, events bigint, resyncs bigint, updates bigint"
@@ -113,6 +116,39 @@ class SessionProcessor(_Folded):
         return session_rows(state, r)
 
 
+class OrderProcessor(_Folded):
+    schema = REPORTED
+
+    def new(self) -> list:
+        return [None]
+
+    def rows(self, state: list, r) -> list[tuple]:
+        return [report_row(state, r)]
+
+
+class VenueProcessor(_Folded):
+    schema = MATCHED
+
+    def new(self) -> Venue:
+        return Venue()
+
+    def rows(self, state: Venue, r) -> list[dict]:
+        return command_rows(state, r)
+
+
+class RiskProcessor(_Folded):
+    schema = GATED
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def new(self) -> Gate:
+        return Gate(self.limits)
+
+    def rows(self, state: Gate, r) -> list[tuple]:
+        return [state.step(r)]
+
+
 def live_books(updates: DataFrame, max_depth: int | None = None, strict: bool = True) -> DataFrame:
     """A streaming frame of updates to a row for each: the top of book, its flow contribution and running sums."""
     processor = BookProcessor(max_depth, strict)
@@ -123,6 +159,21 @@ def live_sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("conn").transformWithStateInPandas(SessionProcessor(), SESSION, "append", "None")
 
 
+def live_orders(reports: DataFrame, orders: DataFrame) -> DataFrame:
+    """A stream of execution reports, with a table of orders, to the order after each report and its error."""
+    return with_orders(reports, orders).groupBy("cl_ord_id").transformWithStateInPandas(OrderProcessor(), REPORTED, "append", "None")
+
+
+def live_matching(commands: DataFrame) -> DataFrame:
+    """A stream of commands to the reports and trades that they cause."""
+    return commands.groupBy("symbol").transformWithStateInPandas(VenueProcessor(), MATCHED, "append", "None")
+
+
+def live_risk(events: DataFrame, limits: Limits) -> DataFrame:
+    """A stream of orders, fills and their ends to a decision for each order, as :func:`risk.gated`."""
+    return events.groupBy("symbol").transformWithStateInPandas(RiskProcessor(limits), GATED, "append", "None")
+
+
 def latest_sink(live: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Gives ``write`` the newest row for each venue's symbol of every micro-batch: what came between is conflated away."""
     def each(batch: DataFrame, epoch: int) -> None:
