@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ticks import is_crossed
-from ..schemas import LEVELS, TOP
+from ..schemas import TOP
 from .epochs import KEYS
 from .rows import names_of
 
@@ -94,25 +94,35 @@ def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels:
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = None
+        book, bid, ask = None, (None, 0.0), (None, 0.0)
         for batch in batches:
-            place, is_snapshot, bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).to_pylist() for i in (0, 1, 7, 8, 9, 10))
-            tops, depths = [], []
-            for n, new, bp, bs, ap, az in zip(place, is_snapshot, bid_px, bid_sz, ask_px, ask_sz):
+            place, is_snapshot = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
+            # prices and sizes lie flat, with the place where each row's begin
+            bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (7, 8, 9, 10))
+            bid_at, ask_at = (batch.column(i).offsets.to_numpy().tolist() for i in (7, 9))
+            bp, bs, ap, az, depths = [], [], [], [], []
+            for n, new, b0, b1, a0, a1 in zip(place, is_snapshot, bid_at, bid_at[1:], ask_at, ask_at[1:]):
                 if n == 1:
                     book = Book(max_depth)
-                book.apply(new, zip(bp, bs), zip(ap, az))
-                tops.append((*book.bids.best(), *book.asks.best()))
-                depths.append(book.average_depth(depth_levels) if depth_levels else None)
-            if tops:
-                made = [pa.array(c, kind) for c, kind in zip(zip(*tops), (pa.int64(), pa.float64()) * 2)]
+                book.apply(new, zip(bid_px[b0:b1], bid_sz[b0:b1]) if b1 > b0 else (), zip(ask_px[a0:a1], ask_sz[a0:a1]) if a1 > a0 else ())
+                if b1 > b0 or new or n == 1:
+                    bid = book.bids.best()
+                if a1 > a0 or new or n == 1:
+                    ask = book.asks.best()
+                bp.append(bid[0])
+                bs.append(bid[1])
+                ap.append(ask[0])
+                az.append(ask[1])
+                if depth_levels:
+                    depths.append(book.average_depth(depth_levels))
+            if bp:
+                made = [pa.array(c, kind) for c, kind in zip((bp, bs, ap, az), (pa.int64(), pa.float64()) * 2)]
                 held = [batch.column(i) for i in (2, 3, 4, 5, 6, 11)]
-                yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64())], names=names_of(TOP))
+                yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64()) if depth_levels else pa.nulls(len(bp), pa.float64())], names=names_of(TOP))
 
-    part = lambda c, f: F.transform(F.coalesce(c, F.array().cast(LEVELS)), lambda x: x[f])
     w = Window.partitionBy(*KEYS, "epoch").orderBy("idx")
     rows = audited.where("applied").withColumn("_place", F.row_number().over(w)).select(
-        "_place", "is_snapshot", *KEYS, "epoch", "idx", "recv_ts_ns", part("bids", "price").alias("bp"), part("bids", "size").alias("bs"), part("asks", "price").alias("ap"), part("asks", "size").alias("az"), "exchange_ts_ns"
+        "_place", "is_snapshot", *KEYS, "epoch", "idx", "recv_ts_ns", F.col("bids.price").alias("bp"), F.col("bids.size").alias("bs"), F.col("asks.price").alias("ap"), F.col("asks.size").alias("az"), "exchange_ts_ns"
     )
     return rows.mapInArrow(fold, TOP)
 
