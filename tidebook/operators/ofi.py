@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import is_two_sided, mid
 from .epochs import KEYS
-from .ordered import Running, numbered, ranged, running, sliced
+from .ordered import Running, evenly, numbered, running, sliced
 
 TOB = ["bid_px", "bid_sz", "ask_px", "ask_sz"]
 
@@ -117,7 +117,8 @@ def signed_volume(event_rows: DataFrame, kept: DataFrame, interval_ns: int) -> D
 
 def every_n(bucket_rows: DataFrame, n: int) -> DataFrame:
     """Sums of whole runs of ``n`` consecutive buckets of a symbol; the run that reaches the last bucket is left out."""
-    rows = numbered(ranged(bucket_rows, KEYS, "start_ns"), KEYS, "start_ns", "_n", keep=False).withColumn("chunk", F.expr(f"(_n - 1) div {int(n)}"))
-    total = bucket_rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_total"))
+    kept = evenly(bucket_rows, "start_ns")
+    rows = numbered(kept, KEYS, "start_ns", "_n", keep=False).withColumn("chunk", F.expr(f"(_n - 1) div {int(n)}"))
+    total = kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_total"))
     sums = rows.groupBy(*KEYS, "chunk").agg(F.sum("ofi").alias("ofi"), F.sum("delta_mid").alias("delta_mid"))
     return sums.join(total, KEYS).where((F.col("chunk") + 1) * n < F.col("_total")).drop("_total")

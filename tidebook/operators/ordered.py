@@ -29,6 +29,17 @@ def sliced(frame: DataFrame, order: str, width: int, name: str = "_slice") -> Da
     return frame.withColumn(name, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
+def evenly(frame: DataFrame, order: str, rows: int = 100_000, name: str = "_slice") -> DataFrame:
+    """Adds slices of a numeric order that rises about evenly, such as a time, for about so many rows to a slice.
+
+    The frame is computed once and kept.
+    """
+    frame = cut(frame)
+    n, low, high = frame.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    width = 1 if not n or low is None else max(1, (high - low) // max(1, n // rows) + 1)
+    return sliced(frame, order, width, name)
+
+
 def ranged(frame: DataFrame, keys: list[str], order: str, name: str = "_slice") -> DataFrame:
     """Adds slices of about equal size for an order of any type: the partitions of a distributed sort, kept."""
     return cut(frame.repartitionByRange(*keys, order).withColumn(name, F.spark_partition_id().cast("bigint")))

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..storage import cut
-from .ordered import Running, numbered, ranged, running
+from .ordered import Running, evenly, numbered, ranged, running
 
 
 def rule_of_thumb_lags(n: Column) -> Column:
@@ -66,14 +66,15 @@ def regress(frame: DataFrame, y: str, xs: list[str], keys: list[str], order: str
     used = frame.select(*keys, order, F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)))
     for c in ["_y", *(f"_x{i}" for i in range(len(xs)))]:
         used = used.where(F.col(c).isNotNull() & ~F.isnan(c))
-    used = cut(numbered(ranged(used, keys, order), keys, order, "_i", keep=False).drop("_slice"))
+    sliced_ = evenly(used, order) if isinstance(frame.schema[order].dataType, T.NumericType) else ranged(used, keys, order)
+    used = numbered(sliced_, keys, order, "_i", keep=False).drop("_slice")
     x = [F.lit(1.0)] * add_constant + [F.col(f"_x{i}") for i in range(len(xs))]
     sums = used.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_obs"), F.avg("_y").alias("y_mean"), F.array(*(F.sum(a * b) for a in x for b in x)).alias("gram"), F.array(*(F.sum(a * F.col("_y")) for a in x)).alias("xy")
     )
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in keys)
     head = kinds + ", " if keys else ""
-    fitted = cut(sums.mapInPandas(_solved(keys, k, add_constant), head + "n_obs bigint, y_mean double, inverse array<double>, params array<double>"))
+    fitted = sums.mapInPandas(_solved(keys, k, add_constant), head + "n_obs bigint, y_mean double, inverse array<double>, params array<double>")
     fitted = fitted.withColumn("hac_lags", F.greatest(F.lit(0), F.least(F.lit(hac_lags) if hac_lags is not None else rule_of_thumb_lags(F.col("n_obs")), F.col("n_obs") - 1)).cast("int"))
 
     def with_fit(rows: DataFrame) -> DataFrame:

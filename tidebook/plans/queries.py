@@ -11,6 +11,7 @@ from ..functions import fixmsg, quotes, ticks
 from ..operators import book, epochs, fixsession, matching, ofi, orders, risk, stats
 from ..operators.ordered import rolling_mean
 from ..sources import adapters
+from ..storage import cut
 from .feed import BOOK, FEED, FLOW, buckets_sql, events, table, updates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,8 +197,6 @@ def ofi_buckets(spark, sf_dir):
 )
 def ofi_interval_sweep(spark, sf_dir):
     rows, out = flow(spark, sf_dir), None
-    from ..storage import cut
-
     rows = cut(rows)
     for interval in SWEEP:
         some = ofi.buckets(rows, interval).where("events > 0").withColumn("interval_ns", F.lit(interval).cast("bigint"))
@@ -213,8 +212,6 @@ def ofi_interval_sweep(spark, sf_dir):
     "SELECT symbol, start_ns, coalesce(v, 0.0) AS signed_volume FROM kept LEFT JOIN moved USING (symbol, end_ns)"
 )
 def signed_volume_proxy(spark, sf_dir):
-    from ..storage import cut
-
     rows = cut(flow(spark, sf_dir))
     return ofi.signed_volume(rows, ofi.buckets(rows, SIX_HOURS).where("events > 0"), SIX_HOURS).drop("venue")
 
@@ -260,8 +257,6 @@ GROUPS = (
 
 
 def fitted_groups(spark, sf_dir):
-    from ..storage import cut
-
     placed = stats.depth_groups(cut(bucketed(spark, sf_dir).where("events > 0")), [])
     fit = placed.groupBy("depth_group").agg(F.count(F.lit(1)).alias("n"), F.avg("avg_depth").alias("mean_depth"), F.regr_slope("delta_mid", "ofi").alias("slope"), F.regr_r2("delta_mid", "ofi").alias("r2"))
     return fit.where("n >= 30")
@@ -283,9 +278,7 @@ def elasticity(spark, sf_dir):
     "SELECT symbol, chunk, sum(ofi) AS ofi, sum(delta_mid) AS delta_mid FROM n WHERE (chunk + 1) * 5 < total GROUP BY ALL"
 )
 def rebucketed(spark, sf_dir):
-    from ..storage import cut
-
-    return ofi.every_n(cut(bucketed(spark, sf_dir)), 5).drop("venue")
+    return ofi.every_n(bucketed(spark, sf_dir), 5).drop("venue")
 
 
 @query(f"WITH {BOOK} SELECT symbol, idx, round(avg((bid_px + ask_px) / 2.0) OVER (PARTITION BY symbol ORDER BY idx ROWS 599 PRECEDING), 6) AS mean_mid FROM tob WHERE bid_px IS NOT NULL AND ask_px IS NOT NULL")
@@ -621,8 +614,8 @@ def fix_encode(spark, sf_dir):
 )
 def fix_decode(spark, sf_dir):
     d, raw = F.col("o_orderkey") % 7, F.col("raw")
-    cut = F.when(d == 1, F.replace(raw, F.lit("38="), F.lit("38=9"))).when(d == 2, F.left(raw, F.length(raw) - 1)).when(d == 3, F.replace(raw, F.lit("55=S"), F.lit("55S"))).when(d == 4, F.replace(raw, F.lit("54="), F.lit("x="))).otherwise(raw)
-    rows = messages(spark, sf_dir).select("o_orderkey", cut.alias("raw")).select("o_orderkey", fixmsg.decoded(raw).alias("m"))
+    damaged = F.when(d == 1, F.replace(raw, F.lit("38="), F.lit("38=9"))).when(d == 2, F.left(raw, F.length(raw) - 1)).when(d == 3, F.replace(raw, F.lit("55=S"), F.lit("55S"))).when(d == 4, F.replace(raw, F.lit("54="), F.lit("x="))).otherwise(raw)
+    rows = messages(spark, sf_dir).select("o_orderkey", damaged.alias("raw")).select("o_orderkey", fixmsg.decoded(raw).alias("m"))
     sound, fields = F.col("m.error").isNull(), F.col("m.fields")
     return rows.select("o_orderkey", "m.error", F.when(sound, fixmsg.field(fields, 11)).alias("cl_ord_id"), F.when(sound, fixmsg.field(fields, 38).cast("double")).alias("qty"))
 
@@ -702,7 +695,5 @@ def bybit_parse(spark, sf_dir):
 )
 def replay_counters(spark, sf_dir):
     """A replay of frames: what was ignored, parsed, applied, and where the books had to wait for a snapshot."""
-    from ..storage import cut
-
     parsed = cut(adapters.okx(frames(spark, sf_dir, FRAMES_OKX.replace("recv_ts_ns // 1000000", "recv_ts_ns div 1000000")), 1))
     return epochs.replay_stats(parsed, epochs.audit(adapters.exploded(parsed), width=1_000_000_000))
