@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, filter_audit, minhash, quality, secrets, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontamination, fill_in_middle, filter_audit, minhash, quality, secrets, simhash, token_counts, toxicity, url_filter, warc
 from .common import shared_path
 
 
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), [*HOST_RULES, *url_filter.PATTERN_RULES])
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -126,6 +130,24 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    [CAST('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h
+  FROM documents
+), ends AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM ends
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
 OP12_SQL = r"""
 WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM texts),
@@ -156,5 +178,5 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 FROM counted
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op8_secret_scan, op9_quality, op10_url_filter, op12_filter_audit)}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op12_filter_audit": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op8_secret_scan, op9_quality, op10_url_filter, op11_fill_in_middle, op12_filter_audit)}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_filter_audit": OP12_SQL}
