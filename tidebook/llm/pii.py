@@ -372,15 +372,15 @@ def follow() -> tuple[np.ndarray, np.ndarray]:
     return allowed, first
 
 
-def fit(labelled: list[tuple[str, list[Span]]], hidden: int = 24, rounds: int = 6, width: int = 112, seed: int = 5) -> Tagger | None:
+def fit(labelled: list[tuple[str, list[Span]]], width: int = 96, seed: int = 5) -> Tagger | None:
     """Trains a tagger on texts and their spans; None without texts."""
     if not labelled:
         return None
-    return train(*_rows(labelled, width, seed), *follow(), hidden=hidden, rounds=rounds, seed=seed)
+    return train(*_rows(labelled, width, seed), *follow(), seed=seed)
 
 
 #: Pieces of the corpus that training takes its words from, their code points, and how many labelled texts are made.
-CONTEXTS, CONTEXT, LABELLED = 400, 400, 8000
+CONTEXTS, CONTEXT, LABELLED = 400, 400, 16_000
 
 
 def fit_on(docs: DataFrame, contexts: int = CONTEXTS, labelled: int = LABELLED) -> Tagger | None:
@@ -450,5 +450,6 @@ def report(docs: DataFrame, contexts: int = CONTEXTS, labelled: int = LABELLED)
     rows = scan(docs, fit_on(docs, contexts, labelled))
     own = F.filter("spans", lambda s: ~s["added"])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: ~s["added"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter(own, lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(text(own).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("bigint").alias("n_added"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fill_in_middle, filter_audit, minhash, quality, secrets, simhash, token_counts, toxicity, url_filter, warc
+from . import bpe, decontamination, fill_in_middle, filter_audit, minhash, pii, quality, secrets, simhash, token_counts, toxicity, url_filter, warc
 from .common import shared_path
 
 
@@ -77,6 +77,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -178,5 +182,5 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 FROM counted
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op8_secret_scan, op9_quality, op10_url_filter, op11_fill_in_middle, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_token_counts, op4_minhash, op5_warc, op6_simhash, op7_toxicity, op8_secret_scan, op9_quality, op10_url_filter, op11_fill_in_middle, op12_filter_audit, op13_pii)}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op5_warc": OP5_SQL, "op10_url_filter": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_filter_audit": OP12_SQL}

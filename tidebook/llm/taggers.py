@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Ids of characters: 0 pads; printable ASCII in lower case; then white space, letters beyond ASCII, and all else.
+#: Ids of characters: 0 pads; printable ASCII in lower case, the digits from 2 on alike; then white space, letters beyond
+#: ASCII, and all else.
 _BLANK, _LETTER, _OTHER = 97, 98, 99
 VOCABULARY = 100
 
@@ -19,6 +20,7 @@ def _ids_of_codes() -> np.ndarray:
     out = np.full(0x251, _OTHER, np.int16)
     out[0x20:0x7F] = np.arange(1, 96)
     out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1]
+    out[ord("2") : ord("9") + 1] = out[ord("2")]
     out[[*range(0x09, 0x0E), 0x85, 0xA0]] = _BLANK
     out[0xC0:0x250] = _LETTER
     return out
@@ -35,7 +37,7 @@ def character_ids(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tagger:
-    """``inputs``: direction, character, gates; ``within``: direction, state, gates; ``out`` and ``bias``: states to tags;
+    """``inputs``: direction, character, gates; ``within``: gate (in, keep, out, new), direction, states; ``out`` and ``bias``: states to tags;
     ``moves``: from tag to tag; ``first``: tags that begin. ``allowed`` and ``allowed_first`` are 0 where no tag may follow.
     """
 
@@ -56,25 +58,28 @@ def fresh(allowed: np.ndarray, allowed_first: np.ndarray, hidden: int, rng: np.r
     tags = len(allowed)
     inputs = rng.normal(0, 0.3, (2, VOCABULARY, 4 * hidden))
     inputs[:, :, hidden : 2 * hidden] += 1.0  # states are remembered to begin with
-    within = rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden))
+    within = rng.normal(0, 1 / np.sqrt(hidden), (4, 2, hidden, hidden))
     made = (inputs, within, rng.normal(0, 0.2, (2 * hidden, tags)), np.zeros(tags), np.zeros((tags, tags)), np.zeros(tags), allowed, allowed_first)
     return Tagger(*(x.astype(np.float32) for x in made))
 
 
 def _states(model: Tagger, ids: np.ndarray, keep: bool = False):
     """The states of both directions (steps, texts, 2 * hidden), and what backpropagation needs."""
-    (n, steps), hidden = ids.shape, model.within.shape[1]
-    given = np.stack([model.inputs[0][ids.T], model.inputs[1][ids.T[::-1]]], 1)  # steps, direction, texts, gates
+    (n, steps), hidden = ids.shape, model.within.shape[-1]
+    given = np.empty((steps, 4, 2, n, hidden), model.inputs.dtype)
+    for side, order in ((0, ids.T), (1, ids.T[::-1])):
+        given[:, :, side] = model.inputs[side][order].reshape(steps, n, 4, hidden).transpose(0, 2, 1, 3)
     h = c = np.zeros((2, n, hidden), model.inputs.dtype)
     gates, cells, out = [], [c], np.empty((steps, 2, n, hidden), model.inputs.dtype)
     for t in range(steps):
-        z = given[t] + h @ model.within
-        s, g = 1 / (1 + np.exp(-z[..., : 3 * hidden])), np.tanh(z[..., 3 * hidden :])
-        c = s[..., hidden : 2 * hidden] * c + s[..., :hidden] * g
-        h = s[..., 2 * hidden :] * np.tanh(c)
-        out[t] = h
+        z = given[t]
+        z += h @ model.within
+        s, g = 1 / (1 + np.exp(-z[:3])), np.tanh(z[3])
+        c = s[1] * c + s[0] * g
+        tc = np.tanh(c)
+        h = out[t] = s[2] * tc
         if keep:
-            gates.append((s, g))
+            gates.append((*s, g, tc))
             cells.append(c)
     return np.concatenate([out[:, 0], out[::-1, 1]], -1), (out, gates, cells)
 
@@ -128,7 +133,7 @@ def best_tags(model: Tagger, scores: np.ndarray) -> np.ndarray:
 
 def loss_and_slopes(model: Tagger, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean negative log likelihood of the given tags, and its slope by each learned array."""
-    (n, steps), hidden = ids.shape, model.within.shape[1]
+    (n, steps), hidden = ids.shape, model.within.shape[-1]
     states, (out, gates, cells) = _states(model, ids, keep=True)
     scores = states @ model.out + model.bias
     ahead, back, weight, move, total = _scaled(model, scores)
@@ -149,34 +154,34 @@ def loss_and_slopes(model: Tagger, ids: np.ndarray, tags: np.ndarray) -> tuple[f
     d_first[rows, y[0]] -= 1
     d_states = d @ model.out.T
     d_out = np.stack([d_states[..., :hidden], d_states[::-1, :, hidden:]], 1)
-    d_given = np.empty((steps, 2, n, 4 * hidden), model.inputs.dtype)
+    d_given = np.empty((steps, 4, 2, n, hidden), model.inputs.dtype)
     dh = dc = np.zeros((2, n, hidden), model.inputs.dtype)
-    back_within, d_within = model.within.transpose(0, 2, 1), np.zeros_like(model.within)
+    turned = model.within.swapaxes(-1, -2)
     for t in range(steps - 1, -1, -1):
-        s, g = gates[t]
-        i, f, o = s[..., :hidden], s[..., hidden : 2 * hidden], s[..., 2 * hidden :]
+        i, f, o, g, tc = gates[t]
         dh = dh + d_out[t]
-        tc = np.tanh(cells[t + 1])
         dc = dc + dh * o * (1 - tc * tc)
         z = d_given[t]
-        z[..., :hidden] = dc * g * i * (1 - i)
-        z[..., hidden : 2 * hidden] = dc * cells[t] * f * (1 - f)
-        z[..., 2 * hidden : 3 * hidden] = dh * tc * o * (1 - o)
-        z[..., 3 * hidden :] = dc * i * (1 - g * g)
-        if t:
-            d_within += out[t - 1].transpose(0, 2, 1) @ z
-        dh, dc = z @ back_within, dc * f
-    d_inputs = np.zeros_like(model.inputs)
+        z[0] = dc * g * i * (1 - i)
+        z[1] = dc * cells[t] * f * (1 - f)
+        z[2] = dh * tc * o * (1 - o)
+        z[3] = dc * i * (1 - g * g)
+        dh, dc = (z @ turned).sum(0), dc * f
+    d_inputs, d_within = np.zeros_like(model.inputs), np.zeros_like(model.within)
     for side, order in ((0, ids.T), (1, ids.T[::-1])):
         one = np.zeros((steps * n, VOCABULARY), model.inputs.dtype)
         one[np.arange(steps * n), order.reshape(-1)] = 1
-        d_inputs[side] = one.T @ d_given[:, side].reshape(steps * n, -1)
+        before = out[:-1, side].reshape(-1, hidden).T
+        for gate in range(4):
+            moved = d_given[:, gate, side]
+            d_inputs[side][:, gate * hidden : (gate + 1) * hidden] = one.T @ moved.reshape(-1, hidden)
+            d_within[gate, side] = before @ moved[1:].reshape(-1, hidden)
     flat = states.reshape(steps * n, -1)
     slopes = {"inputs": d_inputs, "within": d_within, "out": flat.T @ d.reshape(steps * n, -1), "bias": d.sum((0, 1)), "moves": d_moves / n, "first": d_first.sum(0) / n}
     return float((total - held).mean()), slopes
 
 
-def train(ids: np.ndarray, tags: np.ndarray, allowed: np.ndarray, allowed_first: np.ndarray, hidden: int = 24, rounds: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
+def train(ids: np.ndarray, tags: np.ndarray, allowed: np.ndarray, allowed_first: np.ndarray, hidden: int = 32, rounds: int = 6, batch: int = 128, rate: float = 0.03, seed: int = 5) -> Tagger:
     """Of texts (rows of character ids) and their tags; the rate falls to nothing over the rounds."""
     rng = np.random.default_rng(seed)
     model = fresh(allowed, allowed_first, hidden, rng)
