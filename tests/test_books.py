@@ -190,3 +190,69 @@ def test_drained_flow_and_rates(spark):
     assert sum(r.ofi for r in drained) == pytest.approx(whole.e) and sum(r.events for r in drained) == whole.n and len(drained) > 1
     rates = ofi.rates(flow, 10_000).collect()
     assert sum(r.messages for r in rates) == flow.count() and all(r.per_sec == r.messages / 1e-5 for r in rates)
+
+
+# --- long epochs ------------------------------------------------------------------------------------------------------
+
+
+def hand_fold(rows, max_depth, depth_levels):
+    """The book of one object, from the first snapshot on: no sequence is checked."""
+    out, b = {}, None
+    for _, symbol, idx, snapshot, *_, bids, asks in rows:
+        if snapshot:
+            b = book.Book(max_depth)
+        if b is not None:
+            b.apply(snapshot, bids, asks)
+            out[idx] = (*b.bids.best(), *b.asks.best(), b.average_depth(depth_levels))
+    return out
+
+
+def long_feed(seed, n, snapshots=(), prices=12, quiet=0):
+    """One symbol; levels near and far from the touch, deletes, equal prices in an update, one-sided updates."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        levels = lambda low: [(low + rng.randrange(prices), rng.choice([0, 0, 1, 2, 5, float("nan")])) for _ in range(rng.randrange(4))]
+        rows.append(update(i, i == 0 or i in snapshots, i, i - 1, levels(100), levels(130)))
+    return rows
+
+
+@pytest.mark.parametrize(("max_depth", "piece"), [(None, 1), (None, 64), (1, 64), (3, 7), (50, 64), (3, 10_000)])
+def test_pieces_of_an_epoch_are_folded_as_one(spark, max_depth, piece):
+    rows = long_feed(piece, 300, snapshots={150, 151, 190})
+    audited = epochs.audit(spark.createDataFrame(rows, UPDATE).repartition(3), width=50, piece=piece)
+    got = {r.idx: (r.bid_px, r.bid_sz, r.ask_px, r.ask_sz, r.depth) for r in book.top_of_book(audited, max_depth, depth_levels=3).collect()}
+    assert got == hand_fold(rows, max_depth, 3)
+
+
+def test_a_gap_in_a_long_epoch_ends_all_later_pieces(spark):
+    rows = [update(i, i == 2, i, i - 1 if i != 23 else 5, [(i % 7, 1)]) for i in range(60)]
+    audited = epochs.audit(spark.createDataFrame(rows, UPDATE), width=9, piece=4)
+    assert {r.idx for r in audited.where("applied").collect()} == set(range(2, 23))
+    assert {r.idx: (r.piece, r.pieces, r.opens) for r in audited.where("idx in (2, 5, 6, 58)").collect()} == {2: (0, 15, False), 5: (0, 15, False), 6: (1, 15, True), 58: (14, 15, True)}
+    assert {r.idx: r.bid_px for r in book.top_of_book(audited).collect()} == {i: min(6, i) if i < 9 else 6 for i in range(2, 23)}
+
+
+def test_sequence_checks_do_not_depend_on_slices(spark):
+    for seed in range(3):
+        rows = random_feed(seed)
+        want = {(r.idx, r.epoch, r.last_seq, r.applied) for r in epochs.audit(spark.createDataFrame(rows, UPDATE)).collect()}
+        for width, piece in ((1, 1), (13, 5), (100, 1000)):
+            assert {(r.idx, r.epoch, r.last_seq, r.applied) for r in epochs.audit(spark.createDataFrame(rows, UPDATE), width=width, piece=piece).collect()} == want
+
+
+def test_a_symbol_without_snapshots_makes_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.createDataFrame(long_feed(5, 4000), UPDATE)
+    folded = book.top_of_book(epochs.audit(rows, width=500, piece=500))
+    parts = folded.select("idx", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) >= 3 and max(r.n for r in parts) < 4000
+
+
+def test_truncated_pieces_settle_though_every_guess_is_wrong(spark):
+    """A level that was forgotten in the first piece is in every guess, and never written again."""
+    rows = [update(0, True, 0, None, [(100, 1), (99, 1)]), update(1, False, 1, 0, [(101, 1)])] + [update(i, False, i, i - 1, [(101, 1 + i % 3)]) for i in range(2, 40)] + [update(40, False, 40, 39, [(101, 0), (100, 0)]), update(41, False, 41, 40, [(5, 1)])]
+    audited = epochs.audit(spark.createDataFrame(rows, UPDATE), piece=4)
+    got = {r.idx: r.bid_px for r in book.top_of_book(audited, max_depth=2).collect()}
+    assert got[39] == 101 and got[40] is None and got[41] == 5
+    assert book.top_of_book(audited).where("idx = 40").first().bid_px == 99

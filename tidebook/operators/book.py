@@ -1,8 +1,10 @@
 """Level-2 books from audited updates.
 
-A snapshot resets a book, so every epoch of a symbol is folded by itself and in parallel with the others. The
-fold is one step function that the batch and the streaming jobs share; it is needed where levels beyond a depth
-are forgotten for good. Without such truncation, the levels' lifetimes give the same by windows.
+A snapshot resets a book, so every epoch of a symbol is folded by itself and in parallel with the others. A long epoch
+is folded in pieces, each from the book that stands when it begins: the last size written to each price by the pieces
+before it, which is found by grouping and windows. The fold is one step function that the batch and the streaming jobs
+share; it is needed where levels beyond a depth are forgotten for good. There a piece's first book is a guess, and pieces
+whose guess was wrong are folded again. Without truncation, the levels' lifetimes give the same by windows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ticks import is_crossed
 from ..schemas import TOP
+from ..storage import cut
 from .epochs import KEYS
 from .rows import names_of
 
@@ -85,29 +88,137 @@ class Book:
         return (sum(s for _, s in self.bids.top(n)) + sum(s for _, s in self.asks.top(n))) / 2.0
 
 
+PIECE = [*KEYS, "epoch", "piece"]
+STANDING = "array<struct<price:bigint,size:double>>"
+#: The books that stand when pieces begin.
+ENTRY = f"venue string, symbol string, epoch bigint, piece bigint, entry_bids {STANDING}, entry_asks {STANDING}"
+
+
+def _written(applied: DataFrame) -> DataFrame:
+    """The levels that the pieces of long epochs write, of each piece and price the last, and the piece that next does."""
+    def of(side: str) -> Column:
+        return F.transform(side, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("n"), x["price"].alias("price"), x["size"].alias("size")))
+
+    sides = F.concat(of("bids"), of("asks"))
+    rows = applied.where("pieces > 1").select(*PIECE, "pieces", "idx", F.explode(sides).alias("l")).select(*PIECE, "pieces", "idx", "l.*")
+    last = rows.groupBy(*PIECE, "pieces", "side", "price").agg(F.max_by("size", F.struct("idx", "n")).alias("size"))
+    return last.withColumn("next", F.lead("piece").over(Window.partitionBy(*KEYS, "epoch", "side", "price").orderBy("piece")))
+
+
+def entry_books(applied: DataFrame, depth: int | None = None) -> DataFrame:
+    """For each piece of a long epoch but the first the book that stands when it begins (see ``ENTRY``), in order of price;
+    pieces that begin with an empty book are left out. With ``depth`` the best levels of it only.
+
+    A level stands from the piece after the one that wrote it up to the one that next writes it.
+    """
+    standing = _written(applied).where((F.col("size") > 0) & ~F.isnan("size"))
+    until = F.coalesce("next", F.col("pieces") - 1)
+    rows = standing.where(until > F.col("piece")).select(*KEYS, "epoch", F.explode(F.sequence(F.col("piece") + 1, until)).alias("piece"), "side", "price", "size")
+
+    def of(side: str) -> Column:
+        levels_of = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("price", "size"))))
+        best = levels_of if depth is None else F.slice(levels_of, *((F.greatest(F.size(levels_of) - depth, F.lit(0)) + 1, F.lit(depth)) if side == "bids" else (1, depth)))
+        return best.alias(f"entry_{side}")
+
+    return rows.groupBy(*PIECE).agg(of("bids"), of("asks"))
+
+
+def _prepared(applied: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows that the folds read: place in the piece, update, keys, and at the first row of a piece its book."""
+    named = entries.select(*(F.col(c).alias(f"_of_{c}") for c in PIECE), "entry_bids", "entry_asks")
+    met = applied.join(named, F.expr(" AND ".join(["opens", *(f"{c} = _of_{c}" for c in PIECE)])), "left")
+    # one audit's columns: the join and this window keep what its window has dealt out
+    rows = met.withColumn("_place", F.row_number().over(Window.partitionBy(*KEYS, "epoch", "_part").orderBy("idx")))
+    flat = [F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("bids", "asks", "entry_bids", "entry_asks") for x in ("price", "size")]
+    return rows.select("_place", "is_snapshot", *KEYS, "epoch", "idx", *flat, "piece", "recv_ts_ns", "exchange_ts_ns")
+
+
+def _steps(batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple]]]:
+    """For each batch a pass over its rows: (row, the book after it, whether the book is another one, sides that changed)."""
+    held: list[Book | None] = [None]
+    for batch in batches:
+        place, is_snapshot = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
+        # prices and sizes lie flat, with the place where each row's begin
+        bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (6, 7, 8, 9))
+        bid_at, ask_at = (batch.column(i).offsets.to_numpy().tolist() for i in (6, 8))
+
+        def rows() -> Iterator[tuple]:
+            for row, (n, new, b0, b1, a0, a1) in enumerate(zip(place, is_snapshot, bid_at, bid_at[1:], ask_at, ask_at[1:])):
+                if n == 1:
+                    held[0] = Book(max_depth)
+                    for side, at in ((held[0].bids, 10), (held[0].asks, 12)):
+                        prices = batch.column(at)[row].as_py() or []
+                        side.prices, side.sizes = list(prices), dict(zip(prices, batch.column(at + 1)[row].as_py() or []))
+                held[0].apply(new, zip(bid_px[b0:b1], bid_sz[b0:b1]) if b1 > b0 else (), zip(ask_px[a0:a1], ask_sz[a0:a1]) if a1 > a0 else ())
+                yield row, held[0], new or n == 1, b1 > b0, a1 > a0
+
+        yield batch, rows()
+
+
+def _left_behind(applied: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
+    """The books after the pieces of long epochs, as those with which the next ones begin (see ``ENTRY``)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, book = None, None
+
+        def made() -> pa.RecordBatch:
+            sides = ([{"price": p, "size": side.sizes[p]} for p in side.prices] for side in (book.bids, book.asks))
+            return pa.RecordBatch.from_pylist([dict(zip(names_of(ENTRY), (*key[:3], key[3] + 1, *sides)))], ENTRY_ARROW)
+
+        for batch, rows in _steps(batches, max_depth):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 14))))
+            for row, now, another, _, _ in rows:
+                if another and book is not None and keys[row] != key:
+                    yield made()
+                key, book = keys[row], now
+        if book is not None:
+            yield made()
+
+    return _prepared(applied, entries).mapInArrow(fold, ENTRY)
+
+
+_LEVELS = pa.list_(pa.struct([("price", pa.int64()), ("size", pa.float64())]))
+ENTRY_ARROW = pa.schema([("venue", pa.string()), ("symbol", pa.string()), ("epoch", pa.int64()), ("piece", pa.int64()), ("entry_bids", _LEVELS), ("entry_asks", _LEVELS)])
+
+
+def settled_books(applied: DataFrame, max_depth: int) -> DataFrame:
+    """As :func:`entry_books`, where levels beyond ``max_depth`` are forgotten for good.
+
+    What is forgotten depends on all that came before, so the best levels of the untruncated book are the first guess.
+    Every piece is folded from its guess; where the book that it leaves isn't the one that the next piece began with, the
+    next piece is folded again from that. A guess differs only by levels that were forgotten and never written again, so
+    few pieces are folded twice; at worst one piece of an epoch is settled a round. Without long epochs nothing is folded.
+    """
+    long = cut(applied.where("pieces > 1"))
+    entries = cut(entry_books(long, max_depth))
+    todo = long
+    while not todo.isEmpty():
+        left = _left_behind(todo, entries, max_depth).join(long.select(*PIECE).distinct(), PIECE, "left_semi")
+        # pieces without a guess begin with an empty book
+        met = left.join(entries.select(*PIECE, F.col("entry_bids").alias("b"), F.col("entry_asks").alias("a")), PIECE, "left")
+        none = F.array().cast(STANDING)
+        wrong = cut(met.where(~((F.coalesce("b", none) == F.col("entry_bids")) & (F.coalesce("a", none) == F.col("entry_asks")))).drop("a", "b"))
+        entries = cut(entries.join(wrong, PIECE, "left_anti").unionByName(wrong))
+        todo = long.join(wrong.select(*PIECE), PIECE, "left_semi")
+    return entries
+
+
 def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels: int | None = None) -> DataFrame:
     """A row for each applied update: venue, symbol, epoch, idx, the times, best prices and sizes, and depth.
 
-    depth is :meth:`Book.average_depth` of ``depth_levels``, null where that isn't given. The rows of an epoch
-    are streamed in order through the fold, which holds one book at a time. They come that way out of the window
-    that numbers them, which is the one that :func:`epochs.audit` has dealt them out for: no shuffle of its own.
+    depth is :meth:`Book.average_depth` of ``depth_levels``, null where that isn't given. The rows of a piece of an epoch
+    are streamed in order through the fold, which holds one book at a time. They come that way out of the window that
+    numbers them, which is the one that :func:`epochs.audit` has dealt them out for: no shuffle of its own.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, bid, ask = None, (None, 0.0), (None, 0.0)
-        for batch in batches:
-            place, is_snapshot = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
-            # prices and sizes lie flat, with the place where each row's begin
-            bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (7, 8, 9, 10))
-            bid_at, ask_at = (batch.column(i).offsets.to_numpy().tolist() for i in (7, 9))
+        bid, ask = (None, 0.0), (None, 0.0)
+        for batch, rows in _steps(batches, max_depth):
             bp, bs, ap, az, depths = [], [], [], [], []
-            for n, new, b0, b1, a0, a1 in zip(place, is_snapshot, bid_at, bid_at[1:], ask_at, ask_at[1:]):
-                if n == 1:
-                    book = Book(max_depth)
-                book.apply(new, zip(bid_px[b0:b1], bid_sz[b0:b1]) if b1 > b0 else (), zip(ask_px[a0:a1], ask_sz[a0:a1]) if a1 > a0 else ())
-                if b1 > b0 or new or n == 1:
+            for _, book, another, bids, asks in rows:
+                if bids or another:
                     bid = book.bids.best()
-                if a1 > a0 or new or n == 1:
+                if asks or another:
                     ask = book.asks.best()
                 bp.append(bid[0])
                 bs.append(bid[1])
@@ -117,14 +228,11 @@ def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels:
                     depths.append(book.average_depth(depth_levels))
             if bp:
                 made = [pa.array(c, kind) for c, kind in zip((bp, bs, ap, az), (pa.int64(), pa.float64()) * 2)]
-                held = [batch.column(i) for i in (2, 3, 4, 5, 6, 11)]
+                held = [batch.column(i) for i in (2, 3, 4, 5, 15, 16)]
                 yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64()) if depth_levels else pa.nulls(len(bp), pa.float64())], names=names_of(TOP))
 
-    w = Window.partitionBy(*KEYS, "epoch").orderBy("idx")
-    rows = audited.where("applied").withColumn("_place", F.row_number().over(w)).select(
-        "_place", "is_snapshot", *KEYS, "epoch", "idx", "recv_ts_ns", F.col("bids.price").alias("bp"), F.col("bids.size").alias("bs"), F.col("asks.price").alias("ap"), F.col("asks.size").alias("az"), "exchange_ts_ns"
-    )
-    return rows.mapInArrow(fold, TOP)
+    applied = audited.where("applied")
+    return _prepared(applied, entry_books(applied) if max_depth is None else settled_books(applied, max_depth)).mapInArrow(fold, TOP)
 
 
 def crossings(tops: DataFrame) -> DataFrame:

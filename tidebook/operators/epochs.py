@@ -2,7 +2,7 @@
 
 An update stream that has lost a message can't be trusted until the next snapshot. This is a property of the
 order of arrival alone, so it is computed by windows: epochs by a running count of snapshots, and all else within
-epochs, which are independent of each other.
+epochs, which are independent of each other. Long epochs are cut into pieces.
 """
 
 from __future__ import annotations
@@ -15,20 +15,35 @@ from .ordered import Running, running, sliced
 KEYS = ["venue", "symbol"]
 
 
-def audit(updates: DataFrame, strict: bool = True, width: int = 1_000_000) -> DataFrame:
-    """Adds epoch, last_seq (the last known sequence number of the epoch before the row) and applied.
+def audit(updates: DataFrame, strict: bool = True, width: int = 1_000_000, piece: int = 200_000) -> DataFrame:
+    """Adds epoch, last_seq (the last known sequence number of the epoch before the row) and applied; also where the row
+    lies in its epoch: piece (from 0), pieces (of the epoch) and opens (the first row of a piece but the first).
 
     A delta is not applied before the first snapshot, nor from the first one on whose ``prev_seq`` is known and
     differs from a known ``last_seq``, until the next snapshot; with ``strict`` left out only the former. Rows
-    of one venue and symbol are in order of ``idx``, ``width`` rows of it to a slice.
+    of one venue and symbol are in order of ``idx``, ``width`` rows of it to a slice. A piece spans ``piece`` of ``idx``
+    after its epoch's snapshot, so a symbol that is never sent one still makes many tasks; most epochs have one piece.
     """
-    rows = running(sliced(updates, "idx", width), KEYS, "idx", {"epoch": Running("sum", F.col("is_snapshot").cast("bigint"))}, keep=False)
-    w = Window.partitionBy(*KEYS, "epoch").orderBy("idx")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("last_seq", F.last("seq", ignorenulls=True).over(before))
-    broken = ~F.col("is_snapshot") & F.coalesce(F.col("prev_seq") != F.col("last_seq"), F.lit(False)) & F.lit(strict)
-    breaks = F.max(broken.cast("int")).over(upto)
-    return rows.withColumn("applied", (F.col("epoch") > 0) & (breaks == 0)).drop("_slice")
+    known, snapshot = F.col("is_snapshot") | F.col("seq").isNotNull(), F.col("is_snapshot")
+    values = {"epoch": Running("sum", snapshot.cast("bigint")), "_start": Running("max", F.when(snapshot, F.col("idx"))), "_seen": Running("last", F.when(known, F.struct("seq")))}
+    rows = running(sliced(updates, "idx", width), KEYS, "idx", values, keep=False).drop("_slice")
+    rows = rows.withColumn("last_seq", F.when(~snapshot, F.col("_seen.seq")))
+    broken = ~snapshot & F.coalesce(F.col("prev_seq") != F.col("last_seq"), F.lit(False)) & F.lit(strict)
+    place = F.floor((F.col("idx") - F.coalesce("_start", F.lit(0))) / F.lit(piece)).cast("bigint")
+    rows = rows.withColumns({"_broken": broken.cast("int"), "_part": place}).drop("_start", "_seen")
+    # of each piece of a long epoch a row that carries its place, and whether the epoch broke before it
+    epoch = Window.partitionBy(*KEYS, "epoch")
+    parts = rows.groupBy(*KEYS, "epoch", "_part").agg(F.max("_broken").alias("_broke")).withColumn("_pieces", F.count(F.lit(1)).over(epoch))
+    earlier = epoch.orderBy("_part")
+    parts = parts.withColumns({"_piece": F.row_number().over(earlier).cast("bigint") - 1, "_lost": F.max("_broke").over(earlier.rowsBetween(Window.unboundedPreceding, -1))})
+    marks = parts.where("_pieces > 1").select(*KEYS, "epoch", "_part", "_piece", "_pieces", F.col("_lost").alias("_broken"), F.lit(0).alias("_is_row"))
+    both = rows.withColumn("_is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(*KEYS, "epoch", "_part").orderBy("_is_row", "idx")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    mark = {"piece": F.coalesce(F.first("_piece").over(upto), F.lit(0)), "pieces": F.coalesce(F.first("_pieces").over(upto), F.lit(1)), "opens": (F.row_number().over(w) == 2) & (F.first("_piece").over(upto) > 0)}
+    rows = both.withColumns(mark | {"_breaks": F.max("_broken").over(upto)}).where("_is_row = 1")
+    rows = rows.withColumn("applied", (F.col("epoch") > 0) & (F.coalesce("_breaks", F.lit(0)) == 0)).withColumn("opens", F.coalesce("opens", F.lit(False)))
+    return rows.select(*updates.columns, "epoch", "last_seq", "applied", "piece", "pieces", "opens", "_part")
 
 
 def gap_stats(audited: DataFrame, frame_column: str = "idx") -> DataFrame:
