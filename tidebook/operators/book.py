@@ -123,14 +123,17 @@ def entry_books(applied: DataFrame, depth: int | None = None) -> DataFrame:
     return rows.groupBy(*PIECE).agg(of("bids"), of("asks"))
 
 
-def _prepared(applied: DataFrame, entries: DataFrame) -> DataFrame:
-    """The rows that the folds read: place in the piece, update, keys, and at the first row of a piece its book."""
-    named = entries.select(*(F.col(c).alias(f"_of_{c}") for c in PIECE), "entry_bids", "entry_asks")
-    met = applied.join(named, F.expr(" AND ".join(["opens", *(f"{c} = _of_{c}" for c in PIECE)])), "left")
+def _prepared(applied: DataFrame, entries: DataFrame | None) -> DataFrame:
+    """The rows that the folds read: place in the piece, update, keys and times. The first update of a piece also sets the
+    levels of the book that it begins with, before its own."""
+    if entries is not None:
+        named = entries.select(*(F.col(c).alias(f"_of_{c}") for c in PIECE), "entry_bids", "entry_asks")
+        applied = applied.join(named, F.expr(" AND ".join(["opens", *(f"{c} = _of_{c}" for c in PIECE)])), "left")
+        applied = applied.withColumns({c: F.when(F.col(f"entry_{c}").isNull(), F.col(c)).otherwise(F.concat(f"entry_{c}", c)) for c in ("bids", "asks")})
     # one audit's columns: the join and this window keep what its window has dealt out
-    rows = met.withColumn("_place", F.row_number().over(Window.partitionBy(*KEYS, "epoch", "_part").orderBy("idx")))
-    flat = [F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("bids", "asks", "entry_bids", "entry_asks") for x in ("price", "size")]
-    return rows.select("_place", "is_snapshot", *KEYS, "epoch", "idx", *flat, "piece", "recv_ts_ns", "exchange_ts_ns")
+    rows = applied.withColumn("_place", F.row_number().over(Window.partitionBy(*KEYS, "epoch", "_part").orderBy("idx")))
+    flat = [F.col(f"{c}.{x}").alias(f"{c}_{x}") for c in ("bids", "asks") for x in ("price", "size")]
+    return rows.select("_place", "is_snapshot", *KEYS, "epoch", "idx", "recv_ts_ns", "exchange_ts_ns", "piece", *flat)
 
 
 def _steps(batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple]]]:
@@ -139,16 +142,13 @@ def _steps(batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator
     for batch in batches:
         place, is_snapshot = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in (0, 1))
         # prices and sizes lie flat, with the place where each row's begin
-        bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (6, 7, 8, 9))
-        bid_at, ask_at = (batch.column(i).offsets.to_numpy().tolist() for i in (6, 8))
+        bid_px, bid_sz, ask_px, ask_sz = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (9, 10, 11, 12))
+        bid_at, ask_at = (batch.column(i).offsets.to_numpy().tolist() for i in (9, 11))
 
         def rows() -> Iterator[tuple]:
             for row, (n, new, b0, b1, a0, a1) in enumerate(zip(place, is_snapshot, bid_at, bid_at[1:], ask_at, ask_at[1:])):
                 if n == 1:
                     held[0] = Book(max_depth)
-                    for side, at in ((held[0].bids, 10), (held[0].asks, 12)):
-                        prices = batch.column(at)[row].as_py() or []
-                        side.prices, side.sizes = list(prices), dict(zip(prices, batch.column(at + 1)[row].as_py() or []))
                 held[0].apply(new, zip(bid_px[b0:b1], bid_sz[b0:b1]) if b1 > b0 else (), zip(ask_px[a0:a1], ask_sz[a0:a1]) if a1 > a0 else ())
                 yield row, held[0], new or n == 1, b1 > b0, a1 > a0
 
@@ -166,7 +166,7 @@ def _left_behind(applied: DataFrame, entries: DataFrame, max_depth: int) -> Data
             return pa.RecordBatch.from_pylist([dict(zip(names_of(ENTRY), (*key[:3], key[3] + 1, *sides)))], ENTRY_ARROW)
 
         for batch, rows in _steps(batches, max_depth):
-            keys = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 14))))
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 8))))
             for row, now, another, _, _ in rows:
                 if another and book is not None and keys[row] != key:
                     yield made()
@@ -187,7 +187,7 @@ def settled_books(applied: DataFrame, max_depth: int) -> DataFrame:
     What is forgotten depends on all that came before, so the best levels of the untruncated book are the first guess.
     Every piece is folded from its guess; where the book that it leaves isn't the one that the next piece began with, the
     next piece is folded again from that. A guess differs only by levels that were forgotten and never written again, so
-    few pieces are folded twice; at worst one piece of an epoch is settled a round. Without long epochs nothing is folded.
+    few pieces are folded twice; at worst one piece of an epoch is settled a round.
     """
     long = cut(applied.where("pieces > 1"))
     entries = cut(entry_books(long, max_depth))
@@ -228,11 +228,13 @@ def top_of_book(audited: DataFrame, max_depth: int | None = None, depth_levels:
                     depths.append(book.average_depth(depth_levels))
             if bp:
                 made = [pa.array(c, kind) for c, kind in zip((bp, bs, ap, az), (pa.int64(), pa.float64()) * 2)]
-                held = [batch.column(i) for i in (2, 3, 4, 5, 15, 16)]
+                held = [batch.column(i) for i in (2, 3, 4, 5, 6, 7)]
                 yield pa.RecordBatch.from_arrays([*held, *made, pa.array(depths, pa.float64()) if depth_levels else pa.nulls(len(bp), pa.float64())], names=names_of(TOP))
 
-    applied = audited.where("applied")
-    return _prepared(applied, entry_books(applied) if max_depth is None else settled_books(applied, max_depth)).mapInArrow(fold, TOP)
+    applied, entries = audited.where("applied"), None
+    if not applied.where("pieces > 1").isEmpty():  # nothing is read where the audit saw no long epoch
+        entries = entry_books(applied) if max_depth is None else settled_books(applied, max_depth)
+    return _prepared(applied, entries).mapInArrow(fold, TOP)
 
 
 def crossings(tops: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .ordered import Running, running, sliced
 
 KEYS = ["venue", "symbol"]
@@ -31,19 +32,34 @@ def audit(updates: DataFrame, strict: bool = True, width: int = 1_000_000, piece
     broken = ~snapshot & F.coalesce(F.col("prev_seq") != F.col("last_seq"), F.lit(False)) & F.lit(strict)
     place = F.floor((F.col("idx") - F.coalesce("_start", F.lit(0))) / F.lit(piece)).cast("bigint")
     rows = rows.withColumns({"_broken": broken.cast("int"), "_part": place}).drop("_start", "_seen")
-    # of each piece of a long epoch a row that carries its place, and whether the epoch broke before it
+    rows, part = rows.withColumn("_is_row", F.lit(1)), Window.partitionBy(*KEYS, "epoch", "_part").orderBy("_is_row", "idx")
+    if may_be_long(updates, piece):
+        rows = cut(rows)
+        rows, first = rows.unionByName(_places(rows), allowMissingColumns=True), F.first("_piece").over(part)
+        where = {"piece": F.coalesce(first, F.lit(0)), "pieces": F.coalesce(F.first("_pieces").over(part), F.lit(1)), "opens": F.coalesce((F.row_number().over(part) == 2) & (first > 0), F.lit(False))}
+    else:
+        rows, part = rows.withColumn("_part", F.lit(0).cast("bigint")), Window.partitionBy(*KEYS, "epoch").orderBy("idx")
+        where = {"piece": F.lit(0).cast("bigint"), "pieces": F.lit(1).cast("bigint"), "opens": F.lit(False)}
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_breaks": F.max("_broken").over(upto)} | where).where("_is_row = 1")
+    rows = rows.withColumn("applied", (F.col("epoch") > 0) & (F.coalesce("_breaks", F.lit(0)) == 0))
+    return rows.select(*updates.columns, "epoch", "last_seq", "applied", "piece", "pieces", "opens", "_part")
+
+
+def may_be_long(updates: DataFrame, piece: int) -> bool:
+    """Whether an epoch may span ``piece`` of ``idx``. It would span a whole slice of half that size without a snapshot,
+    so one grouping of the slices, which reads three columns, tells as the query is built."""
+    slices = sliced(updates, "idx", max(1, piece // 2)).groupBy(*KEYS, "_slice").agg(F.max("is_snapshot").alias("_any"))
+    return not slices.where(~F.coalesce("_any", F.lit(False))).isEmpty()
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Of each piece of a long epoch a row that carries its place, and whether the epoch broke before it."""
     epoch = Window.partitionBy(*KEYS, "epoch")
     parts = rows.groupBy(*KEYS, "epoch", "_part").agg(F.max("_broken").alias("_broke")).withColumn("_pieces", F.count(F.lit(1)).over(epoch))
     earlier = epoch.orderBy("_part")
     parts = parts.withColumns({"_piece": F.row_number().over(earlier).cast("bigint") - 1, "_lost": F.max("_broke").over(earlier.rowsBetween(Window.unboundedPreceding, -1))})
-    marks = parts.where("_pieces > 1").select(*KEYS, "epoch", "_part", "_piece", "_pieces", F.col("_lost").alias("_broken"), F.lit(0).alias("_is_row"))
-    both = rows.withColumn("_is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS, "epoch", "_part").orderBy("_is_row", "idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    mark = {"piece": F.coalesce(F.first("_piece").over(upto), F.lit(0)), "pieces": F.coalesce(F.first("_pieces").over(upto), F.lit(1)), "opens": (F.row_number().over(w) == 2) & (F.first("_piece").over(upto) > 0)}
-    rows = both.withColumns(mark | {"_breaks": F.max("_broken").over(upto)}).where("_is_row = 1")
-    rows = rows.withColumn("applied", (F.col("epoch") > 0) & (F.coalesce("_breaks", F.lit(0)) == 0)).withColumn("opens", F.coalesce("opens", F.lit(False)))
-    return rows.select(*updates.columns, "epoch", "last_seq", "applied", "piece", "pieces", "opens", "_part")
+    return parts.where("_pieces > 1").select(*KEYS, "epoch", "_part", "_piece", "_pieces", F.col("_lost").alias("_broken"), F.lit(0).alias("_is_row"))
 
 
 def gap_stats(audited: DataFrame, frame_column: str = "idx") -> DataFrame:
