@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidebook.functions import fixmsg, ticks
-from tidebook.operators import fixsession, matching, orders, risk, stats
+from tidebook.operators import depth, fixsession, lifetimes, matching, orders, risk, stats
 from tidebook.plans import queries
 from tidebook.schemas import COMMAND, EXECUTION, ORDER
 
@@ -139,15 +139,146 @@ def test_walks_of_any_depth_equal_a_plain_walk(spark):
             left -= size
     frames = spark.createDataFrame(takers, "taker_id long, symbol string, side string, qty double, limit_px long"), spark.createDataFrame(rest, "symbol string, side string, price long, seq long, remaining double")
     for step in (1, 7, 256):
-        assert sorted(tuple(r) for r in matching.walk(*frames, ["symbol"], step).collect()) == sorted(want)
+        assert sorted(tuple(r) for r in depth.walk(*frames, ["symbol"], step).collect()) == sorted(want)
 
 
 def test_static_walk_equals_the_venue(spark):
     venue_trades = matched(spark, [("submit", "A", "BUY", 33, 102, "LIMIT", "IOC")])[1]
     rest = spark.createDataFrame([("S", side, p, i, float(q)) for i, (_, _, side, q, p) in enumerate(START)], "symbol string, side string, price long, seq long, remaining double")
     taker = spark.createDataFrame([(1, "S", "BUY", 33.0, 102)], "taker_id long, symbol string, side string, qty double, limit_px long")
-    assert sorted((r.price, r.fill) for r in matching.walk(taker, rest, ["symbol"]).collect()) == venue_trades
-    assert matching.can_fill(taker, rest, ["symbol"]).first().fok_ok
+    assert sorted((r.price, r.fill) for r in depth.walk(taker, rest, ["symbol"]).collect()) == venue_trades
+    assert depth.can_fill(taker, rest, ["symbol"]).first().fok_ok
+
+
+def test_sums_of_walks_are_those_of_their_fills(spark):
+    """Also with equal takers, empty sides, orders without size, and limits beyond and before all levels."""
+    rng = np.random.default_rng(4)
+    rest = [(s, side, int(rng.integers(90, 100) + (11 if side == "SELL" else 0)), i, float(rng.integers(0, 30))) for i, (s, side) in enumerate(zip(rng.choice(["S", "T"], 200), rng.choice(["BUY", "SELL"], 200))) if (s, side) != ("T", "BUY")]
+    takers = [(i, str(rng.choice(["S", "T", "U"])), str(rng.choice(["BUY", "SELL"])), float(rng.choice([0, 1, 50, 50, 700, 9000, *rng.integers(0, 900, 3)])), None if rng.random() < 0.4 else int(rng.integers(85, 116))) for i in range(150)]
+    frames = spark.createDataFrame(takers, "taker_id long, symbol string, side string, qty double, limit_px long"), spark.createDataFrame(rest, "symbol string, side string, price long, seq long, remaining double")
+    fills = depth.walk(*frames, ["symbol"]).groupBy("taker_id").agg(F.count(F.lit(1)), F.sum("fill"), F.sum(F.col("fill") * F.col("price")))
+    want = {r[0]: tuple(r)[1:] for r in fills.collect()}
+    for n in (2, 10_000):
+        assert {r.taker_id: (r.n_fills, r.traded, r.notional) for r in depth.traded(*frames, ["symbol"], n).collect()} == want
+    assert {r.taker_id: (r.available, r.fok_ok) for r in depth.can_fill(*frames, ["symbol"]).collect()} == {t: (want.get(t, (0, 0.0))[1], want.get(t, (0, 0.0))[1] >= q) for t, _, _, q, _ in takers}
+
+
+def test_lifetimes_are_whole_and_short(spark):
+    rng = np.random.default_rng(2)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 5000, 200), rng.integers(-2, 3000, 200))] + [(0, 1), (0, 4096), (1, 4097), (2**50, 2**50 + 10**6)]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", lifetimes.blocks(F.col("a"), F.col("b"), lifetimes.levels_for(F.lit(2**51))).alias("cut")).collect()
+    for r in rows:
+        held = sorted((x.block << lifetimes.BITS * x.level, (x.block + 1) << lifetimes.BITS * x.level) for x in r.cut)
+        assert len(held) <= 14 * (max(1, r.b - r.a).bit_length() // lifetimes.BITS + 1)
+        assert all(a[1] == b[0] for a, b in zip(held, held[1:])) and (held[0][0], held[-1][1]) == (r.a, r.b) if r.b > r.a else not held
+
+
+def test_what_works_at_arrival_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    works = [(str(rng.choice(["S", "T"])), str(rng.choice(["BUY", "SELL"])), None if rng.random() < 0.1 else int(rng.integers(90, 110)), int(a := rng.integers(0, 400)), None if rng.random() < 0.2 else int(a + rng.integers(-1, 120))) for _ in range(60)]
+    asks = [(str(rng.choice(["S", "T", "U"])), int(rng.integers(0, 500)), str(rng.choice(["BUY", "SELL"])), None if rng.random() < 0.1 else int(rng.integers(85, 115)), i) for i in range(200)]
+    working = spark.createDataFrame(works, "symbol string, side string, price long, from_idx long, until_idx long")
+    asked = spark.createDataFrame(asks, "symbol string, idx long, side string, price long, n long")
+    lives = lambda s, side, i: [p for w, own, p, a, b in works if w == s and own == side and p is not None and a <= i and (b is None or i < b)]
+    want = [n for s, i, side, p, n in asks if p is not None and any(p >= q if side == "BUY" else p <= q for q in lives(s, "SELL" if side == "BUY" else "BUY", i))]
+    assert sorted(r.n for r in risk.self_trades_as_of(asked, working).collect()) == want
+    quotes = {r.n: (r.bid, r.ask) for r in lifetimes.quotes_as_of(asked, working).collect()}
+    assert quotes == {n: (max(lives(s, "BUY", i), default=None), min(lives(s, "SELL", i), default=None)) for s, i, _, _, n in asks}
+
+
+def plainly_matched(commands):
+    """The rules of price and time as they are written: all orders in one list, sorted anew for each command."""
+    rest, out, counts, done = [], [], {"V": 0, "E": 0}, 1e-12
+
+    def number(kind):
+        counts[kind] += 1
+        return f"{kind}{counts[kind]:08d}"
+
+    for idx, op, name, side, qty, price, kind, tif in commands:
+        made, trades = [], []
+
+        def report(who, exec_type, status, made=made, **more):
+            if who is not None:
+                made.append((who, exec_type, status, number("E"), *(more.get(k) for k in ("order_id", "last_qty", "last_px", "cum_qty"))))
+
+        def trade(who, order_id, left, made=made, trades=trades, side=side, price=price, report=report):
+            for o in sorted((o for o in rest if o["side"] != side), key=lambda o: (o["price"] if side == "BUY" else -o["price"], o["n"])):
+                if left <= done or (price is not None and (o["price"] > price if side == "BUY" else o["price"] < price)):
+                    break
+                size = min(left, o["left"])
+                o["left"], left = o["left"] - size, left - size
+                trades.append((o["price"], size, side))
+                report(o["name"], "TRADE", "FILLED" if o["left"] <= done else "PARTIALLY_FILLED", order_id=o["id"], last_qty=size, last_px=o["price"])
+                report(who, "TRADE", "FILLED" if left <= done else "PARTIALLY_FILLED", order_id=order_id, last_qty=size, last_px=o["price"])
+            return left
+
+        if op == "add":
+            rest.append({"name": None, "id": None, "side": side, "price": price, "qty": qty, "left": qty, "n": idx})
+        elif op == "market":
+            price_of_flow = price
+            assert price_of_flow is None
+            trade(None, None, qty)
+        elif op == "cancel_ahead":
+            left = qty
+            for o in sorted((o for o in rest if (o["side"], o["price"], o["name"]) == (side, price, None)), key=lambda o: o["n"]):
+                size = min(left, o["left"])
+                o["left"], left = o["left"] - size, left - size
+        elif op == "cancel":
+            found = [o for o in rest if o["name"] == name]
+            if found:
+                report(name, "CANCELED", "CANCELED", order_id=found[0]["id"], cum_qty=found[0]["qty"] - found[0]["left"])
+                found[0]["left"] = 0.0
+            else:
+                report(name, "REJECTED", "REJECTED")
+        else:
+            depth_within = sum(o["left"] for o in rest if o["side"] != side and (price is None or (o["price"] <= price if side == "BUY" else o["price"] >= price)))
+            if any(o["name"] == name for o in rest) or (kind == "LIMIT" and price is None) or (tif == "FOK" and depth_within < qty - done):
+                report(name, "REJECTED", "REJECTED")
+            else:
+                order_id = number("V")
+                report(name, "NEW", "NEW", order_id=order_id)
+                left = trade(name, order_id, qty)
+                if left > done and (kind == "MARKET" or tif in ("IOC", "FOK")):
+                    report(name, "CANCELED", "CANCELED", order_id=order_id, cum_qty=qty - left)
+                elif left > done:
+                    rest.append({"name": name, "id": order_id, "side": side, "price": price, "qty": qty, "left": left, "n": idx})
+        rest[:] = [o for o in rest if o["left"] > done]
+        out += [(idx, "report", n, *m) for n, m in enumerate(made)] + [(idx, "trade", n, *t) for n, t in enumerate(trades)]
+    return out
+
+
+def as_plain(rows):
+    clean = lambda v: None if isinstance(v, float) and v != v else v
+    return [
+        (r.idx, r.kind, r.n, *map(clean, (r.cl_ord_id, r.exec_type, r.ord_status, r.exec_id, r.order_id, r.last_qty, r.last_px, r.cum_qty) if r.kind == "report" else (r.last_px, r.last_qty, r.aggressor)))
+        for r in sorted(rows, key=lambda r: (r.idx, r.kind, r.n))
+    ]
+
+
+def test_matching_equals_a_plain_list_of_orders(spark):
+    rng, commands = np.random.default_rng(12), []
+    for i in range(900):
+        op = str(rng.choice(["add", "add", "submit", "submit", "submit", "market", "cancel", "cancel_ahead"]))
+        price = None if op == "market" or (op == "submit" and rng.random() < 0.1) else int(rng.integers(95, 106))
+        commands.append((i, op, f"c{int(rng.integers(0, i + 1)) if op == 'cancel' or rng.random() < 0.05 else i}", str(rng.choice(["BUY", "SELL"])), float(rng.choice([0.5, 1, 2, 7])), price, str(rng.choice(["LIMIT", "LIMIT", "MARKET"])), str(rng.choice(["DAY", "DAY", "IOC", "FOK"]))))
+    frame = spark.createDataFrame([("S", *c) for c in commands], COMMAND)
+    assert as_plain(matching.match(frame).collect()) == plainly_matched(commands)
+
+
+def test_the_matching_query_equals_a_plain_list_of_orders(spark):
+    seen = {}
+    original = matching.match
+    try:
+        matching.match = lambda commands: seen.setdefault("rows", commands) and original(commands)
+        got = queries.QUERIES["matching_fold"](spark, SF).collect()
+    finally:
+        matching.match = original
+    commands = {}
+    for r in sorted(seen["rows"].collect(), key=lambda r: r.idx):
+        commands.setdefault(r.symbol, []).append((r.idx, r.op, r.cl_ord_id, r.side, r.qty, r.price, r.ord_type, r.tif))
+    assert set(commands) == {r.symbol for r in got}
+    for symbol, rows in commands.items():
+        assert as_plain(r for r in got if r.symbol == symbol) == plainly_matched(rows)
 
 
 # --- messages ---------------------------------------------------------------------------------------------------------

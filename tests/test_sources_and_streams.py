@@ -232,3 +232,23 @@ def test_risk_throttle_counts_accepted_orders(spark):
     rows = [("S", i, "order", f"o{i}", "BUY", 1.0, 1, None, False, t) for i, t in enumerate([0.0, 0.1, 0.2, 0.9, 1.15])]
     got = risk.gated(spark.createDataFrame(rows, RISK), risk.Limits(max_messages_per_sec=2)).orderBy("idx").collect()
     assert [r.check for r in got] == [None, None, "throttle", "throttle", None]
+
+
+def test_frames_of_any_number_of_updates_keep_their_order(spark):
+    """Thousands of updates in a frame, frames without any, and frames that lie in many slices."""
+    sizes = [0, 5000, 1, None, 1030, 1030, 0, 3]
+    item = '{"bids":[["1","1"]],"asks":[],"ts":"1","seqId":"%d"}'
+    rows = [(100 * i, i, '{"arg":{"channel":"%s","instId":"S"},"data":[%s]}' % ("other" if n is None else "books", ",".join(item % (i * 10_000 + k) for k in range(n or 0)))) for i, n in enumerate(sizes)]
+    frames = spark.createDataFrame(rows, "msg_idx long, recv_ns long, raw string").repartition(3)
+    for width in (1, 150, 10**6):
+        got = [(r.idx, r.msg_idx, r.seq) for r in adapters.exploded(adapters.okx(frames), width=width).orderBy("idx").collect()]
+        assert got == [(n, m, s) for n, (m, s) in enumerate((100 * i, i * 10_000 + k) for i, size in enumerate(sizes) for k in range(size or 0))]
+    places = [(r.msg_idx, r.place) for r in adapters.updates_of(adapters.okx(frames)).orderBy("msg_idx", "place").collect()]
+    assert places == [(100 * i, k) for i, size in enumerate(sizes) for k in range(size or 0)]
+
+
+def test_frames_are_parsed_once_and_by_all_cores(spark):
+    frames = spark.range(1000).coalesce(1).select(F.col("id").alias("msg_idx"), F.col("id").alias("recv_ns"), F.concat(F.lit('{"arg":{"channel":"books"},"data":[],"id":'), "id", F.lit("}")).alias("raw"))
+    parsed = adapters.okx(frames)
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -111,3 +111,17 @@ def running(frame: DataFrame, keys: list[str], order: str, values: dict[str, Run
         else:
             out[name] = F.coalesce(F.lag(value).over(w), carry)["v"]
     return both.withColumns(out).where("_is_row = 1").select(*[c for c in frame.columns if c not in values], *values)
+
+
+def as_of(asked: DataFrame, known: DataFrame, keys: list[str], at: str, values: list[str], width: Column, name: str = "_known", strict: bool = False) -> DataFrame:
+    """``asked`` with a struct of ``values`` from the last row of ``known`` whose ``at`` isn't above its own (or, if
+    ``strict``, is below it) among equal keys; null where there is none, or where the row has no ``at``.
+
+    Both are one order, ``width`` of a numeric ``at`` to a slice. Places that are asked for repeatedly are looked up once,
+    so a place or key that many rows ask for is no task of its own; in ``known`` a place occurs once.
+    """
+    points = asked.where(F.col(at).isNotNull()).select(*keys, at, F.floor(F.col(at) / width).cast("bigint").alias("_slice")).distinct()
+    steps = known.select(*keys, at, F.floor(F.col(at) / width).cast("bigint").alias("_slice"), F.struct(*values).alias("_value"), F.lit(1).alias("_turn"))
+    both = steps.unionByName(points.withColumn("_turn", F.lit(0 if strict else 2)), allowMissingColumns=True).withColumn("_order", F.struct(at, "_turn"))
+    found = running(both, keys, "_order", {name: Running("last", F.col("_value"))}, keep=False).where(F.col("_turn") != 1)
+    return asked.join(found.select(*keys, at, name), [*keys, at], "left")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lifetimes import least_as_of
 from .ordered import Running, running, sliced
 from .rows import framed
 
@@ -79,6 +80,19 @@ def self_trades(candidates: DataFrame, working: DataFrame) -> DataFrame:
     return candidates.join(best, "symbol").where(crosses).drop("_ask", "_bid")
 
 
+def self_trades_as_of(candidates: DataFrame, working: DataFrame) -> DataFrame:
+    """The candidates (symbol, idx, side, price) that would hit an own order of the other side that works at their arrival.
+
+    ``working``: symbol, side, price, from_idx and until_idx of all orders that ever worked; see :mod:`.lifetimes`.
+    """
+    # the best price of the other side is the least of these numbers, which a candidate must reach
+    rank = lambda sells: F.when(sells, F.col("price")).otherwise(-F.col("price"))
+    resting = working.withColumn("_rank", rank(F.col("side") == "SELL"))
+    asked = candidates.withColumn("_side", F.col("side")).withColumn("side", F.when(F.col("_side") == "BUY", "SELL").otherwise("BUY"))
+    met = least_as_of(asked, resting, ["symbol", "side"], "_rank", "_best").withColumn("side", F.col("_side"))
+    return met.where(F.col("_best") <= rank(F.col("side") == "BUY")).select(*candidates.columns)
+
+
 class Throttle:
     """Accepts at most ``limit`` messages within a second; only accepted ones count."""
 

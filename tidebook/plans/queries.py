@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixmsg, quotes, ticks
-from ..operators import book, epochs, fixsession, matching, ofi, orders, risk, stats
+from ..operators import book, depth, epochs, fixsession, lifetimes, matching, ofi, orders, risk, stats
 from ..operators.ordered import rolling_mean
 from ..sources import adapters
 from ..storage import cut
@@ -461,6 +461,42 @@ def self_trade(spark, sf_dir):
     return hit.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(38,0)").alias("price_sum"))
 
 
+LIVES = "lives AS (SELECT 'S' || (o_orderkey % 50) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderkey * 1000 AS from_idx, CASE WHEN o_orderstatus <> 'O' THEN (o_orderkey + o_custkey % 1000 + 1) * 1000 END AS until_idx FROM orders)"
+
+
+def lives(spark, sf_dir) -> DataFrame:
+    """Every order with the time that it works; open ones never end."""
+    key, ends = F.col("o_orderkey"), (F.col("o_orderkey") + F.col("o_custkey") % 1000 + 1) * 1000
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("S"), (key % 50).cast("string")).alias("symbol"), F.when(key % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.floor("o_totalprice").cast("bigint").alias("price"),
+        (key * 1000).cast("bigint").alias("from_idx"), F.when(F.col("o_orderstatus") != "O", ends.cast("bigint")).alias("until_idx"),
+    )
+
+
+@query(
+    f"WITH {LIVES}, c AS (SELECT 'S' || (l_partkey % 50) AS symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, 10 * CAST(floor(l_extendedprice * 100 / l_quantity + 0.5) AS BIGINT) AS price, l_orderkey * 1000 + l_linenumber AS idx FROM lineitem), "
+    "hit AS (SELECT * FROM c WHERE EXISTS (SELECT 1 FROM lives o WHERE o.symbol = c.symbol AND o.side <> c.side AND o.from_idx <= c.idx AND (o.until_idx IS NULL OR c.idx < o.until_idx) AND CASE c.side WHEN 'BUY' THEN c.price >= o.price ELSE c.price <= o.price END)) "
+    "SELECT symbol, side, count(*) AS n, sum(price) AS price_sum FROM hit GROUP BY ALL"
+)
+def self_trade_as_of(spark, sf_dir):
+    """Orders that would trade with an own order that works as they come."""
+    asked = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("bigint").alias("idx"), "*")
+    price = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint") * 10
+    rows = asked.select(F.concat(F.lit("S"), (F.col("l_partkey") % 50).cast("string")).alias("symbol"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), price.alias("price"), "idx")
+    hit = risk.self_trades_as_of(rows, lives(spark, sf_dir))
+    return hit.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(38,0)").alias("price_sum"))
+
+
+@query(
+    f"WITH {LIVES}, c AS (SELECT DISTINCT 'S' || (l_partkey % 50) AS symbol, l_orderkey * 1000 AS idx FROM lineitem) SELECT c.symbol, c.idx, max(o.price) FILTER (o.side = 'BUY') AS bid, min(o.price) FILTER (o.side = 'SELL') AS ask, "
+    "(max(o.price) FILTER (o.side = 'BUY') + min(o.price) FILTER (o.side = 'SELL')) / 2.0 AS mid FROM c LEFT JOIN lives o ON o.symbol = c.symbol AND o.from_idx <= c.idx AND (o.until_idx IS NULL OR c.idx < o.until_idx) GROUP BY ALL"
+)
+def quotes_as_of(spark, sf_dir):
+    """Best prices and mid of the orders that work at the moments of lineitem's orders."""
+    asked = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), (F.col("l_partkey") % 50).cast("string")).alias("symbol"), (F.col("l_orderkey") * 1000).cast("bigint").alias("idx")).distinct()
+    return lifetimes.quotes_as_of(asked, lives(spark, sf_dir)).select("symbol", "idx", "bid", "ask", "mid")
+
+
 @query(
     "WITH RECURSIVE m AS (SELECT user_id AS symbol, event_id AS idx, epoch_us(ts) / 1e6 AS t_s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), "
     "s AS (SELECT symbol, idx, t_s, n, true AS accepted, [t_s] AS times FROM m WHERE n = 1 UNION ALL "
@@ -554,8 +590,7 @@ def walk_book_fill(spark, sf_dir):
 
 
 def filled(takers: DataFrame, resting: DataFrame) -> DataFrame:
-    fills = matching.walk(takers, resting, ["symbol"])
-    return fills.groupBy("taker_id").agg(F.count(F.lit(1)).alias("n_fills"), F.sum("fill").alias("traded"), F.sum(F.col("fill") * F.col("price")).alias("notional"))
+    return depth.traded(takers, resting, ["symbol"])
 
 
 @query(
@@ -566,13 +601,13 @@ def fok_check(spark, sf_dir):
 
 
 def fok_sums(takers: DataFrame, resting: DataFrame) -> DataFrame:
-    judged = matching.can_fill(takers, resting, ["symbol"])
+    judged = depth.can_fill(takers, resting, ["symbol"])
     return judged.groupBy("side", "fok_ok").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
 
 
 @query(f"WITH {RESTING} SELECT symbol, side, price, seq, coalesce(sum(remaining) OVER (PARTITION BY symbol, side, price ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS queue_ahead FROM resting")
 def queue_ahead(spark, sf_dir):
-    return matching.queue_ahead(resting(spark, sf_dir), ["symbol"]).select("symbol", "side", "price", "seq", "queue_ahead")
+    return depth.queue_ahead(resting(spark, sf_dir), ["symbol"]).select("symbol", "side", "price", "seq", "queue_ahead")
 
 
 @query()
@@ -674,7 +709,7 @@ def frames(spark, sf_dir, text: str) -> DataFrame:
 def okx_parse(spark, sf_dir):
     """Frames of the first venue; asks with more digits than a tick has are left out, their frame kept."""
     text = FRAMES_OKX.replace("recv_ts_ns // 1000000", "recv_ts_ns div 1000000")
-    rows = adapters.exploded(adapters.okx(frames(spark, sf_dir, text), 1))
+    rows = adapters.updates_of(adapters.okx(frames(spark, sf_dir, text), 1))
     return rows.select("symbol", "msg_idx", "is_snapshot", "seq", "prev_seq", "exchange_ts_ns", F.col("bids")[0]["price"].alias("bid_px"), F.col("bids")[0]["size"].alias("bid_sz"), F.size("asks").alias("n_asks"))
 
 
@@ -684,7 +719,7 @@ FRAMES_BYBIT = """'{"topic":"' || CASE WHEN k % 9 = 0 THEN 'trade.' ELSE 'orderb
 @query(f"WITH {FEED} SELECT symbol, idx AS msg_idx, k % 5 = 0 AS is_snapshot, idx AS seq, CASE WHEN k % 5 <> 0 THEN idx - 1 END AS prev_seq, (recv_ts_ns // 1000000) * 1000000 AS exchange_ts_ns, px * 100 + 5 AS bid_px, sz AS bid_sz, 1 AS n_bids FROM numbered WHERE k % 9 <> 0")
 def bybit_parse(spark, sf_dir):
     text = FRAMES_BYBIT.replace("recv_ts_ns // 1000000", "recv_ts_ns div 1000000")
-    rows = adapters.exploded(adapters.bybit(frames(spark, sf_dir, text), 2))
+    rows = adapters.updates_of(adapters.bybit(frames(spark, sf_dir, text), 2))
     return rows.select("symbol", "msg_idx", "is_snapshot", "seq", "prev_seq", "exchange_ts_ns", F.col("bids")[0]["price"].alias("bid_px"), F.col("bids")[0]["size"].alias("bid_sz"), F.size("bids").alias("n_bids"))
 
 
@@ -696,4 +731,4 @@ def bybit_parse(spark, sf_dir):
 def replay_counters(spark, sf_dir):
     """A replay of frames: what was ignored, parsed, applied, and where the books had to wait for a snapshot."""
     parsed = cut(adapters.okx(frames(spark, sf_dir, FRAMES_OKX.replace("recv_ts_ns // 1000000", "recv_ts_ns div 1000000")), 1))
-    return epochs.replay_stats(parsed, epochs.audit(adapters.exploded(parsed), width=1_000_000_000))
+    return epochs.replay_stats(parsed, epochs.audit(adapters.exploded(parsed)))

@@ -38,15 +38,23 @@ def whole(text: Column) -> Column:
 
 
 def _judged(frames: DataFrame, shape: str, judge: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
-    """Adds outcome and updates, as ``judge`` makes them of the parsed text, which is parsed once for all uses."""
-    parsed = F.from_json("raw", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ODD})
+    """Adds outcome and updates, as ``judge`` makes them of the parsed text.
+
+    The text is parsed in a projection of its own, which the optimizer doesn't repeat, as its result is used repeatedly.
+    """
+    parsed = spread(frames).withColumn("_parsed", F.from_json("raw", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": ODD}))
+    outcome, updates = judge(F.col("_parsed"))
+    judged = parsed.withColumn("outcome", outcome)
+    return judged.select(*frames.columns, "outcome", F.when(F.col("outcome") == "parsed", updates).alias("updates"))
 
-    def both(m: Column) -> Column:
-        outcome, updates = judge(m)
-        return F.struct(outcome.alias("outcome"), F.when(outcome == "parsed", updates).alias("updates"))
 
-    judged = F.get(F.transform(F.array(parsed), both), F.lit(0))
-    return frames.withColumn("_judged", judged).select(*frames.columns, "_judged.outcome", "_judged.updates")
+def spread(frames: DataFrame) -> DataFrame:
+    """Frames in at least as many partitions as there are cores: a file of one row group is read by one task, and parsing is
+    what takes long. Frames of streams, and those that lie in enough partitions, are left where they are."""
+    if frames.isStreaming:
+        return frames
+    cores = frames.sparkSession.sparkContext.defaultParallelism
+    return frames if frames.rdd.getNumPartitions() >= cores else frames.repartition(cores)
 
 
 def _outcome(m: Column, wanted: Column, bad: Column) -> Column:
@@ -113,12 +121,23 @@ def bybit(frames: DataFrame, decimals: int = 2, symbol: str = "BTCUSDT", contigu
     return rows.withColumn("updates", seen).drop("_seen", "_symbol", "_slice")
 
 
-def exploded(parsed: DataFrame, order: str = "msg_idx") -> DataFrame:
-    """A row for each update of parsed frames, with idx in order of arrival (frame, then place in it)."""
+def updates_of(parsed: DataFrame, order: str = "msg_idx") -> DataFrame:
+    """A row for each update of parsed frames, with msg_idx and place (in the frame, from 0)."""
     # frames that aren't parsed have no updates; the outer form keeps Spark from parsing for a filter first
-    rows = parsed.select(order, F.posexplode_outer("updates").alias("_place", "_u")).where(F.col("_u").isNotNull())
-    # room for a thousand updates in a frame, so no global numbering is needed
-    return rows.select(F.col(order).alias("msg_idx"), (F.col(order) * F.lit(1024) + F.col("_place")).alias("idx"), "_u.*")
+    rows = parsed.select(F.col(order).alias("msg_idx"), F.posexplode_outer("updates").alias("place", "_u")).where(F.col("_u").isNotNull())
+    return rows.select("msg_idx", "place", "_u.*")
+
+
+def exploded(parsed: DataFrame, order: str = "msg_idx", width: int = 100_000) -> DataFrame:
+    """A row for each update of parsed frames, with idx from 0 in order of arrival (frame, then place in it).
+
+    Frames may hold any number of updates: idx is their running count, over slices of a numeric ``order``. The parsed
+    frames are kept, so they are parsed once. An ``order`` that occurs repeatedly has no defined order of its own.
+    """
+    n = F.when(F.col("updates").isNotNull(), F.size("updates")).otherwise(0).cast("bigint")
+    counted = running(sliced(parsed.select(F.col(order).alias("msg_idx"), "updates"), "msg_idx", width), [], "msg_idx", {"_upto": Running("sum", n)})
+    rows = counted.select("msg_idx", (F.col("_upto") - n).alias("_before"), F.posexplode("updates").alias("_place", "_u"))
+    return rows.select("msg_idx", (F.col("_before") + F.col("_place")).alias("idx"), "_u.*")
 
 
 #: Venues by name; another venue is another function of frames.

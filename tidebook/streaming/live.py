@@ -18,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..operators.book import Book, latest
 from ..operators.epochs import KEYS
 from ..operators.fixsession import SESSION, Session, session_rows
-from ..operators.matching import MATCHED, Venue, command_rows
+from ..operators.matching import MATCHED, Venue
 from ..operators.orders import REPORTED, report_row, with_orders
 from ..operators.risk import GATED, Gate, Limits
 from ..operators.rows import framed
@@ -132,8 +132,8 @@ class VenueProcessor(_Folded):
     def new(self) -> Venue:
         return Venue()
 
-    def rows(self, state: Venue, r) -> list[dict]:
-        return command_rows(state, r)
+    def rows(self, state: Venue, r) -> list[tuple]:
+        return state.rows(r)
 
 
 class RiskProcessor(_Folded):
