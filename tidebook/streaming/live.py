@@ -106,6 +106,63 @@ class BookProcessor(_Folded):
         return [state.step(r)]
 
 
+BUCKETS = "venue string, symbol string, start_ns bigint, end_ns bigint, ofi double, delta_mid double, avg_depth double, events bigint, mid_start double, mid_end double"
+
+
+class LiveBuckets:
+    """A venue and symbol's book and the bucket that is open; see :func:`live_buckets`."""
+
+    def __init__(self, interval_ns: int, max_depth: int | None, strict: bool):
+        self.live, self.interval = LiveBook(max_depth, strict), interval_ns
+        self.first = self.reached = self.at = self.last_mid = None
+        self._open()
+
+    def _open(self) -> None:
+        self.ofi, self.events, self.depth, self.two_sided, self.first_mid, self.before = 0.0, 0, 0.0, 0, None, self.last_mid
+
+    def _closed(self, venue: str, symbol: str) -> list[tuple]:
+        if not self.two_sided:
+            return []
+        start, begins = self.first + self.at * self.interval, self.first_mid if self.before is None else self.before
+        return [(venue, symbol, start, start + self.interval, self.ofi, self.last_mid - begins, self.depth / self.two_sided, self.events, begins, self.last_mid)]
+
+    def step(self, r) -> list[tuple]:
+        seen = self.live.events
+        _, _, _, recv, applied, bid, bid_sz, ask, ask_sz, e, *_ = self.live.step(r)
+        if not applied:
+            return []
+        out, recv = [], int(recv)
+        if self.first is None:
+            self.first = self.reached = recv
+            self.at = 0
+        self.reached = max(self.reached, recv)
+        at = (self.reached - self.first) // self.interval
+        if at > self.at:
+            out = self._closed(r.venue, r.symbol)
+            self.at = at
+            self._open()
+        self.ofi, self.events = self.ofi + e, self.events + self.live.events - seen
+        if bid is not None and ask is not None:
+            self.last_mid, self.depth, self.two_sided = (bid + ask) / 2.0, self.depth + (bid_sz + ask_sz) / 2.0, self.two_sided + 1
+            self.first_mid = self.last_mid if self.first_mid is None else self.first_mid
+        return out
+
+
+class BucketProcessor(_Folded):
+    schema = BUCKETS
+
+    def __init__(self, interval_ns: int, max_depth: int | None = None, strict: bool = True):
+        if interval_ns <= 0:
+            raise ValueError("interval_ns must be positive")
+        self.made = interval_ns, max_depth, strict
+
+    def new(self) -> LiveBuckets:
+        return LiveBuckets(*self.made)
+
+    def rows(self, state: LiveBuckets, r) -> list[tuple]:
+        return state.step(r)
+
+
 class SessionProcessor(_Folded):
     schema = SESSION
 
@@ -155,6 +212,15 @@ def live_books(updates: DataFrame, max_depth: int | None = None, strict: bool =
     return updates.groupBy(*KEYS).transformWithStateInPandas(processor, LIVE, "append", "None")
 
 
+def live_buckets(updates: DataFrame, interval_ns: int, max_depth: int | None = None, strict: bool = True) -> DataFrame:
+    """A streaming frame of updates to buckets as :func:`ofi.buckets` makes them, each once arrival has passed its end.
+
+    A late row counts in the bucket that arrival has reached, so no bucket is ever given out again. The bucket that is open
+    when the stream ends, which the batch job ends at the last row, is kept in the state and not given out.
+    """
+    return updates.groupBy(*KEYS).transformWithStateInPandas(BucketProcessor(interval_ns, max_depth, strict), BUCKETS, "append", "None")
+
+
 def live_sessions(events: DataFrame) -> DataFrame:
     return events.groupBy("conn").transformWithStateInPandas(SessionProcessor(), SESSION, "append", "None")
 
