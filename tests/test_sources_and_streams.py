@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.test_books import loop, random_feed
 from tidebook.functions import ticks
-from tidebook.operators import book, epochs, matching, ofi, orders, risk
+from tidebook.operators import book, epochs, matching, ofi, orders, risk, stats
 from tidebook.schemas import COMMAND, EXECUTION, UPDATE
 from tidebook.sources import adapters, capture
 from tidebook.streaming import live
@@ -269,3 +269,31 @@ def test_frames_are_parsed_once_and_by_all_cores(spark):
     parsed = adapters.okx(frames)
     plan = parsed._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1 and parsed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def within_rank_error(report, values, k=800):
+    """Whether each percentile lies between the exact values at its rank less and plus the stated error."""
+    values, error = sorted(values), 2.296 / k**0.9723
+    for name, rank in stats.LATENCIES.items():
+        low, high = (values[min(len(values) - 1, max(0, int(len(values) * x)))] for x in (rank - error, rank + error))
+        assert low <= report[name] <= high, (name, low, report[name], high)
+    assert (report["n"], report["max_ns"]) == (len(values), values[-1]) and report["mean_ns"] == pytest.approx(sum(values) / len(values))
+
+
+def test_sketched_latencies_of_tables_and_streams(spark, tmp_path):
+    rng = random.Random(8)
+    samples = [(rng.choice(["parse", "apply"]), rng.lognormvariate(5, 2)) for _ in range(30_000)]
+    frame = spark.createDataFrame(samples + [("parse", None), ("parse", float("nan")), ("idle", None)], "stage string, ns double").repartition(6)
+    of = lambda stage: [v for s, v in samples if s == stage]
+    whole = {r.stage: r for r in stats.latency_sketches(frame).collect()}
+    halves = [stats.latency_sketches(frame.where(c)) for c in ("ns < 100", "NOT ns < 100 OR ns IS NULL")]
+    merged = {r.stage: r for r in stats.merged_latencies(halves[0].unionByName(halves[1])).collect()}
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    query = stats.latency_sketches(stream).writeStream.format("memory").queryName("latencies").outputMode("complete").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    live_ = {r.stage: r for r in spark.table("latencies").collect()}
+    for reports in (whole, merged, live_):
+        assert set(reports) == {"parse", "apply", "idle"} and (reports["idle"].n, reports["idle"].p50, reports["idle"].mean_ns) == (0, None, None)
+        for stage in ("parse", "apply"):
+            within_rank_error(reports[stage], of(stage))
