@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_operators import ITEMS, ODD, hits_by_hand, odd, shingles, sorted_rows
-from tidebook.llm import bpe, quality, secrets
+from tidebook.llm import bpe, decontamination, quality, secrets
 from tidebook.llm.common import materialise
 
 
@@ -92,3 +93,30 @@ def test_odd_rows_and_no_rows(spark):
         out = stage(spark, docs, SF)
         assert out.count() >= 1 and (name == "encoding" or sorted_rows([out.columns]) == sorted_rows([docs.columns]))
     assert ITEMS and ODD
+
+
+#: The names of all helper columns of the stages, and names that need quoting.
+HELPERS = ("_kept_id", "_Kept_Digest", "_repeated_id", "_simhash_digest", "_decontamination_hit", "_decontamination_hit_key_", "_decontamination_hit_digest_", "_decontamination_hit_spans_", "_decontamination_hit_items_", "_secret_scan_cleaned", "_found", "_text_digest", "_decoded", "_bpe_block", "_bpe_part", "_bpe_row", "_bpe_count", "_bpe_data", "_kept_0", "_text", "_node", "root", "first", "a.b", "c`d")
+
+
+def test_columns_of_helpers_names_stay(spark):
+    docs, own = odd(spark), {}
+    for i, name in enumerate(HELPERS):
+        docs = docs.withColumn(name, F.lit(f"own {i}"))
+        own[name] = f"own {i}"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        kept = [c for c in docs.columns if c != "text"] + ["token_ids"] if name == "encoding" else docs.columns
+        rows = out.collect()
+        assert sorted(out.columns) == sorted(kept) and rows
+        assert all({n: r[n] for n in own} == own for r in rows)
+
+
+def test_blocks_of_a_benchmark_keep_columns(spark):
+    docs = odd(spark, [(1, "keep this a b c d e f g h i j k l and that " + "more " * 30), *ODD])
+    for name in HELPERS:
+        docs = docs.withColumn(name, F.lit("own"))
+    items = spark.createDataFrame([(i, f"{i} a b c d e f g h i j k l") for i in range(4)], "item_id long, text string")
+    out = decontamination.remove_benchmark(docs, items, block_words=20)
+    assert out.columns == docs.columns and all(r[n] == "own" for r in out.collect() for n in HELPERS)
+    assert out.where("doc_id = 1 AND text LIKE 'keep this%and that%' AND text NOT LIKE '%c d e%'").count() == 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batches_of, materialise, release
+from .common import batches_of, column, materialise, release
 
 #: Fixed value: the pattern by which the rank files' texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -424,14 +424,16 @@ def _assembled(first: int, id_kind: str, finish: Callable[[pa.Table, pa.ListArra
     return run
 
 
-def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], finish: Callable[[pa.Table, pa.ListArray], pa.Table], result: T.StructType, block_chars: int, fold_bytes: int) -> DataFrame:
-    fields = [T.StructField(c, docs.schema[c].dataType, True) for c in kept]
+def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], finish: Callable[[list[pa.ChunkedArray], pa.ListArray], pa.Table], result: T.StructType, block_chars: int, fold_bytes: int) -> DataFrame:
+    """``finish`` makes the result of the columns ``kept``, in their order, and the lists of ids."""
+    names = [f"_kept_{i}" for i in range(len(kept))]  # the table's own names may be any
+    fields = [T.StructField(n, docs.schema[c].dataType, True) for n, c in zip(names, kept)]
     own = [T.StructField(BLOCK, T.LongType()), T.StructField(PART, T.IntegerType()), T.StructField(ROW, T.IntegerType()), T.StructField(COUNT, T.IntegerType()), T.StructField(DATA, T.BinaryType())]
     kind = T.StructType([*fields, *own])
-    source = docs.select(*kept, F.col(text_column).cast("string").alias(text_column))
+    source = docs.select(*(column(c).alias(n) for n, c in zip(names, kept)), column(text_column).cast("string").alias("_text"))
     # filed by block, so the texts needn't be shuffled again to meet their ids
     with batches_of(docs.sparkSession, 1000):
-        coded = materialise(source.mapInArrow(_coded(path, text_column, kept, to_arrow_schema(kind), block_chars), kind), "bpe-coded", bucket=BLOCK)
+        coded = materialise(source.mapInArrow(_coded(path, "_text", names, to_arrow_schema(kind), block_chars), kind), "bpe-coded", bucket=BLOCK)
 
     # up to 64 partitions of 16 blocks share the words of a part
     group = [F.shiftright(BLOCK, 26).alias("_g"), F.shiftright(F.col(BLOCK).bitwiseAND(0xFFFFF), 4).alias("_h")]
@@ -443,7 +445,7 @@ def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], fini
     answered = folded.mapInArrow(lambda batches: _answered(batches, id_kind), f"{BLOCK} bigint, {PART} int, {DATA} binary")
 
     texts = coded.where(F.col(PART).isNull()).drop(PART)
-    return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(edge_of(path), id_kind, finish), result)
+    return texts.groupBy(BLOCK).cogroup(answered.groupBy(BLOCK)).applyInArrow(_assembled(edge_of(path), id_kind, lambda texts, ids: finish([texts[n] for n in names], ids)), result)
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "token_ids", block_chars: int = 6_000_000, fold_bytes: int = 64) -> DataFrame:
@@ -458,8 +460,8 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", out: str = "to
     result = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
     arrow = to_arrow_schema(result)
 
-    def finish(texts: pa.Table, ids: pa.ListArray) -> pa.Table:
-        return pa.Table.from_arrays([*(texts[c] for c in kept), ids], schema=arrow)
+    def finish(columns: list[pa.ChunkedArray], ids: pa.ListArray) -> pa.Table:
+        return pa.Table.from_arrays([*columns, ids], schema=arrow)
 
     return _encoded(docs, path, text_column, kept, finish, result, block_chars, fold_bytes)
 
@@ -502,12 +504,12 @@ def round_trip(docs: DataFrame, path: str, block_chars: int = 6_000_000, fold_by
     """
     result = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def finish(texts: pa.Table, ids: pa.ListArray) -> pa.Table:
+    def finish(columns: list[pa.ChunkedArray], ids: pa.ListArray) -> pa.Table:
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
         packed = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
         decoded = []
         for at in range(0, len(ids), 512):  # so that little decoded text is held at once
             decoded += [hashlib.sha256(text).hexdigest() for text in decode_lists(ids.slice(at, 512), path)]
-        return pa.table({"doc_id": texts["doc_id"], "n_tokens": ids.value_lengths().cast(pa.int64()), "ids_sha256": pa.array(packed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+        return pa.table({"doc_id": columns[0], "n_tokens": ids.value_lengths().cast(pa.int64()), "ids_sha256": pa.array(packed, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     return _encoded(docs.select("doc_id", "text"), path, "text", ["doc_id"], finish, result, block_chars, fold_bytes)

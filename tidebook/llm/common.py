@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -28,6 +28,23 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, ASCII_UPPER, ASCII_UPPER.lower())
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that is none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, also if it holds dots or backticks."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def only(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
+    return frame.select(*map(column, columns))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialise, texts_of
+from .common import WORD_BYTES, free_name, materialise, only, texts_of
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -276,17 +276,18 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
             ),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    united = flat.select(F.col("digest").alias(f"{out}_digest_"), union.alias(f"{out}_spans_"), F.col("items").alias(f"{out}_items_"))
-    joined = docs.withColumn(f"{out}_key_", digest).join(united, F.col(f"{out}_key_") == F.col(f"{out}_digest_"), "left")
+    key, other, spans, items = own = [free_name([*docs.columns, out], f"{out}_{n}_") for n in ("key", "digest", "spans", "items")]
+    united = flat.select(F.col("digest").alias(other), union.alias(spans), F.col("items").alias(items))
+    joined = docs.withColumn(key, digest).join(united, F.col(key) == F.col(other), "left")
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("bigint")
     empty = F.array().cast("array<int>")
     return joined.withColumn(
         out,
         F.struct(
-            words.alias("n_words"), F.coalesce(F.col(f"{out}_spans_.starts"), empty).alias("starts"),
-            F.coalesce(F.col(f"{out}_spans_.ends"), empty).alias("ends"), F.coalesce(F.col(f"{out}_items_"), F.array().cast("array<string>")).alias("items"),
+            words.alias("n_words"), F.coalesce(F.col(f"{spans}.starts"), empty).alias("starts"),
+            F.coalesce(F.col(f"{spans}.ends"), empty).alias("ends"), F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items"),
         ),
-    ).drop(*(f"{out}_{x}_" for x in ("key", "digest", "spans", "items")))
+    ).drop(*own)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -331,7 +332,7 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, le
     anew. All other rows stay as they are: null and empty texts have no words and so no hits, and repeated rows
     and null ids stay. An empty benchmark, or an empty table, changes nothing.
     """
-    columns, held = docs.columns, "_decontamination_hit"
+    columns, held = docs.columns, free_name(docs.columns, "_decontamination_hit")
     found = with_hits(docs, benchmark, "text", window, block_words, held)
     n_hit = F.aggregate(F.zip_with(f"{held}.ends", f"{held}.starts", lambda b, a: b - a), F.lit(0), lambda x, y: x + y)
 
@@ -342,5 +343,5 @@ def remove_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, le
     left = found.where(n_hit <= most_coverage * F.greatest(F.col(f"{held}.n_words"), F.lit(1))).withColumn("text", cleaned(F.col("text"), F.col(held)))
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.when(F.size(f"{held}.starts") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*columns)
+    return only(left, columns)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, texts_of
+from .common import first_by_hash, free_name, only, texts_of
 
 #: Formats of keys that are told by their first characters.
 KEY_FORMATS = (
@@ -287,15 +287,16 @@ def scan(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, id_colu
     path counts as empty; repeated rows and null ids stay. Other columns are neither read nor returned.
     """
     columns = [id_column, text_column, *([path_column] if path_column and path_column not in (id_column, text_column) else [])]
-    found = docs.select(*columns).withColumn("_found", findings_of(F.col(text_column), _path(path_column), forest))
+    held = free_name(columns, "_found")
+    found = docs.select(*columns).withColumn(held, findings_of(F.col(text_column), _path(path_column), forest))
     secrets = F.transform(
-        F.filter("_found", lambda f: f["score"] >= threshold),
+        F.filter(held, lambda f: f["score"] >= threshold),
         lambda f: F.struct(
             f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"), F.round(f["score"], 6).alias("score"),
             F.sha2(F.substring(F.col(text_column), f["start"] + 1, f["end"] - f["start"]), 256).alias("sha256"),
         ),
     )
-    return found.select(id_column, F.size("_found").cast("bigint").alias("n_candidates"), F.size(secrets).cast("bigint").alias("n_secrets"), secrets.alias("secrets"))
+    return found.select(id_column, F.size(held).cast("bigint").alias("n_candidates"), F.size(secrets).cast("bigint").alias("n_secrets"), secrets.alias("secrets"))
 
 
 def redact(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, mark: str = "[secret]", path_column: str | None = None) -> DataFrame:
@@ -305,7 +306,7 @@ def redact(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, mark:
     empty texts hold no secret, a null path counts as empty, and repeated rows and null ids stay. Without a forest
     (None) every candidate counts as a secret.
     """
-    columns, held = docs.columns, "_secret_scan_cleaned"
+    columns, held = docs.columns, free_name(docs.columns, "_secret_scan_cleaned")
 
     @F.arrow_udf("struct<text:string,changed:boolean>")
     def cleaned(texts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -326,7 +327,7 @@ def redact(docs: DataFrame, forest: Forest | None, threshold: float = 0.5, mark:
     done = docs.withColumn(held, cleaned(F.col("text"), _path(path_column))).withColumn("text", F.col(f"{held}.text"))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.when(F.col(f"{held}.changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+    return only(done, columns)
 
 
 def fold_of(finding: tuple) -> int:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import free_name, materialise, only, texts_of
 from .components import components
 
 #: A-Z lower-cased, all else as it is.
@@ -347,16 +347,17 @@ def text_digest() -> Column:
 
 def first_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`keep_one` keeps; ``rooted`` has doc_id, digest and root of each row."""
-    digest = text_digest()
+    columns = docs.columns
+    kept_id, kept_digest, repeated_id, own_digest = (free_name(columns, n) for n in ("_kept_id", "_kept_digest", "_repeated_id", "_simhash_digest"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     first = rooted.groupBy("root").agg(F.min(order).alias("first"))
-    kept = materialise(first.select("first.doc_id", "first.digest").distinct().select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")), "simhash-kept")
-    marked = docs.withColumn("_simhash_digest", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_simhash_digest") == F.col("_kept_digest")), "left_semi")
-    repeated = materialise(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated_id")), "simhash-repeated")
+    kept = materialise(first.select("first.doc_id", "first.digest").distinct().select(F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest)), "simhash-kept")
+    marked = docs.withColumn(own_digest, text_digest()).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_digest) == F.col(kept_digest)), "left_semi")
+    repeated = materialise(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(repeated_id)), "simhash-repeated")
     if repeated.isEmpty():
-        return marked.select(*docs.columns)
+        return only(marked, columns)
     marked = materialise(marked, "simhash-marked")
-    is_repeated = F.col("doc_id").eqNullSafe(F.col("_repeated_id"))
+    is_repeated = F.col("doc_id").eqNullSafe(F.col(repeated_id))
     once = marked.join(repeated, is_repeated, "left_anti")
-    more = marked.join(repeated, is_repeated, "left_semi").dropDuplicates(["doc_id", "_simhash_digest"])
-    return once.unionByName(more).select(*docs.columns)
+    more = marked.join(repeated, is_repeated, "left_semi").dropDuplicates(["doc_id", own_digest])
+    return only(once.unionByName(more), columns)
