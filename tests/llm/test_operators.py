@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 import struct
 import subprocess
@@ -562,6 +563,42 @@ def judged(url, rules):
     return host, path, best.name if best and best.shown else None, best.action if best else "allow"
 
 
+@pytest.mark.parametrize(
+    ("regex", "ways"),
+    [
+        (r"\A(?:[^/]*\.)?spam-[^/.]+\.", [("spam",)]), (r"/wp-login\.php\z", [("wp", "login", "php")]), (r"/(?:buy|Sell)/now", [("buy",), ("sell",)]), (r"foo|/bar/", [(), ("bar",)]),
+        (r"/a(?:b)?/", [("a",), ("ab",)]), (r"/(?:ab)+/", [()]), (r"/(?:-ab-)+x", [("ab",)]), (r"-[.-]+ab[^a-z0-9A-Z]", [("ab",)]), (r"\bcasino\b", [("casino",)]), (r"/x(?=y)", [()]), (r"/x.y/", [()]),
+        (r"/[0-9]{3}/promo/", [("promo",)]), (r"(?i)/PROMO/", [("promo",)]), (r"(?iu)/promo/", [()]), (r"/\p{L}/ab/", [()]), (r"/[a-z&&[^b]]/ab/", [()]), (r"\\z/ab/", [("z", "ab")]), ("", [()]), (r"/é-ab-", [("ab",)]),
+    ],
+)
+def test_tokens_that_a_pattern_requires(regex, ways):
+    assert sorted(url_filter.required_tokens(regex)) == sorted(ways)
+
+
+def test_thousands_of_rules_against_running_all(spark):
+    """Patterns of random parts, on URLs of the same parts: the index finds what running every pattern finds."""
+    rng = random.Random(3)
+    part = lambda: rng.choice(("a", "b7", "news", "buy", "x", "shop", "en", "img", "promo", "c3"))
+    piece = (lambda: re.escape(part()), lambda: f"(?:{part()}|{part()}-{part()})", lambda: f"(?:{part()})?", lambda: "[a-z]+", lambda: "[0-9]{1,2}", lambda: f"(?:{part()}/)+", lambda: "[^/]?", lambda: r"\b" + part(), lambda: f"(?i:{part().upper()})")
+    regexes = [rng.choice((r"\A", "", "/")) + rng.choice(("", "/", "-", r"\.")).join(rng.choice(piece)() for _ in range(rng.randint(1, 3))) + rng.choice((r"\z", "", "/")) for _ in range(3000)]
+    rules = [url_filter.UrlRule(f"r{i}", "block", x, i) for i, x in enumerate(regexes)]
+    urls = [f"http://{rng.choice(('', part() + '.'))}{part()}{rng.choice(('', '-' + part()))}.{part()}/" + "".join(rng.choice((part(), part().upper(), "/", "-", ".", "7")) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+    urls = dict(enumerate(urls))
+    subject = {i: "".join(judged(u, [])[:2]) for i, u in urls.items()}
+    fits = {r: {i for i, x in subject.items() if p.search(x)} for r in rules for p in [re.compile(r.regex.replace(r"\z", r"\Z"))]}
+    assert sum(map(bool, fits.values())) > 500
+    tokens = {i: set(re.findall("[a-z0-9]+", x.lower())) for i, x in subject.items()}
+    for r, on in fits.items():  # of each URL that it fits, one way's tokens are all there
+        ways = r.ways
+        assert all(any(set(way) <= tokens[i] for way in ways) for i in on), r
+    frame = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    for some in (rules[::7], [r for r in rules if all(r.ways)]):
+        got = {r.page_id: r.rule for r in url_filter.judge_urls(frame, some).collect()}
+        assert got == {i: max((r for r in some if i in fits[r]), key=lambda r: r.rank, default=url_filter.pattern_rule(None, "", "")).name for i in urls}
+    with pytest.raises(ValueError, match="more than"):
+        url_filter.rule_index([url_filter.pattern_rule("long", "block", "/x/" + "y" * url_filter.MOST_BYTES)], {})
+
+
 def test_urls_by_hand(spark):
     rules = [*queries.HOST_RULES, *url_filter.PATTERN_RULES, url_filter.host_path_rule("shop.example.org", "block")]
     urls = [None, "", "x", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://notexample.com/en/7", "http://com/en/", "http://b.net/de/8", "http://example.net/de/8", "http://example.net/de/89", "s://shop.example.org?x", "s://shop.example.organ/", "http://a.org/es/", "http://spam-x.info/", "http://my-casino.io/a", "http://x.io/wp-login.php", "a://b://c/en/", "http://é.com/en/ü", "http://x.com/EN/"]
