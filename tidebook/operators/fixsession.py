@@ -86,13 +86,17 @@ class Out(NamedTuple):
 
 @dataclass(frozen=True)
 class Rules:
-    """Silence, in heartbeats, after which the other side is tested and after which the session ends."""
+    """Silence, in heartbeats, after which the other side is tested and after which the session ends.
+
+    Without ``reset`` numbers, and the log of what may be asked for again, go on across logons.
+    """
 
     heartbeat: float = 30.0
     test_after: float = 1.2
     end_after: float = 2.4
     sender: str = "TIDE"
     target: str = "VENUE"
+    reset: bool = True
 
 
 @dataclass
@@ -117,8 +121,9 @@ class Session:
         return out
 
     def begin(self, at: float) -> list[Out]:
-        """Numbers begin at 1, and nothing of an earlier session is known any more."""
-        self.__init__(self.rules)
+        """Numbers begin at 1, and nothing of an earlier session is known any more; or else numbers and log go on."""
+        carried = {} if self.rules.reset else {"expected": self.expected, "number": self.number, "log": self.log}
+        self.__init__(self.rules, **carried)
         self.status, self.heartbeat, self.heard_at = "LOGON_SENT", self.rules.heartbeat, at
         return [self.write("A", at, {98: "0", 108: str(int(self.heartbeat))})]
 
@@ -141,6 +146,13 @@ class Session:
             out.append(self.write("1", at, {112: self.test}))
         return out
 
+    def due(self) -> float | None:
+        """When the clock next calls for something if nothing else happens; None where it never does."""
+        if self.status not in ("ACTIVE", "LOGON_SENT") or self.heartbeat <= 0:
+            return None
+        silence = self.rules.test_after if self.test is None else self.rules.end_after
+        return min(self.wrote_at + self.heartbeat, self.heard_at + silence * self.heartbeat)
+
     def hear(self, kind: str, number: int | None, body: dict[int, str], at: float) -> tuple[list[Out], bool]:
         """What goes out in answer to a message, and whether it is for the application."""
         self.heard_at = at
@@ -251,9 +263,12 @@ SESSION = "conn string, idx bigint, n bigint, state string, in_seq bigint, out_s
 def session_rows(session: Session, r) -> list[tuple]:
     """The rows of one event: one for each message that goes out, or one with a null out_type where none does."""
     out, deliver = EVENTS[r.op](session, r)
+    return shown(session, r.conn, r.idx, out, deliver) or [(r.conn, r.idx, 0, session.status, session.expected, session.number, deliver, None, None, None, None)]
+
+
+def shown(session: Session, conn: str, idx: int | None, out: list[Out], deliver: bool = False) -> list[tuple]:
     state = (session.status, session.expected, session.number, deliver)
-    made = [(o.kind, o.number, o.body, session.raw(o)) for o in out] or [(None, None, None, None)]
-    return [(r.conn, r.idx, n, *state, *m) for n, m in enumerate(made)]
+    return [(conn, idx, n, *state, o.kind, o.number, o.body, session.raw(o)) for n, o in enumerate(out)]
 
 
 def run_sessions(events: DataFrame, rules: Rules = Rules(), width: int = 1_000_000) -> DataFrame:
@@ -261,7 +276,8 @@ def run_sessions(events: DataFrame, rules: Rules = Rules(), width: int = 1_000_0
     message, in order of idx for each conn.
 
     Sessions of a connection are told apart by a running count of its logons over slices of the order, and each
-    is folded by itself. Events before the first logon meet a session that isn't connected.
+    is folded by itself. Events before the first logon meet a session that isn't connected. Where numbers go on
+    across logons (``rules.reset`` is false) a session rests on all before it, so a connection is one fold.
     """
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,6 +290,8 @@ def run_sessions(events: DataFrame, rules: Rules = Rules(), width: int = 1_000_0
                 rows.extend(session_rows(session, r))
             yield framed(rows, SESSION)
 
+    if not rules.reset:
+        return events.withColumn("session", F.lit(0)).repartition("conn").sortWithinPartitions("conn", "idx").mapInPandas(fold, SESSION)
     counted = running(sliced(events, "idx", width), ["conn"], "idx", {"session": Running("sum", (F.col("op") == "logon").cast("bigint"))}).drop("_slice")
     return counted.repartition("conn", "session").sortWithinPartitions("conn", "session", "idx").mapInPandas(fold, SESSION)
 

@@ -7,6 +7,7 @@ stateful processor, kept by the state store and its checkpoints.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.book import Book, latest
 from ..operators.epochs import KEYS
-from ..operators.fixsession import SESSION, Session, session_rows
+from ..operators.fixsession import SESSION, Rules, Session, session_rows, shown
 from ..operators.matching import MATCHED, Venue
 from ..operators.orders import REPORTED, report_row, with_orders
 from ..operators.risk import GATED, Gate, Limits
@@ -166,13 +167,41 @@ class BucketProcessor(_Folded):
 class SessionProcessor(_Folded):
     schema = SESSION
 
+    def __init__(self, rules: Rules = Rules()):
+        self.rules_of = rules
+
     def new(self) -> Session:
-        return Session()
+        return Session(self.rules_of)
 
     def rows(self, state: Session, r) -> list[tuple]:
         return session_rows(state, r)
 
 
+class TimedSessionProcessor(SessionProcessor):
+    """Sessions that the clock wakes: each has one timer, at the time when it next has something to say."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self._wake_when_due(pickle.loads(bytes(self.state.get()[0])))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        session = pickle.loads(bytes(self.state.get()[0]))
+        out = shown(session, key[0], None, session.wake(timerValues.getCurrentProcessingTimeInMs() / 1000))
+        self.state.update((pickle.dumps(session),))
+        self._wake_when_due(session)
+        yield framed(out, SESSION)
+
+    def _wake_when_due(self, session: Session) -> None:
+        if (due := session.due()) is not None:
+            self.handle.registerTimer(math.floor(due * 1000) + 1)
+
+
 class OrderProcessor(_Folded):
     schema = REPORTED
 
@@ -221,8 +250,15 @@ def live_buckets(updates: DataFrame, interval_ns: int, max_depth: int | None = N
     return updates.groupBy(*KEYS).transformWithStateInPandas(BucketProcessor(interval_ns, max_depth, strict), BUCKETS, "append", "None")
 
 
-def live_sessions(events: DataFrame) -> DataFrame:
-    return events.groupBy("conn").transformWithStateInPandas(SessionProcessor(), SESSION, "append", "None")
+def live_sessions(events: DataFrame, rules: Rules = Rules(), timers: bool = False) -> DataFrame:
+    """A stream of events to the rows of :func:`fixsession.run_sessions`.
+
+    With ``timers`` heartbeats, test requests and the end of a silent session come by Spark's clock, also where no row
+    arrives; such rows have a null idx. The events' ``t_s`` must then be seconds since 1970 by the same clock.
+    """
+    if timers:
+        return events.groupBy("conn").transformWithStateInPandas(TimedSessionProcessor(rules), SESSION, "append", "ProcessingTime")
+    return events.groupBy("conn").transformWithStateInPandas(SessionProcessor(rules), SESSION, "append", "None")
 
 
 def live_orders(reports: DataFrame, orders: DataFrame) -> DataFrame:
