@@ -68,3 +68,46 @@ def test_pairs_are_exact():
     for held in (None, part):
         want = {(i, j) for i, j in combinations(range(120), 2) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j]) and (held is None or part[i] != part[j])}
         assert set(zip(*(x.tolist() for x in alike.alike(sets, 0.8, held)))) == want
+
+
+def test_candidates_come_through_the_simhash_index(spark, monkeypatch):
+    """Operator 6's index finds all alike pairs, also of tiny sets and in narrow files, and next to nothing else."""
+    rng, asked = np.random.default_rng(31), []
+    docs = variants()
+    for n in range(40):  # sets of four and five shingles
+        base = [f"s{n}_{i}" for i in range(9)]
+        docs += [(9000 + 2 * n, " ".join(base[:8])), (9001 + 2 * n, " ".join(base))]
+    docs += [(9500 + n, " ".join(f"z{rng.integers(30_000)}" for _ in range(40))) for n in range(400)]
+    search = alike.filed_links
+    monkeypatch.setattr(alike, "filed_links", lambda filed, radius: asked.append(filed.columns) or search(filed, radius))
+    count, radius, blocks, width = alike.filing(200_000)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    printed = frame.select("doc_id", alike.shingled(frame["text"], count).alias("s")).select("doc_id", "s.node", "s.codes").persist()
+    nodes, groups = {r.doc_id: r.node for r in printed.collect()}, {}
+    for r in alike.candidates(printed, radius, blocks, width).collect():
+        groups.setdefault(r.key, set()).add(r.node)
+    printed.unpersist()
+    found = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    sets = [(nodes[d], set(shingles(t, 5))) for d, t in docs]
+    pairs = [(tuple(sorted((n, m))), len(a & b) / len(a | b)) for (n, a), (m, b) in combinations(sets, 2) if n != m]
+    assert asked == [["code", "file"]]
+    near = {p for p, s in pairs if s >= 0.8}
+    assert len(near) > 100 and near <= found
+    assert len(found & {p for p, s in pairs if s < 0.3}) < 40
+
+
+@pytest.mark.parametrize("nodes", [0, 1, 1023, 1024, 10**5, 10**7, 10**9])
+def test_filing_misses_next_to_nothing(nodes):
+    words, radius, blocks, width = alike.filing(nodes)
+    assert nodes < 1024 << width and blocks * width <= 64
+    assert (1 - alike.found_by_word(0.161, radius, blocks, width)) ** words < 1e-6
+    assert (1 - alike.found_by_word(0.1875, radius, blocks, width)) ** (3 * words) < 1e-6
+
+
+def test_found_by_word_is_what_codes_do():
+    rng = np.random.default_rng(4)
+    differ = rng.random((200_000, 64)) < 0.1515
+    _, radius, blocks, width = alike.filing(200_000)
+    clean = ~np.stack([differ[:, 64 * i // blocks : 64 * i // blocks + width].any(axis=1) for i in range(blocks)])
+    got = (clean.any(axis=0) & (differ.sum(axis=1) <= radius)).mean()
+    assert abs(got - alike.found_by_word(0.1515, radius, blocks, width)) < 0.005

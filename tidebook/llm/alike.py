@@ -1,15 +1,17 @@
-"""Near-duplicates by the likeness of the texts themselves: exact Jaccard of their sets of word shingles.
-
-Texts with equal sets are one node. Candidates come from the one-permutation sketch of :mod:`minhash`: each node is
-filed under the keys of ``BANDS`` bands, made of the values of ``WIDTH`` bins each. Nodes that share a key are held
-against each other by their whole sets, and only pairs that are alike enough are linked. A pair of likeness ``s``
-shares no key with probability (1 - s ** WIDTH) ** BANDS, which is 3e-6 at 0.8 and less above. Keys that have the
-same nodes are compared once. The nodes of a key are dealt into parts of about ``PART``, and every two parts are one
-block, so no task holds a whole key, and no pair leaves a task: only a spanning forest of a block's links does.
+"""Near-duplicates by operator 6's SimHash index, each link checked by the exact Jaccard likeness of word shingle sets.
+
+Texts with equal sets are one node. A node has several SimHash words of 64 bits, made of its set. Each word is filed
+under several of its blocks of bits, as in :mod:`simhash`, and the index in Gray order finds what lies within
+some bits in a file. Which nodes meet there is a candidate group: its nodes are held against each other by their
+whole sets, and only pairs that are alike enough are linked. :func:`filing` takes as many words as make a miss
+improbable for the number of texts; its docstring has the figures. Groups of the same nodes are compared once. The
+nodes of a group are dealt into parts of about ``PART``, and every two parts are one block, so no task holds a whole
+group, and no pair leaves a task: only a spanning forest of a block's links does.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -22,13 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import materialise, texts_of
 from .components import components
-from .minhash import bin_values
-from .simhash import LOWER_BYTES, U64, first_of_each, shingle_hashes, text_digest, unite
+from .simhash import LOWER_BYTES, U64, files, filed_links, first_of_each, shingle_hashes, text_digest, unite
 
-WORDS, LIKENESS, SEED, BINS, BANDS, WIDTH, PART = 5, 0.8, 42, 256, 32, 5, 512
+WORDS, LIKENESS, SEED, PART = 5, 0.8, 42, 512
 
-_RNG = np.random.default_rng(23)
-_FOLD, _BAND = (_RNG.integers(0, 2**63, n, dtype=U64) * U64(2) + U64(1) for n in (WIDTH, BANDS))
+#: Codes that a file holds on average at most; the bits of a word that may differ are one of these numbers.
+PER_FILE, RADII = 1024, range(8, 14)
+#: What a candidate by chance costs, in words of a text. It is read and held against another; a word is made and filed.
+CHANCE = 24
+#: Of pairs at the least likeness, the share that may be missed; and by how much more of their bits small sets may differ.
+MISSED, SMALL_SETS = 1e-6, 1.07
+#: Sets of at most so many shingles have three times as many words: those of four and five differ in 0.1875 of their bits.
+TINY = 5
+#: A factor for each word, which mixes the hashes anew.
+_ODD = np.random.default_rng(23).integers(0, 2**63, 4096, dtype=U64) * U64(2) + U64(1)
 
 
 def shingle_set(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -36,13 +45,49 @@ def shingle_set(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
     return np.unique(shingle_hashes(text, words, seed))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band; none for a text without words."""
-    values = bin_values(hashes, BINS)[: BANDS * WIDTH]
-    if not len(values):
+def codes_of(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` SimHash words of a set, three times as many of a tiny one: the bits that over half of its hashes have, mixed anew for each word."""
+    if not len(hashes):
         return np.zeros(0, np.int64)
-    values = values ^ values >> U64(31)
-    return ((values.reshape(BANDS, WIDTH) * _FOLD).sum(axis=1, dtype=U64) * U64(0x9E3779B97F4A7C15) + _BAND).view(np.int64)
+    count *= 3 if len(hashes) <= TINY else 1
+    ones = np.zeros(count * 64, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 bits fit into a byte
+        x = hashes[at : at + 255, None]
+        x = (x ^ x >> U64(33)) * _ODD[:count]
+        x = (x ^ x >> U64(32)) * U64(0x9E3779B97F4A7C15)
+        x ^= x >> U64(29)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").astype(np.int64)
+
+
+def found_by_word(rate: float, radius: int, blocks: int, width: int) -> float:
+    """The probability that two codes, each bit of which differs at ``rate``, meet in a file and lie within the radius there."""
+    found = 0.0
+    for d in range(radius + 1):
+        clean = lambda j: math.comb(64 - j * width, d) / math.comb(64, d)  # noqa: B023, E731
+        some = sum((-1) ** (j + 1) * math.comb(blocks, j) * clean(j) for j in range(1, blocks + 1))
+        found += math.comb(64, d) * rate**d * (1 - rate) ** (64 - d) * some
+    return found
+
+
+def filing(nodes: int, likeness: float = LIKENESS) -> tuple[int, int, int, int]:
+    """How many words a node has, the bits of a word that may differ, how many blocks of a word name a file, and their bits.
+
+    Two sets of likeness ``s`` and equal size differ in acos(2 s / (1 + s)) / pi of their bits: 0.151 at 0.8. Small sets
+    differ in up to 0.161 of them, all but those of four and five shingles, and sets of unequal size in fewer. So many
+    words are taken that of pairs at ``likeness`` exactly less than one in a million is missed; those more alike are
+    missed less. Words, and so rows, grow slowly with the nodes.
+    """
+    rate = math.acos(2 * likeness / (1 + likeness)) / math.pi * SMALL_SETS
+    width = (nodes // PER_FILE).bit_length()
+    blocks = min(64 // width, math.ceil(math.log(0.1) / math.log(1 - (1 - rate) ** width))) if width else 1
+    ways = []
+    for radius in RADII:
+        words = math.ceil(math.log(MISSED) / math.log(1 - found_by_word(rate, radius, blocks, width)))
+        near = sum(math.comb(64 - width, d) for d in range(radius + 1)) / 2 ** (64 - width)
+        ways.append((words + CHANCE * words * blocks * nodes / 2**width * near, words, radius))
+    return *min(ways)[1:], blocks, width
 
 
 def packed_words(text: str) -> bytes:
@@ -54,23 +99,23 @@ def set_of(packed: bytes, words: int, seed: int) -> np.ndarray:
     return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"), words, seed)
 
 
-SHINGLED = "struct<node: bigint, packed: binary, keys: array<bigint>>"
+SHINGLED = "struct<node: bigint, packed: binary, codes: array<bigint>>"
 
 
-def shingled(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
-    """A text's node (a hash of its set), its packed words, and its keys; null, empty and blank texts are one node."""
+def shingled(text: Column, count: int, words: int = WORDS, seed: int = SEED) -> Column:
+    """A text's node (a hash of its set), its packed words, and its SimHash words (none without words); null, empty and blank texts are one node."""
 
     @F.arrow_udf(SHINGLED)
     def of(texts: pa.Array) -> pa.Array:
-        nodes, packed, keys = [], [], []
+        nodes, packed, codes = [], [], []
         for t in texts_of(texts):
             hashes = shingle_set(t, words, seed)
             packed.append(packed_words(t))
             nodes.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), seed))
-            keys.append(band_keys(hashes))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, U64).view(np.int64)), pa.array(packed, pa.binary()), lists], ["node", "packed", "keys"])
+            codes.append(codes_of(hashes, count))
+        ends = np.cumsum([0, *map(len, codes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *codes])))
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, U64).view(np.int64)), pa.array(packed, pa.binary()), lists], ["node", "packed", "codes"])
 
     return of(text)
 
@@ -129,12 +174,28 @@ def _link_blocks(likeness: float, words: int, seed: int):
     return run
 
 
-def set_links(printed: DataFrame, words: int = WORDS, likeness: float = LIKENESS, seed: int = SEED, part: int = PART) -> DataFrame:
+def candidates(printed: DataFrame, radius: int, blocks: int, width: int) -> DataFrame:
+    """(node, key): nodes that the index finds near each other have a key in common, and so have nodes of one code.
+
+    ``printed`` has node and codes, and nodes may repeat. Codes of two words are equal by chance only, which costs a
+    comparison, so a key is a code: the first of a run that the others are joined with.
+    """
+    coded = materialise(printed.select("node", F.posexplode("codes").alias("word", "code")).distinct(), "alike-coded")
+    names = F.explode(files(F.col("code"), blocks - 1, 1, width)).alias("name")
+    named = coded.select("word", "code").distinct().select("code", "word", names)
+    # a block's number takes six bits above the block's own
+    filed = named.select("code", F.shiftleft(F.col("word").cast("bigint"), width + 6).bitwiseOR(F.col("name")).alias("file"))
+    links = filed_links(filed, radius)
+    joined = links.join(coded.select("node", F.col("code").alias("a")), "a").select("node", F.col("b").alias("key"))
+    return joined.unionByName(coded.select("node", F.col("code").alias("key"))).distinct()
+
+
+def set_links(printed: DataFrame, radius: int, blocks: int, width: int, words: int = WORDS, likeness: float = LIKENESS, seed: int = SEED, part: int = PART) -> DataFrame:
     """(a, b): links that join the same nodes as all pairs of at least so much likeness do.
 
-    ``printed`` has node, packed and keys (:func:`shingled`), and nodes may repeat.
+    ``printed`` has node, packed and codes (:func:`shingled`), and nodes may repeat.
     """
-    filed = materialise(printed.select("node", F.explode("keys").alias("key")).distinct(), "alike-filed")
+    filed = materialise(candidates(printed, radius, blocks, width), "alike-filed")
     # a key's nodes are told by their number, two sums of hashes, and the first and last of them
     told = [F.count(F.lit(1)).alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("low"), F.max("node").alias("high")]
     same = filed.groupBy("key").agg(*told).where("nodes > 1").groupBy("nodes", "x", "y", "low", "high").agg(F.min("key").alias("key"))
@@ -156,8 +217,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS, se
     least ``likeness``. Null, empty and blank texts are alike; a text of fewer words is a shingle of all of them.
     Of rows of one id, and of rows without an id, the same stay as in :func:`simhash.keep_one`.
     """
-    printed = docs.select("doc_id", text_digest().alias("digest"), shingled(F.col("text"), words, seed).alias("s"))
-    printed = materialise(printed.select("doc_id", "digest", "s.node", "s.packed", "s.keys"), "alike-prints")
-    roots = components(set_links(printed, words, likeness, seed, part), "alike-components").withColumnRenamed("node", "_node")
+    count, radius, blocks, width = filing(docs.count(), likeness)
+    printed = docs.select("doc_id", text_digest().alias("digest"), shingled(F.col("text"), count, words, seed).alias("s"))
+    printed = materialise(printed.select("doc_id", "digest", "s.node", "s.packed", "s.codes"), "alike-prints")
+    roots = components(set_links(printed, radius, blocks, width, words, likeness, seed, part), "alike-components").withColumnRenamed("node", "_node")
     rooted = printed.select("doc_id", "digest", "node").join(roots, F.col("node") == F.col("_node"), "left")
     return first_of_each(docs, rooted.select("doc_id", "digest", F.coalesce("root", "node").alias("root")))

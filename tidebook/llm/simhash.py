@@ -5,8 +5,8 @@ distinct fingerprint is filed under its bits of every ``k`` blocks. How many blo
 many bits of each, follows from the number of fingerprints, so that a file holds a few thousand at any size. A
 distributed sort by file and Gray rank puts a file's fingerprints, alike ones beside each other, into runs. A run
 is indexed: groups of neighbours share a node that holds the bits all of them agree in (a mask and a pattern),
-groups of nodes share upper nodes, and a node keeps only what its parent doesn't hold. A search adds up differences
-on the way down and drops a whole group once they exceed ``r``. A file of more than one run is searched run against
+groups of nodes share upper nodes, and a node keeps only what its parent doesn't hold. A search begins at the first
+level whose nodes can exceed ``r``, adds up differences on the way down and drops a whole group once they do. A file of more than one run is searched run against
 run, where the runs' own top nodes first rule out pairs of runs.
 
 Only a spanning forest of a run's links leaves it. Copies are one fingerprint, so no group of copies is large
@@ -91,12 +91,16 @@ class GrayIndex:
             agreed = np.bitwise_and.reduceat(m & ~(v ^ first), starts)
             masks.append(agreed)
             values.append(v[starts] & agreed)
-        masks, values = masks[::-1], values[::-1]
+        self.whole = masks, values = masks[::-1], values[::-1]
         self.levels = [(masks[0], values[0] & masks[0])]
         for (above, m, v) in zip(masks, masks[1:], values[1:]):
             rest = m & ~np.repeat(above, fan)[: len(m)]
             self.levels.append((rest, v & rest))
 
+    def first_level(self, radius: int) -> int:
+        """The first level whose nodes agree in more than twice the radius' bits: nodes above it would rule out next to nothing."""
+        return next(i for i, m in enumerate(self.whole[0]) if np.bitwise_count(m).mean() > min(2 * radius, 63))
+
     @property
     def top(self) -> tuple[int, int]:
         """The bits that all codes agree in, and their pattern."""
@@ -110,14 +114,24 @@ class GrayIndex:
         With ``after`` the queries are the codes from that place on, and only codes behind a query are searched.
         ``seen`` and ``ruled_out`` count the nodes looked at, and the codes of groups that were dropped whole.
         """
-        size, covers = len(self.levels[0][0]), self.fan ** (len(self.levels) - 1)
-        q, node = np.repeat(np.arange(len(queries)), size), np.tile(np.arange(size), len(queries))
-        spent = np.zeros(len(q), np.int64)
-        for level, (mask, value) in enumerate(self.levels):
-            if level:
-                q, spent = np.repeat(q, self.fan), np.repeat(spent, self.fan)
-                node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-                covers //= self.fan
+        first = self.first_level(radius)
+        covers = self.fan ** (len(self.levels) - 1 - first)
+        start = 0 if after is None else (after + 1) // covers  # no node before it has a code behind a query
+        mask, value = (x[first][start:] for x in self.whole)
+        apart = np.bitwise_count((queries[:, None] ^ value) & mask)
+        near = apart <= radius
+        if after is not None:
+            there = (np.arange(start, start + len(mask)) + 1) * covers > np.arange(len(queries))[:, None] + after + 1
+            near &= there
+        seen = near.size if after is None else int(np.count_nonzero(there))
+        self.seen += seen
+        self.ruled_out += covers * (seen - int(np.count_nonzero(near))) if covers > 1 else 0
+        q, node = np.nonzero(near)
+        spent, node = apart[q, node].astype(np.int64), node + start
+        for mask, value in self.levels[first + 1 :]:
+            q, spent = np.repeat(q, self.fan), np.repeat(spent, self.fan)
+            node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
+            covers //= self.fan
             there = node < len(mask)
             if after is not None:
                 there &= (node + 1) * covers > q + after + 1
@@ -288,7 +302,15 @@ def code_links(codes: DataFrame, radius: int = 4, run_codes: int = RUN_CODES, pe
     ``codes`` has one bigint column ``code`` of distinct values. Links of a code with itself, and links that
     follow from others of their run, are left out; no two codes are joined otherwise.
     """
-    filed = codes.select("code", F.explode(files(F.col("code"), radius, *filing(codes.count(), radius, per_file))).alias("file"))
+    return filed_links(codes.select("code", F.explode(files(F.col("code"), radius, *filing(codes.count(), radius, per_file))).alias("file")), radius, run_codes)
+
+
+def filed_links(filed: DataFrame, radius: int, run_codes: int = RUN_CODES) -> DataFrame:
+    """(a, b): links that join, within each file, the same codes as all its pairs with at most ``radius`` differing bits do.
+
+    ``filed`` has distinct rows of two bigints, ``code`` and ``file``. Of a file in one run all codes that are joined
+    have one ``b``; of two runs the codes that are joined across them.
+    """
     ordered = filed.withColumn("rank", gray_rank(F.col("code"))).repartitionByRange("file", "rank").sortWithinPartitions("file", "rank").select("file", "code")
     found = materialise(ordered.mapInArrow(_link_files(radius, run_codes), FOUND), "simhash-runs")
     near = found.where("a IS NOT NULL").select("a", "b")
