@@ -33,3 +33,13 @@ def test_blocks_of_empty_texts_are_bounded(spark):
     coded = docs.mapInArrow(bpe._coded(tokenizer_path("byte_bpe_50k.tiktoken"), "text", [], to_arrow_schema(kind), 6400), kind)
     rows = [r[1] for r in coded.groupBy(bpe.BLOCK).count().collect()]
     assert sum(rows) == 3000 and max(rows) <= 100
+
+
+def test_fold_takes_signed_bytes(spark):
+    """Words reach the fold as arrays of signed bytes; it gives what the heap gives."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    words = [b"", b"q", b"\xff", " überzeugendst".encode(), b" unquestioningly42", "тест漢字".encode(), bytes(range(120, 184))]
+    signed = [[b - 256 if b > 127 else b for b in w] for w in words]
+    frame = spark.createDataFrame(list(enumerate(signed)), "n int, w array<tinyint>")
+    got = {r.n: r.ids for r in frame.select("n", bpe.merged_bytes(F.col("w"), path).alias("ids")).collect()}
+    assert got == {n: bpe.merged_long(w, bpe.read_ranks(path)) for n, w in enumerate(words)}

@@ -119,7 +119,13 @@ def _pair_map(path: str) -> str:
 
 
 def merged(word: Column, path: str) -> Column:
-    """The ids of a word of up to 255 bytes: the pair of the lowest rank is merged, the leftmost of equal ones first, again and again.
+    """The ids of a word of up to 255 bytes, a binary, by :func:`merged_bytes`."""
+    code = lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))
+    return merged_bytes(F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(word)), code)), path)
+
+
+def merged_bytes(word: Column, path: str) -> Column:
+    """The ids of a word of up to 255 bytes, an array of numbers that may be signed: the pair of the lowest rank is merged, the leftmost of equal ones first, again and again.
 
     The fold's state is an array with a number for each token, rank, place and id from the high bits down: the rank of the
     token joined with the one after it, the place of its first byte, and its id. So the least number is the pair
@@ -154,14 +160,13 @@ def merged(word: Column, path: str) -> Column:
             merge_at = lambda least: named(F.array_position(numbers, least).cast("int"), lambda at: merge(numbers, least, at))
             return named(F.array_min(numbers), lambda least: F.when(least < NONE << PLACE_AT + 8, merge_at(least)).otherwise(numbers))
 
-        code = lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))
         edge = F.array(F.lit(edge_of(path)).cast("bigint"))
-        ids = F.concat(edge, F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(by_byte, code(i))), edge)
+        ids = F.concat(edge, F.transform(word, lambda b: F.get(by_byte, b.cast("int").bitwiseAND(0xFF))), edge)
         start = named(ids, lambda x: F.transform(x, lambda id_, i: number(rank(id_, F.get(x, i + 1)), F.shiftleft(i.cast("bigint"), PLACE_AT).bitwiseOR(id_))))
-        end = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step)
+        end = F.aggregate(F.slice(word, F.lit(2), F.lit(255)), start, step)  # as many steps as there are pairs
         return named(end, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda n: id_of(n).cast("int")))
 
-    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(named(tables, folded))
+    return F.when(F.size(word) == 0, F.array().cast("array<int>")).otherwise(named(tables, folded))
 
 
 def named(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -194,7 +199,7 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- encoding ---------------------------------------------------------------------------------------------------
 
 BLOCK, PART, ROW, COUNT, DATA = "_bpe_block", "_bpe_part", "_bpe_row", "_bpe_count", "_bpe_data"
-LIST = pa.list_(pa.int32())
+LIST, BYTES = pa.list_(pa.int32()), pa.list_(pa.int8())
 #: Parts that a block's words are dealt into by hash.
 PARTS = 128
 #: Codes that are packed together.
@@ -259,8 +264,10 @@ def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, bloc
             counts = np.bincount(np.concatenate([*used, np.zeros(0, np.int32)]), minlength=len(words))
             del used
             part = np.fromiter((xxhash.xxh32_intdigest(w) % PARTS for w in words), np.int64, len(words))
-            # frequent words first, so that most codes are small
-            order = np.lexsort((np.argsort(np.argsort(np.array(words, object))) if words else part, -counts, part))
+            # frequent words first, so that most codes are small; texts sort as their bytes do, and faster
+            rank = np.empty(len(words), np.int64)
+            rank[sorted(range(len(words)), key=codes.new.__getitem__)] = np.arange(len(words))
+            order = np.lexsort((rank, -counts, part))
             edges = np.searchsorted(part[order], np.arange(PARTS + 1))
             place = np.empty(len(words), np.int64)
             place[order] = first + (np.arange(len(words)) - edges[part[order]]) * PARTS + part[order]
@@ -295,7 +302,8 @@ def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, bloc
                 start, coded = at, []
                 while at < len(batch) and (chars < block_chars or not coded):
                     text = texts[at].as_py() or ""
-                    coded.append(np.array(list(map(codes.__getitem__, split_words(text))), np.int32))
+                    words = split_words(text)
+                    coded.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
                     chars += len(text) + ROW_CHARS
                     at += 1
                 held.append(({c: batch.column(batch.schema.get_field_index(c)).slice(start, at - start) for c in kept}, coded))
@@ -311,12 +319,12 @@ def _coded(path: str, text_column: str, kept: list[str], schema: pa.Schema, bloc
     return run
 
 
-WORDS = "words array<binary>, given array<array<int>>, block bigint, part int, numbers binary"
+WORDS = "words array<array<tinyint>>, given array<array<int>>, block bigint, part int, numbers binary"
 
 
 def _distinct(path: str, fold_bytes: int):
     """Packed words of many blocks to rows of distinct words, then a row of numbers for each block; group by group."""
-    kind = pa.schema([("words", pa.list_(pa.binary())), ("given", pa.list_(LIST)), ("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary())])
+    kind = pa.schema([("words", pa.list_(BYTES)), ("given", pa.list_(LIST)), ("block", pa.int64()), ("part", pa.int32()), ("numbers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, group, numbers, members = read_ranks(path), None, {}, []
@@ -327,7 +335,9 @@ def _distinct(path: str, fold_bytes: int):
                 some = words[at : at + 1024]
                 given = [merged_long(w, ranks) if len(w) > fold_bytes else None for w in some]
                 short = [w if g is None else b"" for w, g in zip(some, given)]
-                yield _rows(kind, 1, words=pa.array([short], pa.list_(pa.binary())), given=pa.array([given], pa.list_(LIST)))
+                ends = np.cumsum([0, *map(len, short)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(short), np.int8)))
+                yield _rows(kind, 1, words=pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), lists), given=pa.array([given], pa.list_(LIST)))
             for block, part, own in members:
                 yield _rows(kind, 1, block=pa.array([block]), part=pa.array([part], pa.int32()), numbers=pa.array([own], pa.binary()))
 
@@ -439,7 +449,7 @@ def _encoded(docs: DataFrame, path: str, text_column: str, kept: list[str], fini
     group = [F.shiftright(BLOCK, 26).alias("_g"), F.shiftright(F.col(BLOCK).bitwiseAND(0xFFFFF), 4).alias("_h")]
     words = coded.where(F.col(PART).isNotNull()).select(BLOCK, PART, DATA, *group).repartition("_g", "_h", PART).sortWithinPartitions("_g", "_h", PART, BLOCK)
     distinct = words.select(BLOCK, PART, DATA).mapInArrow(_distinct(path, fold_bytes), WORDS)
-    ids = F.zip_with("words", "given", lambda w, g: F.when(g.isNull(), merged(w, path)).otherwise(g))
+    ids = F.zip_with("words", "given", lambda w, g: F.when(g.isNull(), merged_bytes(w, path)).otherwise(g))
     folded = distinct.select(F.when(F.col("block").isNull(), ids).alias("ids"), "block", "part", "numbers")
     id_kind = packed_ids(path)
     answered = folded.mapInArrow(lambda batches: _answered(batches, id_kind), f"{BLOCK} bigint, {PART} int, {DATA} binary")
