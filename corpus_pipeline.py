@@ -12,6 +12,8 @@ from tidebook.llm.queries import tokenizer_path
 
 #: Rows that a job of this pipeline hands to Python at once: documents are long, and workers hold a few such batches.
 BATCH_ROWS = 500
+#: Characters of a plan that the driver writes down and keeps: the encoding's holds its ranks, two megabytes, several times.
+PLAN_CHARS = 100_000
 
 
 def hand_over_few_rows(spark: SparkSession) -> None:
@@ -20,6 +22,11 @@ def hand_over_few_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def keep_short_plans(spark: SparkSession) -> None:
+    """Sets the session's plan descriptions, which the driver keeps for every query; it holds from then on likewise."""
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, trained on the labels that aren't held out, doesn't reject.
 
@@ -64,6 +71,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts have no ids; repeated rows and null ids stay; an empty table gives no rows.
     """
     hand_over_few_rows(spark)
+    keep_short_plans(spark)
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     digest = lambda text: F.unhex(F.sha2(text, 256))
     # the digest of a document's text is carried until its ids are decoded

@@ -97,6 +97,21 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within leave no shuffle files behind; else these stay until the driver collects its garbage.
+
+    No frame with a shuffle may be run twice within, other than as part of another frame.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def release() -> None:
     """Gives the memory of freed objects back to the system; workers live on from task to task."""
     pa.default_memory_pool().release_unused()

@@ -66,7 +66,7 @@ class Rounds:
         self.held.append((out, path))
         return out
 
-    def forget_but(self, frame: DataFrame) -> None:
+    def forget_but(self, frame: DataFrame | None) -> None:
         for held, path in self.held:
             if held is not frame:
                 delete_path(self.spark, path)
