@@ -186,6 +186,50 @@ def test_what_works_at_arrival_equals_all_pairs(spark):
     assert quotes == {n: (max(lives(s, "BUY", i), default=None), min(lives(s, "SELL", i), default=None)) for s, i, _, _, n in asks}
 
 
+@pytest.mark.parametrize("rows,batch", [(20_000, 10_000), (10, 7), (1, 1)])
+def test_quotes_in_slices_and_parts_equal_all_pairs(spark, rows, batch):
+    rng = np.random.default_rng(8)
+    names = ["S", "T", None]
+    # bursts and long lives; every third moment is asked for at one place
+    works = [(names[rng.integers(0, 3)], None if rng.random() < 0.1 else float(rng.integers(90, 110)), int(a := rng.integers(0, 2000) if rng.random() < 0.5 else 700 + rng.integers(0, 5)), None if rng.random() < 0.2 else int(a + rng.integers(-1, 1500 if rng.random() < 0.3 else 20))) for _ in range(300)]
+    asks = [(names[rng.integers(0, 3)], None if rng.random() < 0.05 else 703 if i % 3 == 0 else int(rng.integers(-5, 4000)), i) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        standing, asked = spark.createDataFrame(works, "symbol string, price double, from_idx long, until_idx long"), spark.createDataFrame(asks, "symbol string, idx int, n long")
+        out = lifetimes.least_as_of(asked, standing, ["symbol"], {"least": F.col("price"), "most": -F.col("price")}, rows)
+        got = {r.n: (r.symbol, r.idx, r.least, r.most and -r.most) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert out.dtypes[:3] == asked.dtypes and len(got) == len(asks)
+    for s, i, n in asks:
+        stood = [p for w, p, a, b in works if s is not None and i is not None and w == s and p is not None and a <= i and (b is None or i < b)]
+        assert got[n] == (s, i, min(stood, default=None), max(stood, default=None))
+
+
+@pytest.mark.parametrize("name", ["quotes_as_of"])
+def test_moments_and_lifetimes_are_sent_about_once(spark, name):
+    sc, group = spark.sparkContext, f"sent-{name}"
+    sc.setJobGroup(group, name)
+    try:
+        queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    sent = sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+    rows = sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    assert rows < sent < 4 * rows
+
+
+def test_quotes_of_nothing(spark):
+    asked, standing = (spark.createDataFrame(rows, kind) for rows, kind in (([("S", 1), ("S", None), (None, 2)], "symbol string, idx long"), ([("S", "BUY", 5, 0, None)], "symbol string, side string, price long, from_idx long, until_idx long")))
+    plain = lambda f: sorted(map(tuple, f.collect()), key=str)
+    assert plain(lifetimes.quotes_as_of(asked, standing.where("false"))) == plain(asked.selectExpr("symbol", "idx", "null", "null", "null"))
+    assert plain(lifetimes.quotes_as_of(asked.where("false"), standing)) == []
+    assert plain(lifetimes.quotes_as_of(asked, standing)) == sorted([("S", 1, 5, None, None), ("S", None, None, None, None), (None, 2, None, None, None)], key=str)
+
+
 def plainly_matched(commands):
     """The rules of price and time as they are written: all orders in one list, sorted anew for each command."""
     rest, out, counts, done = [], [], {"V": 0, "E": 0}, 1e-12

@@ -1,17 +1,27 @@
 """What stands at a moment, of things that stand for a while, without pairs of moments and things.
 
-A lifetime is cut into few aligned blocks (a block of level ``l`` spans ``2 ** (BITS * l)`` and begins at a multiple of
-that), and a moment lies in one block of each level. So a block keeps one number for all that stand throughout it, and a
-moment meets the blocks around it by equal keys.
+Time is cut into slices, and each slice of a key is swept in order of time: a moment is sent to its slice, a lifetime to
+those in which it begins and ends, so a row moves twice at most. What stands throughout a slice counts there by one number:
+such lifetimes are cut into few aligned blocks of slices (a block of level ``l`` spans ``2 ** (BITS * l)`` and begins at a
+multiple of that), combined for each block, and a slice meets the blocks around it by equal keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits from one level to the next; moments are from 0 and below 2 to the 60th.
 BITS = 3
+#: Times before and after all moments.
+BEFORE, NEVER = -(1 << 63), (1 << 63) - 1
 
 
 def levels_for(moments: Column) -> Column:
@@ -43,25 +53,110 @@ def around(moment: Column, levels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), levels - 1), lambda level: F.struct(level.cast("int").alias("level"), F.call_function("shiftright", moment, level * BITS).alias("block")))
 
 
-def least_as_of(asked: DataFrame, standing: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``asked`` (keys, idx and more) with the least ``value`` of what stands (keys, from_idx, until_idx, value) at its idx: from
-    from_idx on and before until_idx, null for what never ends. Null where nothing stands.
+def _least_over(lo: np.ndarray, hi: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places the least rank of the runs, from ``lo`` and before ``hi``, that hold it; -1 if none does.
+
+    Two runs of a power of two cover a run. They are handed down, halved, from the longest to single places.
+    """
+    best, power = np.full(n, NEVER), np.frexp((hi - lo).astype("float64"))[1] - 1
+    for p in range(int(power.max(initial=-1)), -1, -1):
+        best[1 << p :] = np.minimum(best[1 << p :], best[: -(1 << p)])
+        at = power == p
+        np.minimum.at(best, lo[at], rank[at])
+        np.minimum.at(best, hi[at] - (1 << p), rank[at])
+    return np.where(best == NEVER, -1, best)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], asked: list[str], group: list[str], values: list[str]) -> Iterator[pa.RecordBatch]:
+    """The moments (rows without ``_until``) with the least values of the lifetimes that stand. Rows come by group, in
+    order of idx, lifetimes first.
 
-    Blocks are combined before they are sent; moments that are asked for repeatedly are looked up once.
+    From batch to batch only the last group's lifetimes are held, and of those only what no lesser one outlasts.
+    """
+    last, held = None, {}
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        codes = [batch[c].dictionary_encode("encode").indices.to_numpy() for c in group]
+        number = np.cumsum(np.r_[False, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+        first, last_before = [batch[c][0].as_py() for c in group], last
+        last = [batch[c][n - 1].as_py() for c in group]
+        # places are found by group and idx at once
+        idx = pc.fill_null(batch["idx"], BEFORE).to_numpy()
+        times, place = np.unique(idx, return_inverse=True)
+        place += number * (len(times) + 1)
+        until = pc.fill_null(batch["_until"], BEFORE).to_numpy()
+        is_asked = pc.is_null(batch["_until"])
+        found = []
+        for name in values:
+            lives = pc.and_(pc.is_valid(batch[name]), pc.invert(is_asked))
+            lo = np.flatnonzero(lives.to_numpy(zero_copy_only=False))
+            of, ends, value = number[lo], until[lo], batch[name].filter(lives)
+            if name in held and first == last_before:
+                ends_before, value_before = held[name]
+                lo, of, ends, value = np.r_[np.zeros(len(ends_before), "int64"), lo], np.r_[np.zeros(len(ends_before), "int64"), of], np.r_[ends_before, ends], pa.concat_arrays([value_before, value])
+            hi = np.searchsorted(place, of * (len(times) + 1) + np.searchsorted(times, ends))
+            order = pc.sort_indices(value).to_numpy()
+            rank = np.empty(len(order), "int64")
+            rank[order] = np.arange(len(order))
+            stands = lo < hi
+            best = _least_over(lo[stands], hi[stands], rank[stands], n)
+            found.append(value.take(pa.array(np.r_[order, 0][best], mask=best < 0)).filter(is_asked))
+            on = order[(of[order] == number[-1]) & (ends[order] > idx[-1])]
+            on = on[ends[on] > np.r_[BEFORE, np.maximum.accumulate(ends[on])[:-1]]] if len(on) else on
+            held[name] = ends[on], value.take(pa.array(on))
+        yield pa.RecordBatch.from_arrays([*(batch[c].filter(is_asked) for c in asked), *found], names=[*asked, *values])
+
+
+def least_as_of(asked: DataFrame, standing: DataFrame, keys: list[str], values: dict[str, Column], rows: int = 20_000) -> DataFrame:
+    """``asked`` (keys, idx and more) with the least of each of ``values`` (by name, of ``standing``'s columns) over what
+    stands at its idx (keys, from_idx, until_idx): from from_idx on and before until_idx, null for what never ends. Null
+    where nothing stands.
+
+    Slices are as long as holds about ``rows`` beginnings of the key that has the most; moments of a slice that are more
+    than five times as many are dealt out over several parts, each with the slice's lifetimes.
     """
-    points = asked.select(*keys, "idx").distinct()
-    end = points.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("end")).scalar()
-    living = standing.where(F.col(value).isNotNull()).withColumn("_until", F.least(F.coalesce("until_idx", end), end)).where(F.col("from_idx") < F.col("_until")).withColumn("_levels", levels_for(end))
-    placed = points.withColumn("_levels", levels_for(end))
-    kept = living.select(*keys, F.explode(blocks(F.col("from_idx"), F.col("_until"), F.col("_levels"))).alias("b"), value).groupBy(*keys, "b.level", "b.block").agg(F.min(value).alias(name))
-    met = placed.select(*keys, "idx", F.explode(around(F.col("idx"), F.col("_levels"))).alias("b")).select(*keys, "idx", "b.*").join(kept, [*keys, "level", "block"])
-    return asked.join(met.groupBy(*keys, "idx").agg(F.min(name).alias(name)), [*keys, "idx"], "left")
+    known = reduce(lambda a, b: a | b, [v.isNotNull() for v in values.values()])
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    living = standing.where(known & whole).select(*keys, F.col("from_idx").cast("bigint").alias("idx"), F.coalesce(F.col("until_idx").cast("bigint"), F.lit(NEVER)).alias("_until"), *(v.alias(name) for name, v in values.items())).where("idx < _until")
+    each = living.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    most, low, high = each.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.min("low"), F.lit(0)), F.coalesce(F.max("high"), F.lit(0))).first()
+    top = most // rows
+    width = (high - low) // (top + 1) + 1
+    # the first and the last slice have no outer end
+    slice_of = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(top), F.floor((F.col(c).cast("double") - low) / width))).cast("bigint"))
+    spans = living.withColumn("_slice", slice_of("idx")).withColumn("_end", F.when(F.col("_until") == NEVER, top + 1).otherwise(slice_of("_until")))
+    placed = asked.withColumn("idx", F.col("idx").cast("bigint")).withColumn("_slice", slice_of("idx"))
+    groups = placed.groupBy(*keys, "_slice").agg(F.ceil(F.count(F.lit(1)) / (5 * rows)).alias("_parts"))
+
+    ends = F.when((F.col("_slice") < F.col("_end")) & (F.col("_end") <= top), F.array("_slice", "_end")).otherwise(F.array("_slice"))
+    held = spans.select(*keys, "idx", "_until", *values, F.explode(ends).alias("_slice"))
+    if top:
+        least, levels = [F.min(name).alias(name) for name in values], levels_for(F.lit(top + 1))
+        through = spans.where("_end - _slice > 1").groupBy(*keys, "_slice", "_end").agg(*least)
+        kept = through.select(*keys, F.explode(blocks(F.col("_slice") + 1, F.col("_end"), levels)).alias("b"), *values).groupBy(*keys, "b.level", "b.block").agg(*least)
+        # Spark judges a broadcast by compressed size, and the driver would hold the blocks of all keys
+        met = groups.select(*keys, "_slice", F.explode(around(F.col("_slice"), levels)).alias("b")).select(*keys, "_slice", "b.*").join(kept.hint("merge"), [*keys, "level", "block"])
+        held = held.unionByName(met.groupBy(*keys, "_slice").agg(*least).withColumns({"idx": F.lit(BEFORE), "_until": F.lit(NEVER)}))
+
+    by = [*keys, "_slice"]
+    large = F.broadcast(groups.where("_parts > 1").select(*(F.col(c).alias(f"_of_{c}") for c in by), "_parts"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    parts = F.coalesce("_parts", F.lit(1))
+    # of the row alone, so that a task that runs again deals alike
+    mixed = F.xxhash64(F.spark_partition_id(), *(c for c, kind in asked.dtypes if "map<" not in kind))
+    held = held.join(large, same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    both = placed.join(large, same, "left").withColumn("_part", F.pmod(mixed, parts)).drop("_parts", *(f"_of_{c}" for c in by)).unionByName(held.drop("_parts", *(f"_of_{c}" for c in by)), allowMissingColumns=True)
+    ordered = both.repartition(*by, "_part").sortWithinPartitions(*by, "_part", "idx", F.col("_until").isNull())
+    columns, names, group = asked.columns, list(values), [*by, "_part"]
+    out = ordered.mapInArrow(lambda batches: _sweep(batches, columns, group, names), StructType([both.schema[c] for c in (*columns, *names)]))
+    return out.select(*(F.col(c).cast(asked.schema[c].dataType) for c in columns), *names)
 
 
 def quotes_as_of(asked: DataFrame, standing: DataFrame) -> DataFrame:
     """``asked`` (symbol, idx and more) with the best bid and ask, and mid, of the orders (symbol, side, price, from_idx,
     until_idx) that stand at its idx; null where a side is empty."""
-    side = lambda s: standing.where(F.col("side") == s)
-    out = least_as_of(asked, side("SELL"), ["symbol"], "price", "ask")
-    out = least_as_of(out, side("BUY").withColumn("price", -F.col("price")), ["symbol"], "price", "bid").withColumn("bid", -F.col("bid"))
+    best = {"bid": F.when(F.col("side") == "BUY", -F.col("price")), "ask": F.when(F.col("side") == "SELL", F.col("price"))}
+    out = least_as_of(asked, standing, ["symbol"], best).withColumn("bid", -F.col("bid"))
     return out.withColumn("mid", (F.col("bid") + F.col("ask")) / 2.0)

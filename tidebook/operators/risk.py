@@ -89,7 +89,7 @@ def self_trades_as_of(candidates: DataFrame, working: DataFrame) -> DataFrame:
     rank = lambda sells: F.when(sells, F.col("price")).otherwise(-F.col("price"))
     resting = working.withColumn("_rank", rank(F.col("side") == "SELL"))
     asked = candidates.withColumn("_side", F.col("side")).withColumn("side", F.when(F.col("_side") == "BUY", "SELL").otherwise("BUY"))
-    met = least_as_of(asked, resting, ["symbol", "side"], "_rank", "_best").withColumn("side", F.col("_side"))
+    met = least_as_of(asked, resting, ["symbol", "side"], {"_best": F.col("_rank")}).withColumn("side", F.col("_side"))
     return met.where(F.col("_best") <= rank(F.col("side") == "BUY")).select(*candidates.columns)
 
 
