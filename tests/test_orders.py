@@ -206,7 +206,7 @@ def test_quotes_in_slices_and_parts_equal_all_pairs(spark, rows, batch):
         assert got[n] == (s, i, min(stood, default=None), max(stood, default=None))
 
 
-@pytest.mark.parametrize("name", ["quotes_as_of"])
+@pytest.mark.parametrize("name", ["quotes_as_of", "self_trade_as_of"])
 def test_moments_and_lifetimes_are_sent_about_once(spark, name):
     sc, group = spark.sparkContext, f"sent-{name}"
     sc.setJobGroup(group, name)
@@ -222,6 +222,14 @@ def test_moments_and_lifetimes_are_sent_about_once(spark, name):
     assert rows < sent < 4 * rows
 
 
+def test_self_trades_of_many_at_one_moment(spark):
+    working = spark.createDataFrame([("S", "SELL", 100, 0, 20), ("S", "SELL", 101, 0, None), ("S", "BUY", 90, 5, None), ("T", "SELL", 1, 0, None), (None, "SELL", 1, 0, None)], "symbol string, side string, price long, from_idx long, until_idx long")
+    asks = [("S", "BUY", 100), ("S", "BUY", 99), ("S", "SELL", 90), ("S", "SELL", 91), ("S", None, 90), (None, "BUY", 100), ("S", "BUY", None)]
+    asked = spark.createDataFrame([(i, s, side, p, t) for i, (s, side, p) in enumerate(asks) for t in [4, 19, 20] * 50], "n int, symbol string, side string, price long, idx long")
+    got = {(r.n, r.idx): r["count"] for r in risk.self_trades_as_of(asked, working).groupBy("n", "idx").count().collect()}
+    assert got == {(0, 4): 50, (0, 19): 50, (2, 19): 50, (2, 20): 50}
+
+
 def test_quotes_of_nothing(spark):
     asked, standing = (spark.createDataFrame(rows, kind) for rows, kind in (([("S", 1), ("S", None), (None, 2)], "symbol string, idx long"), ([("S", "BUY", 5, 0, None)], "symbol string, side string, price long, from_idx long, until_idx long")))
     plain = lambda f: sorted(map(tuple, f.collect()), key=str)

@@ -87,9 +87,8 @@ def self_trades_as_of(candidates: DataFrame, working: DataFrame) -> DataFrame:
     """
     # the best price of the other side is the least of these numbers, which a candidate must reach
     rank = lambda sells: F.when(sells, F.col("price")).otherwise(-F.col("price"))
-    resting = working.withColumn("_rank", rank(F.col("side") == "SELL"))
-    asked = candidates.withColumn("_side", F.col("side")).withColumn("side", F.when(F.col("_side") == "BUY", "SELL").otherwise("BUY"))
-    met = least_as_of(asked, resting, ["symbol", "side"], {"_best": F.col("_rank")}).withColumn("side", F.col("_side"))
+    resting = working.withColumn("_rank", rank(F.col("side") == "SELL")).withColumn("side", F.when(F.col("side") == "SELL", "BUY").when(F.col("side") == "BUY", "SELL"))
+    met = least_as_of(candidates, resting, ["symbol", "side"], {"_best": F.col("_rank")})
     return met.where(F.col("_best") <= rank(F.col("side") == "BUY")).select(*candidates.columns)
 
 
